@@ -67,7 +67,7 @@ def walk_key(path) -> Column:
     NUL cannot occur in a file name and sorts before every other character, so a
     plain string sort of the key equals a sort by the array of components.
     """
-    return F.translate(as_column(path), "/", NUL)
+    return F.replace(as_column(path), F.lit("/"), F.lit(NUL))
 
 
 def tree_key(path, is_dir) -> Column:

@@ -38,7 +38,7 @@ def first_action(path, layers: Sequence[Layer], compat: str = "reference") -> Co
     actions = []
     for layer in layers:
         if isinstance(layer, Column):
-            hits = F.filter(layer, lambda rule: path.rlike(rule["regex"]))
+            hits = F.filter(layer, lambda rule: F.rlike(path, rule["regex"]))
             actions.append(F.get(hits, 0)["keep"])
         elif callable(layer):
             actions.append(layer(path))
@@ -54,7 +54,7 @@ def last_action(path, layers: Sequence[Layer]) -> Column:
     actions = []
     for layer in reversed(layers):
         if isinstance(layer, Column):
-            hits = F.filter(layer, lambda rule: path.rlike(rule["regex"]))
+            hits = F.filter(layer, lambda rule: F.rlike(path, rule["regex"]))
             actions.append(F.try_element_at(hits, F.lit(-1))["keep"])
         elif callable(layer):
             actions.append(layer(path))

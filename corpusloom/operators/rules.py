@@ -87,7 +87,7 @@ def applicable_ids(
     """
 
     def fits(rule: Column) -> Column:
-        hit = rule["all_files"] | F.exists(rule["globs"], lambda glob: path.rlike(glob))
+        hit = rule["all_files"] | F.exists(rule["globs"], lambda glob: F.rlike(path, glob))
         return hit & rule["id"].isin(list(only)) if only else hit
 
     def tagged(scope: str):
