@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,11 @@ class CrawlOptions:
     exclude_binary: bool = True
     output_file: str = C.DEFAULT_OUTPUT_FILE
     compat: str = "reference"
-    extra: dict = field(default_factory=dict)
+    # Adds the rule columns that ``layers`` refer to, where rules differ by repository.
+    attach: Callable[[DataFrame], DataFrame] | None = None
+
+    def with_rules(self, df: DataFrame) -> DataFrame:
+        return self.attach(df) if self.attach else df
 
 
 def directories(entries: DataFrame) -> DataFrame:
@@ -69,7 +73,8 @@ def crawl_v1(entries: DataFrame, options: CrawlOptions) -> DataFrame:
     )
     if options.exclude_binary:
         reason = reason.when(~text.is_text_v1("content", options.compat), F.lit("binary"))
-    return retarget(files_only(entries), options.target).withColumn("drop_reason", reason)
+    files = retarget(files_only(entries), options.target)
+    return options.with_rules(files).withColumn("drop_reason", reason).drop(*ignore.RULE_COLUMNS)
 
 
 def summary_v1(crawled: DataFrame) -> DataFrame:
@@ -122,18 +127,19 @@ def crawl_v2(entries: DataFrame, options: CrawlOptions) -> DataFrame:
         if options.includes:
             is_text = is_text | ignore.ignored_gitignore("path", False, [list(options.includes)])
         reason = F.coalesce(reason, F.when(~is_text, F.lit("binary")))
-    visited = files_only(entries).where(
+    visited = options.with_rules(files_only(entries)).where(
         ~ignore.below_dropped_dir("path", _prunes_v2(options))
     )
-    return visited.withColumn("drop_reason", reason)
+    return visited.withColumn("drop_reason", reason).drop(*ignore.RULE_COLUMNS)
 
 
 def crawl_dirs_v2(entries: DataFrame, options: CrawlOptions) -> DataFrame:
     """Visited directories (repo, path) with their ``drop_reason``."""
     return (
-        directories(entries)
+        options.with_rules(directories(entries))
         .where(~ignore.below_dropped_dir("path", _prunes_v2(options)))
         .withColumn("drop_reason", _path_reason_v2(F.col("path"), True, options))
+        .drop(*ignore.RULE_COLUMNS)
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions import globs, paths
 from corpusloom.functions.text import as_column
-from corpusloom.operators.joins import checked_join
+from corpusloom.operators.joins import lookup
 
 Layer = Sequence[str] | Column | Callable[[Column], Column]
 
@@ -114,9 +114,12 @@ def layers_v1(
     return [git_rules, pack_rules, command + keep + C.ALWAYS_RULES_V1]
 
 
-def attach_repo_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``git_rules`` and ``pack_rules`` of :func:`repo_rules` to every entry."""
-    return checked_join(entries, rules, ["repo"], ["path"])
+RULE_COLUMNS = ["git_rules", "pack_rules"]
+
+
+def rule_lookup(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``git_rules`` and ``pack_rules`` of ``repo_rules`` to entries."""
+    return lookup(rules, ["repo"], ["path"])
 
 
 def own_or_default(pack_rules: Column, defaults: Sequence[str], dialect: str = "path") -> Layer:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +30,22 @@ def spread_join(
     return salted.join(repeated, [*keys, _SALT], how).drop(_SALT)
 
 
-def checked_join(
-    many: DataFrame, one: DataFrame, keys: list[str], spread_on: list[str],
-    how: str = "left", max_broadcast_bytes: int = 256 * 1024 * 1024,
-) -> DataFrame:
-    """Join wide rows to a lookup table without moving them, if the table is small enough.
+def lookup(
+    one: DataFrame, keys: list[str], spread_on: list[str], how: str = "left",
+    max_broadcast_bytes: int = 256 * 1024 * 1024,
+) -> Callable[[DataFrame], DataFrame]:
+    """A function that joins wide rows to a lookup table, without moving them if possible.
 
-    For ``many`` with file contents a shuffle is the cost to avoid, and adaptive
-    execution would only find out after having written it. The lookup table is measured
-    first (one aggregated number comes back) and broadcast only within the bound; beyond
-    it the spread shuffle join takes over.
+    For rows with file contents a shuffle is the cost to avoid, and adaptive execution
+    would only find out after having written it. The lookup table is measured once (one
+    aggregated number comes back) and broadcast only within the bound; beyond it the
+    spread shuffle join takes over.
     """
     size = F.sum(F.octet_length(F.to_json(F.struct(*one.columns))))
     measured = one.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
     if measured <= max_broadcast_bytes:
-        return many.join(F.broadcast(one), keys, how)
-    return spread_join(many, one, keys, spread_on, how)
+        return lambda many: many.join(F.broadcast(one), keys, how)
+    return lambda many: spread_join(many, one, keys, spread_on, how)
 
 
 def assemble(

@@ -46,7 +46,7 @@ def file_tree_v1(entries: DataFrame, options: crawl.CrawlOptions) -> DataFrame:
         shown = shown & (paths.depth("path") < options.max_depth)
     shown = shown & ~ignore.below_dropped_dir("path", dropped)
     entries = crawl.retarget(entries, options.target)
-    rows = _all_nodes(entries).where(shown).select(
+    rows = options.with_rules(_all_nodes(entries)).where(shown).select(
         "repo", paths.walk_key("path").alias("key"),
         _indented(F.col("is_dir"), paths.depth("path")).alias("text"),
     )

@@ -26,26 +26,21 @@ class Pack:
 def _with_layers(
     entries: DataFrame, options: CrawlOptions, dialect: str,
     no_gitignore: bool, no_packignore: bool,
-) -> tuple[DataFrame, CrawlOptions]:
-    """Entries with their repository's rules, and options that use them."""
+) -> CrawlOptions:
+    """Options that use the rules of every repository's own ignore files."""
     if options.layers:
-        return entries, options
+        return options
     defaults = C.DEFAULT_RULES_V1 if dialect == "path" else C.DEFAULT_RULES_V2
-    git, pack = (), ()
+    git, pack, attach = (), (), None
     if not (no_gitignore and no_packignore):
-        rules = repo_rules(entries, dialect, options.compat)
-        entries = ignore.attach_repo_rules(entries, rules)
-        if not no_gitignore:
-            git = F.coalesce("git_rules", F.slice(F.coalesce("git_rules", "pack_rules"), 1, 0))
-        if not no_packignore:
-            pack = ignore.own_or_default(F.col("pack_rules"), defaults, dialect)
+        attach = ignore.rule_lookup(repo_rules(entries, dialect, options.compat))
+        git = () if no_gitignore else F.col("git_rules")
+        pack = () if no_packignore else ignore.own_or_default(F.col("pack_rules"), defaults, dialect)
     if dialect == "path":
-        layers = ignore.layers_v1(
-            options.excludes, options.includes, git, pack, options.compat
-        )
+        layers = ignore.layers_v1(options.excludes, options.includes, git, pack, options.compat)
     else:
         layers = [git, pack, C.ALWAYS_RULES_V2]
-    return entries, replace(options, layers=layers)
+    return replace(options, layers=layers, attach=attach)
 
 
 def pack_v1(
@@ -53,7 +48,7 @@ def pack_v1(
     no_gitignore: bool = False, no_packignore: bool = False,
 ) -> Pack:
     """Pack v1 of every repository."""
-    entries, options = _with_layers(entries, options, "path", no_gitignore, no_packignore)
+    options = _with_layers(entries, options, "path", no_gitignore, no_packignore)
     crawled = crawl.crawl_v1(entries, options)
     included = crawled.where(F.col("drop_reason").isNull())
     tree = trees.file_tree_v1(entries, options)
@@ -67,7 +62,7 @@ def pack_v2(
     generated_at: str | None = None, no_gitignore: bool = False, no_packignore: bool = False,
 ) -> Pack:
     """Pack v2 of every repository."""
-    entries, options = _with_layers(entries, options, "gitignore", no_gitignore, no_packignore)
+    options = _with_layers(entries, options, "gitignore", no_gitignore, no_packignore)
     included = crawl.crawl_v2(entries, options).where(F.col("drop_reason").isNull())
     nodes = crawl.nodes_v2(entries, options)
     repos = entries.select("repo").distinct()

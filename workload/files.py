@@ -261,7 +261,7 @@ FROM entry_paths e JOIN rules r ON r.repo = e.repo GROUP BY e.repo, e.path""",
 def ignore_verdict_by_repo(spark, sf_dir):
     entries = V.entries(spark, sf_dir)
     rules = ignore_files.repo_rules(entries)
-    attached = ignore.attach_repo_rules(entries.select("repo", "path"), rules)
+    attached = ignore.rule_lookup(rules)(entries.select("repo", "path"))
     layers = [
         F.col("git_rules"), ignore.own_or_default(F.col("pack_rules"), C.DEFAULT_RULES_V1),
         C.ALWAYS_RULES_V1,
