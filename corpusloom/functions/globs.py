@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import as_column
+from corpusloom.functions.text import as_column, let
 
 # Characters that a Java or Python regex would not take literally.
 _SPECIAL = r"([\\.\[\]{}()*+\-?^$|#&~ /!<>=:,\"'%@`;\t\n])"
@@ -194,19 +194,24 @@ def _quote(text: Column) -> Column:
 
 
 def _class_column(members: Column, negated: Column) -> Column:
-    def one(found: Column) -> Column:
-        ends = F.regexp_extract_all(found, F.lit(rf"(?s){_MEMBER}"), F.lit(0))
-        lo = F.substring(F.element_at(ends, 1), -1, 1)
-        hi = F.substring(F.element_at(ends, -1), -1, 1)
+    def ends(found: Column) -> Column:
+        chars = F.regexp_extract_all(found, F.lit(rf"(?s){_MEMBER}"), F.lit(0))
+        return F.transform(
+            F.array(F.get(chars, 0), F.element_at(chars, -1)), lambda c: F.substring(c, -1, 1)
+        )
+
+    def one(pair: Column) -> Column:
+        lo, hi = F.get(pair, 0), F.get(pair, 1)
         return F.when(lo <= hi, F.concat(_quote(lo), F.lit("-"), _quote(hi))).otherwise("")
 
-    body = F.array_join(
-        F.transform(F.regexp_extract_all(members, F.lit(f"(?s){_RANGE}"), F.lit(0)), one), ""
-    )
-    return (
-        F.when((body == "") & negated, F.lit("(?s:.)"))
+    found = F.regexp_extract_all(members, F.lit(f"(?s){_RANGE}"), F.lit(0))
+    return let(
+        F.array_join(F.transform(F.transform(found, ends), one), ""),
+        lambda body: F.when((body == "") & negated, F.lit("(?s:.)"))
         .when(body == "", F.lit(_NEVER))
-        .otherwise(F.concat(F.lit("["), F.when(negated, F.lit("^")).otherwise(""), body, F.lit("]")))
+        .otherwise(
+            F.concat(F.lit("["), F.when(negated, F.lit("^")).otherwise(""), body, F.lit("]"))
+        ),
     )
 
 
@@ -214,6 +219,10 @@ def _between(text: Column, start, drop_end) -> Column:
     return F.substring(text, start, F.char_length(text) - (start - 1) - drop_end)
 
 
+def _rest(text: Column, start: int) -> Column:
+    return F.substring(text, start, 2**31 - 1)
+
+
 def _class_token(token: Column, negation: str) -> Column:
     negated = token.startswith("[" + negation)
     start = F.when(negated, F.lit(3)).otherwise(F.lit(2))
@@ -241,56 +250,56 @@ def path_glob_regex_column(pattern) -> Column:
 
 def path_rule_column(rule, compat: str = "reference") -> Column:
     """Column form of :func:`path_rule_regex`: struct<regex, keep>, regex anchored."""
-    rule = as_column(rule)
-    keep = rule.startswith("!")
-    pattern = F.when(keep, F.substring(rule, F.lit(2), F.char_length(rule))).otherwise(rule)
-    n = F.char_length(pattern)
-    extra = (
-        F.when(
-            pattern.endswith("/**"),
-            F.concat(F.lit("|"), _quote(F.substring(pattern, F.lit(1), n - 3)), F.lit("(?:/.*)?")),
-        )
-        .when(
-            pattern.startswith("**/*."),
-            F.concat(F.lit("|.*"), _quote(F.substring(pattern, F.lit(5), n))),
+
+    def whole(keep: Column, pattern: Column) -> Column:
+        n = F.char_length(pattern)
+        extra = (
+            F.when(
+                pattern.endswith("/**"),
+                F.concat(
+                    F.lit("|"), _quote(F.substring(pattern, F.lit(1), n - 3)), F.lit("(?:/.*)?")
+                ),
+            )
+            .when(pattern.startswith("**/*."), F.concat(F.lit("|.*"), _quote(_rest(pattern, 5))))
+            .when(
+                keep & ~F.contains(pattern, F.lit("/")),
+                F.concat(F.lit("|(?:.*/)?"), _quote(pattern)),
+            )
+            .otherwise("")
         )
-        .when(keep & ~F.contains(pattern, F.lit("/")), F.concat(F.lit("|(?:.*/)?"), _quote(pattern)))
-        .otherwise("")
-    )
-    glob = F.coalesce(F.concat(F.lit("|"), path_glob_regex_column(pattern)), F.lit(""))
-    folder = F.substring(pattern, F.lit(1), n - 1)
-    if compat == "intended":
-        folder = F.regexp_replace(folder, r"\A\*\*/", "")
-    ways = F.concat(F.lit("(?:"), _quote(pattern), glob, extra, F.lit(")"))
-    body = (
-        F.when(keep, ways)
-        .when(
-            pattern.endswith("/"),
+        glob = F.coalesce(F.concat(F.lit("|"), path_glob_regex_column(pattern)), F.lit(""))
+        folder = F.substring(pattern, F.lit(1), n - 1)
+        if compat == "intended":
+            folder = F.regexp_replace(folder, r"\A\*\*/", "")
+        start = F.when(keep, F.lit("")).otherwise("(?:.*/)?")
+        body = F.when(
+            ~keep & pattern.endswith("/"),
             F.concat(
                 F.lit("(?:.*/)?" if compat == "intended" else ""), _quote(folder), F.lit("(?:/.*)?")
             ),
+        ).otherwise(F.concat(start, F.lit("(?:"), _quote(pattern), glob, extra, F.lit(")")))
+        return F.struct(
+            F.concat(F.lit(r"(?s)\A(?:"), body, F.lit(r")\z")).alias("regex"), keep.alias("keep")
         )
-        .otherwise(F.concat(F.lit("(?:.*/)?"), ways))
-    )
-    return F.struct(
-        F.concat(F.lit(r"(?s)\A(?:"), body, F.lit(r")\z")).alias("regex"), keep.alias("keep")
-    )
+
+    def split_off(text: Column) -> Column:
+        keep = text.startswith("!")
+        return F.struct(
+            keep.alias("keep"), F.when(keep, _rest(text, 2)).otherwise(text).alias("pattern")
+        )
+
+    return let(split_off(as_column(rule)), lambda r: whole(r["keep"], r["pattern"]))
 
 
 def gitignore_column(line) -> Column:
     """Column form of :func:`gitignore_regex`: struct<regex, keep>, null for no rule."""
-    line = F.regexp_replace(as_column(line), r"\r+\z", "")
-    comment = line.startswith("#") | (F.trim(line) == "")
-    line = F.trim(line)
-    keep = line.startswith("!")
-    line = F.when(keep, F.substring(line, F.lit(2), F.char_length(line))).otherwise(line)
-    line = F.regexp_replace(line, r"\A\\(?=[#!])", "")
-    rooted = line.startswith("/") | line.rlike(r"[^/+]/.*\*\.")
-    line = F.when(
-        line.startswith("/**/"), F.substring(line, F.lit(2), F.char_length(line))
-    ).otherwise(line)
-    rooted = rooted & ~line.startswith("**/")
-    body = F.when(rooted, F.regexp_replace(line, r"\A/", "")).otherwise(line)
+
+    def split_off(text: Column) -> Column:
+        keep = text.startswith("!")
+        pattern = F.when(keep, _rest(text, 2)).otherwise(text)
+        return F.struct(
+            keep.alias("keep"), F.regexp_replace(pattern, r"\A\\(?=[#!])", "").alias("pattern")
+        )
 
     def one(token: Column) -> Column:
         return (
@@ -303,15 +312,30 @@ def gitignore_column(line) -> Column:
             .otherwise(_quote(token))
         )
 
-    tokens = F.regexp_extract_all(body, F.lit(_GITIGNORE_TOKEN), F.lit(0))
-    regex = F.concat(
-        F.lit(r"(?s)\A(?:"),
-        F.when(rooted, F.lit("")).otherwise("(?:.*/)?"),
-        F.array_join(F.transform(tokens, one), ""),
-        F.when(line.endswith("/"), F.lit(".*")).otherwise("(?:/.*)?"),
-        F.lit(r")\z"),
+    def whole(keep: Column, pattern: Column) -> Column:
+        rooted = (pattern.startswith("/") & ~pattern.startswith("/**/")) | (
+            pattern.rlike(r"[^/+]/.*\*\.") & ~pattern.rlike(r"\A/?\*\*/")
+        )
+        body = F.regexp_replace(pattern, r"\A/", "")
+        tokens = F.regexp_extract_all(body, F.lit(_GITIGNORE_TOKEN), F.lit(0))
+        return F.struct(
+            F.concat(
+                F.lit(r"(?s)\A(?:"),
+                F.when(rooted, F.lit("")).otherwise("(?:.*/)?"),
+                F.array_join(F.transform(tokens, one), ""),
+                F.when(pattern.endswith("/"), F.lit(".*")).otherwise("(?:/.*)?"),
+                F.lit(r")\z"),
+            ).alias("regex"),
+            keep.alias("keep"),
+        )
+
+    return let(
+        F.regexp_replace(as_column(line), r"\r+\z", ""),
+        lambda text: F.when(
+            ~text.startswith("#") & (F.trim(text) != ""),
+            let(split_off(F.trim(text)), lambda r: whole(r["keep"], r["pattern"])),
+        ),
     )
-    return F.when(~comment, F.struct(regex.alias("regex"), keep.alias("keep")))
 
 
 def rule_glob_regex_column(pattern) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def as_column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def trim(text) -> Column:
     """Cut Unicode white space off both ends (Spark's own ``trim`` cuts blanks only)."""
     return F.btrim(as_column(text), F.lit(C.WHITESPACE))
@@ -127,10 +134,13 @@ def import_lines(text) -> Column:
 
 
 def _without_closing_fence(text: Column) -> Column:
-    return F.when(
-        text.endswith(C.FENCE),
-        trim(F.substring(text, F.lit(1), F.char_length(text) - len(C.FENCE))),
-    ).otherwise(text)
+    def close(opened: Column) -> Column:
+        return F.when(
+            opened.endswith(C.FENCE),
+            trim(F.substring(opened, F.lit(1), F.char_length(opened) - len(C.FENCE))),
+        ).otherwise(opened)
+
+    return let(text, close)
 
 
 def strip_fence_editor(reply, compat: str = "reference") -> Column:
@@ -139,27 +149,30 @@ def strip_fence_editor(reply, compat: str = "reference") -> Column:
     ``reference`` cuts the first listed opener only, so that the rest of a longer
     language name stays; ``intended`` cuts through the end of the opener's line.
     """
-    text = trim(reply)
-    if compat == "intended":
-        opened = F.when(
-            text.startswith(C.FENCE), trim(F.regexp_replace(text, r"(?s)\A```[^\n]*", ""))
-        ).otherwise(text)
-        return _without_closing_fence(opened)
     # Ordered alternation picks the first listed opener.
-    opener = r"\A(?:" + "|".join(C.EDITOR_FENCES) + ")"
-    opened = F.when(
-        text.startswith(C.FENCE), trim(F.regexp_replace(text, opener, ""))
-    ).otherwise(text)
-    return _without_closing_fence(opened)
+    opener = r"(?s)\A```[^\n]*" if compat == "intended" else rf"\A(?:{'|'.join(C.EDITOR_FENCES)})"
+
+    def open_up(text: Column) -> Column:
+        return F.when(
+            text.startswith(C.FENCE), trim(F.regexp_replace(text, opener, ""))
+        ).otherwise(text)
+
+    return _without_closing_fence(let(trim(reply), open_up))
 
 
 def strip_fence_general(reply) -> Column:
     """Reply text without its code fence: known openers in any case, cut through the newline."""
-    text = trim(reply)
-    opener = r"(?i)\A(?:" + "|".join(C.GENERAL_FENCES) + ")"
-    rest = F.regexp_replace(text, opener, "")
-    after_line = F.when(
-        F.contains(rest, F.lit("\n")), F.regexp_replace(rest, r"\A[^\n]*", "")
-    ).otherwise(rest)
-    opened = F.when(text.startswith(C.FENCE), trim(after_line)).otherwise(text)
-    return _without_closing_fence(opened)
+    opener = rf"(?i)\A(?:{'|'.join(C.GENERAL_FENCES)})"
+
+    def after_line(rest: Column) -> Column:
+        return trim(
+            F.when(F.contains(rest, F.lit("\n")), F.regexp_replace(rest, r"\A[^\n]*", ""))
+            .otherwise(rest)
+        )
+
+    def open_up(text: Column) -> Column:
+        return F.when(
+            text.startswith(C.FENCE), let(F.regexp_replace(text, opener, ""), after_line)
+        ).otherwise(text)
+
+    return _without_closing_fence(let(trim(reply), open_up))

@@ -112,7 +112,7 @@ def _prunes_v2(options: CrawlOptions) -> Callable[[Column], Column]:
 
     def prunes(folder: Column) -> Column:
         reason = _path_reason_v2(folder, True, options)
-        return reason.isNotNull() & (reason != "above_target")
+        return F.coalesce(reason != "above_target", F.lit(False))
 
     return prunes
 

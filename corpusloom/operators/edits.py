@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
-from corpusloom.functions.text import as_column, lines, strip_fence_editor, trim
+from corpusloom.functions.text import as_column, let, lines, strip_fence_editor, trim
 
 REPLACE, INSERT_AFTER, DELETE = "REPLACE", "INSERT_AFTER", "DELETE"
 
@@ -124,7 +124,7 @@ def _search_pattern(edits: Column, compat: str) -> Column:
         return F.concat(start, F.array_join(F.transform(later, follow), ""))
 
     return F.concat(
-        F.lit(r"(?<![^\n])(?:"), F.array_join(F.transform(edits, alternative), "|"), F.lit(")")
+        F.lit("(?md)^(?:"), F.array_join(F.transform(edits, alternative), "|"), F.lit(")")
     )
 
 
@@ -167,18 +167,30 @@ def apply_edits(content, edits, compat: str = "reference") -> Column:
     The text is cut at the matched stretches and the stretches are rewritten, so the
     cost grows with the text, not with text x edits.
     """
-    edits = _valid(as_column(edits), compat)
-    closed = F.concat(as_column(content), F.lit("\n"))
-    pattern = _search_pattern(edits, compat)
-    rewritten = F.transform(
-        F.regexp_extract_all(closed, pattern, F.lit(0)), lambda m: _replay(m, edits, compat)
-    )
-    pieces = F.zip_with(
-        F.split(closed, pattern, -1), rewritten,
-        lambda kept, new: F.concat(kept, F.coalesce(new, F.lit(""))),
-    )
-    return F.when(F.size(edits) == 0, as_column(content)).otherwise(
-        F.regexp_replace(F.array_join(pieces, ""), r"\n\z", "")
+    content, edits = as_column(content), as_column(edits)
+
+    def rewrite(found: Column, pattern: Column, closed: Column) -> Column:
+        new = F.transform(
+            F.regexp_extract_all(closed, pattern, F.lit(0)), lambda m: _replay(m, found, compat)
+        )
+        pieces = F.zip_with(
+            F.split(closed, pattern, -1), new,
+            lambda kept, text: F.concat(kept, F.coalesce(text, F.lit(""))),
+        )
+        return F.regexp_replace(F.array_join(pieces, ""), r"\n\z", "")
+
+    def prepared(found: Column) -> Column:
+        bound = F.struct(
+            _search_pattern(found, compat).alias("pattern"),
+            F.concat(content, F.lit("\n")).alias("closed"),
+        )
+        return let(bound, lambda b: rewrite(found, b["pattern"], b["closed"]))
+
+    return F.when(F.size(edits) == 0, content).otherwise(
+        let(
+            _valid(edits, compat),
+            lambda found: F.when(F.size(found) == 0, content).otherwise(prepared(found)),
+        )
     )
 
 

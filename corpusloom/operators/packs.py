@@ -64,11 +64,13 @@ def pack_v1(
 def pack_v2(
     included: DataFrame, tree: DataFrame, repos: DataFrame,
     generated_at: str | None = None, include_header: bool = True,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Fenced tree, then fenced files in plain path order with ``---`` between them.
 
     The separators are rows of their own, made from (repo, path) alone, so that finding
-    the last file of a repository never moves contents.
+    the last file of a repository never moves contents. ``names`` are the (repo, path)
+    of ``included``, where they are already at hand without another scan of the contents.
     """
     path = F.col("path")
     body = _section(
@@ -79,7 +81,7 @@ def pack_v2(
         ),
         path, path,
     )
-    names = included.select("repo", "path")
+    names = included.select("repo", "path") if names is None else names
     last = names.groupBy("repo").agg(F.max("path").alias("path"))
     between = _section(
         names.join(last, ["repo", "path"], "left_anti"), 4, F.lit("\n\n---\n\n"), path, path, 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ class Pack:
     tree: DataFrame
     sections: DataFrame
     summary: DataFrame
+    verdicts: DataFrame
 
 
 def _with_layers(
@@ -54,18 +56,28 @@ def pack_v1(
     tree = trees.file_tree_v1(entries, options)
     repos = entries.select("repo").distinct()
     sections = packs.pack_v1(included, tree, repos, include_header)
-    return Pack(included, tree, sections, crawl.summary_v1(crawled))
+    return Pack(included, tree, sections, crawl.summary_v1(crawled), crawled.drop("content"))
 
 
 def pack_v2(
     entries: DataFrame, options: CrawlOptions = CrawlOptions(), include_header: bool = True,
     generated_at: str | None = None, no_gitignore: bool = False, no_packignore: bool = False,
 ) -> Pack:
-    """Pack v2 of every repository."""
+    """Pack v2 of every repository.
+
+    The verdicts (repo, path, is_dir, drop_reason) feed the tree, the separators and the
+    summary, and need the contents for the text check. They are persisted, so that the
+    contents are scanned twice in all: for the verdicts and for the sections. Unpersist
+    ``Pack.verdicts`` when done.
+    """
     options = _with_layers(entries, options, "gitignore", no_gitignore, no_packignore)
+    nodes = crawl.nodes_v2(entries, options).persist(StorageLevel.MEMORY_AND_DISK)
     included = crawl.crawl_v2(entries, options).where(F.col("drop_reason").isNull())
-    nodes = crawl.nodes_v2(entries, options)
+    kept = nodes.where(F.col("drop_reason").isNull())
     repos = entries.select("repo").distinct()
-    tree = trees.file_tree_v2(nodes.where(F.col("drop_reason").isNull()), repos)
-    sections = packs.pack_v2(included, tree, repos, generated_at, include_header)
-    return Pack(included, tree, sections, crawl.summary_v2(nodes))
+    tree = trees.file_tree_v2(kept, repos)
+    sections = packs.pack_v2(
+        included, tree, repos, generated_at, include_header,
+        names=kept.where(~F.col("is_dir")).select("repo", "path"),
+    )
+    return Pack(included, tree, sections, crawl.summary_v2(nodes), nodes)
