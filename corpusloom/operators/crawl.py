@@ -196,3 +196,16 @@ def working_set(
         .withColumn("lang", paths.language("path"))
         .withColumn("drop_reason", reason)
     )
+
+
+def text_files(
+    entries: DataFrame, git_layers: Sequence = (), compat: str = "reference"
+) -> DataFrame:
+    """Files a plain file callback gets: not ignored themselves, and text.
+
+    Directories are not pruned here and languages do not matter.
+    """
+    kept = text.is_text_v1("content", compat)
+    if len(git_layers):
+        kept = ~ignore.ignored_gitignore("path", False, git_layers) & kept
+    return files_only(entries).where(kept)

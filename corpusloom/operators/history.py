@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.diffs import snapshot_diff
+from corpusloom.operators.joins import ordered_buckets
 
 
 def last_n_commits(commits: DataFrame, n: int, parts: int = 64) -> DataFrame:
@@ -33,19 +34,23 @@ def net_change(old: DataFrame, new: DataFrame) -> DataFrame:
     return snapshot_diff(old, new)
 
 
-def changelog(commits: DataFrame, bucket: str = "hour") -> DataFrame:
+def changelog(commits: DataFrame, buckets: int | None = None) -> DataFrame:
     """Changelog lines (repo, version, tag_ts, ts, event_id, line).
 
     A commit belongs to the first tag at or after it; commits behind the last tag have
     a null version (unreleased). Newest section first is a sort by tag_ts descending,
     nulls first; within a section by ts descending.
 
-    The next tag is found in two levels, so that a repository of any length is never one
-    window: within a time bucket among its own rows, and beyond it from the first tag of
-    the following buckets, of which there is one row each.
+    The next tag is found in two levels over evenly filled, ordered buckets, so that
+    neither a long repository nor a crowded moment is ever one window: within a bucket
+    among its own rows, and beyond it from the first tag of the following buckets, of
+    which there is one row each.
     """
     tagged = F.when(F.col("is_tag"), F.struct("ts", "event_id"))
-    rows = commits.withColumn("bucket", F.date_trunc(bucket, "ts"))
+    rows = ordered_buckets(
+        commits.select("repo", "ts", "event_id", "subject", "is_tag"),
+        ["repo", "ts", "event_id"], buckets,
+    )
     per_bucket = rows.groupBy("repo", "bucket").agg(F.min(tagged).alias("first_tag"))
     following = Window.partitionBy("repo").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
     beyond = per_bucket.select(
@@ -68,6 +73,11 @@ def changelog(commits: DataFrame, bucket: str = "hour") -> DataFrame:
     )
 
 
+def release_notes(lines: DataFrame, repo: str, version: str) -> DataFrame:
+    """The lines of one section."""
+    return lines.where((F.col("repo") == repo) & (F.col("version") == version))
+
+
 def changelog_headers(lines: DataFrame) -> DataFrame:
     """(repo, version, tag_ts, header) of every section that has a version."""
     return (

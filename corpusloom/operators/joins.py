@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import ensure_checkpoint_dir
+
 _SALT = "__salt"
 
 
@@ -48,6 +50,20 @@ def lookup(
     return lambda many: spread_join(many, one, keys, spread_on, how)
 
 
+def ordered_buckets(df: DataFrame, order: list[str], buckets: int | None = None) -> DataFrame:
+    """Adds ``bucket``: evenly filled ranges of ``order``, numbered in that order.
+
+    Spark samples the range bounds anew whenever the plan runs, so the rows are written
+    to the checkpoint folder with their bucket; every later use, also after the loss of
+    an executor, reads the same assignment. ``order`` should be unique, so that ties
+    cannot crowd one bucket.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("bucket", F.spark_partition_id()).checkpoint()
+
+
 def assemble(
     sections: DataFrame, keys: list[str], order: list[str], text: str = "text",
     max_bytes: int = 64 * 1024 * 1024, separator: str = "",

@@ -173,6 +173,7 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
         .groupBy("repo", "dir")
         .agg(F.max_by("config", "level").alias("config"))
     )
-    return spread_join(
-        files.withColumn("dir", paths.dir_name("path")), nearest, ["repo", "dir"], ["path"]
+    # One directory may hold a large share of all files: adaptive execution splits it.
+    return files.withColumn("dir", paths.dir_name("path")).join(
+        nearest, ["repo", "dir"], "left"
     ).drop("dir")

@@ -69,8 +69,9 @@ def file_tree_v2(nodes: DataFrame, repos: DataFrame) -> DataFrame:
     ``nodes`` are the included (repo, path, is_dir) rows, ``repos`` the (repo) rows that
     get a root line. A node is shown only if all directories above it are. The last child of every
     directory is one partial aggregation. Branch prefixes are built for directories
-    only and then joined to the children; that join is spread, since one directory may
-    hold a large share of all files.
+    only and then joined to the children. One directory may hold a large share of all
+    files; directories are too many to repeat them for every part of a spread join, so
+    that join is left for adaptive execution to split (nothing behind it needs its order).
     """
     nodes = nodes.select(
         "repo", "path", "is_dir",
@@ -100,7 +101,7 @@ def file_tree_v2(nodes: DataFrame, repos: DataFrame) -> DataFrame:
         .select("repo", "parent", F.array_join("bars.bar", "").alias("prefix"))
     )
     branch = F.when(F.col("is_last"), F.lit("└── ")).otherwise(F.lit("├── "))
-    rows = spread_join(marked, prefixes, ["repo", "parent"], ["path"]).where(
+    rows = marked.join(prefixes, ["repo", "parent"], "left").where(
         (F.col("parent") == ".") | F.col("prefix").isNotNull()
     ).select(
         "repo", "key",

@@ -19,15 +19,18 @@ def with_proposals(
     A whole-file reply is the proposal; otherwise the edits are applied. A null reply
     proposes nothing.
     """
-    parsed = files.withColumn("edits", E.parse_edits("response", marker, compat))
-    whole = E.full_content("response", "edits", compat)
     proposal = F.when(
         F.col("response").isNotNull(),
-        F.when(F.coalesce(whole, F.lit("")) != "", whole)
+        F.when(F.coalesce("whole", F.lit("")) != "", F.col("whole"))
         .when(F.size("edits") > 0, E.apply_edits("content", "edits", compat))
         .otherwise(""),
     )
-    return parsed.withColumn("proposal", proposal)
+    return (
+        files.withColumn("edits", E.parse_edits("response", marker, compat))
+        .withColumn("whole", E.full_content("response", "edits", compat))
+        .withColumn("proposal", proposal)
+        .drop("whole")
+    )
 
 
 def docs_pipeline(
@@ -38,17 +41,23 @@ def docs_pipeline(
 
     ``files`` has repo, path, lang, content, request_id and confirmed; ``responses`` has
     request_id, response and error. Only Markdown files are joined to their reply; the
-    rest is skipped without it.
+    others are decided in the scan and never shuffled.
     """
-    answered = files.join(
+    is_doc = F.col("lang") == "markdown"
+    answered = files.where(is_doc).join(
         responses.select("request_id", "response", "error"), "request_id", "left"
     )
-    return _outcome_rows(
+    docs = _outcome_rows(
         with_proposals(answered, marker, compat),
         outcomes.docs_status(
             "lang", "response", "error", "proposal", "confirmed", dry_run, force
         ),
     )
+    others = files.where(~is_doc).select(
+        "repo", "path", "request_id", F.lit("not_markdown").alias("status"),
+        F.lit(None).cast("string").alias("new_content"), F.col("content").alias("old_content"),
+    )
+    return docs.unionByName(others)
 
 
 def refactor_pipeline(

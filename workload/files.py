@@ -355,6 +355,14 @@ def working_set(spark, sf_dir):
     return _working_set(spark, sf_dir).where(F.col("drop_reason").isNull()).select("repo", "path", "lang")
 
 
+@query("walk_files", V.with_ctes(
+    f"SELECT repo, path, strlen(content) AS n_bytes FROM (SELECT *, path AS p FROM corpus) c WHERE ({GIT_CASE}) <> 'drop' AND {text_v1_sql('content')}",
+    CORPUS))
+def walk_files(spark, sf_dir):
+    found = crawl.text_files(V.corpus(spark, sf_dir), [GIT_LINES])
+    return found.select("repo", "path", text.n_bytes("content").alias("n_bytes"))
+
+
 @query("drop_reasons", V.with_ctes(
     "SELECT repo, COALESCE(drop_reason, 'kept') AS reason, count(*) AS files FROM reasons GROUP BY 1, 2", *REASON_CTES))
 def drop_reasons(spark, sf_dir):
