@@ -13,6 +13,7 @@ for tables of patterns, so that no pattern row passes through Python.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -164,27 +165,70 @@ def rule_glob_regex(pattern: str) -> str | None:
     return None if depth else r"(?s)\A" + "".join(out) + r"\z"
 
 
-def first_match_regexes(rules: list[tuple[str, bool]]) -> tuple[str, str]:
-    """One regex that says the first matching rule drops, and one that it keeps.
+# Where the common kinds of rules are found in a path. A rule of any other kind is matched
+# as a whole. "suffix" is "*" and a literal, which may start anywhere in a component.
+_FOUND = {
+    "root": r"\A(?:{})(?:/|\z)", "folder": r"(?:\A|/)(?:{})(?:/|\z)", "inside": r"(?:\A|/)(?:{})/",
+    "name": r"(?:\A|/)(?:{})\z", "suffix": r"(?:{})\z", "suffixes": r"(?:{})(?:/|\z)",
+    "whole": r"(?s:\A(?:{})\z)",
+}
+_PLAIN = r"[^*?\[\\/]+"
 
-    The rules are (regex body, keep) in order of precedence. A rule that decides the
-    other way guards everything behind it with a negative lookahead, so the whole list
-    is one literal that Spark compiles once, whatever its length.
-    """
 
-    def decided_by(wanted: bool) -> str:
-        text, opened, guarded = "", 0, True
-        for body, keep in rules:
-            if keep == wanted:
-                if guarded:
-                    text, opened, guarded = text + "(?:", opened + 1, False
-                text += rf"(?:{body})\z|"
-            else:
-                text += rf"(?!(?:{body})\z)"
-                guarded = True
-        return r"(?s)\A" + text + _NEVER + ")" * opened
+def _path_rule_kind(rule: str, compat: str) -> tuple[str, str, bool]:
+    body, keep = path_rule_regex(rule, compat)
+    pattern = rule[1:] if keep else rule
+    if not keep and pattern.endswith("/"):
+        name = pattern[:-1]
+        return ("folder", quote(name.removeprefix("**/")), keep) if compat == "intended" else ("root", quote(name), keep)
+    if re.fullmatch(_PLAIN, pattern):
+        return "name", quote(pattern), keep
+    if not keep and re.fullmatch(r"\*" + _PLAIN, pattern):
+        return "suffix", quote(pattern[1:]), keep
+    return "whole", body, keep
+
 
-    return decided_by(False), decided_by(True)
+def _gitignore_kind(line: str) -> tuple[str, str, bool] | None:
+    compiled = gitignore_regex(line)
+    if compiled is None:
+        return None
+    body, keep = compiled
+    pattern = line.rstrip("\r").strip(" ").removeprefix("!")
+    if re.fullmatch(_PLAIN + "/", pattern):
+        return "inside", quote(pattern[:-1]), keep
+    if re.fullmatch(_PLAIN, pattern):
+        return "folder", quote(pattern), keep
+    if re.fullmatch(r"\*" + _PLAIN, pattern):
+        return "suffixes", quote(pattern[1:]), keep
+    return "whole", body, keep
+
+
+def _one_of(bodies: list[str]) -> str:
+    """Alternation with a common leading dot taken out, so that most positions fail at once."""
+    dotted = [b[2:] for b in bodies if b.startswith(r"\.")]
+    others = [b for b in bodies if not b.startswith(r"\.")]
+    return "|".join(([rf"\.(?:{'|'.join(dotted)})"] if dotted else []) + others)
+
+
+def rule_runs(rules: list[str], dialect: str, compat: str = "reference") -> list[tuple[str, bool]]:
+    """(regex, keep) for every run of neighbouring rules that decide the same way.
+
+    Within a run the order does not matter, so its rules are merged by kind into one
+    literal regex that Spark compiles once and that scans a path once, whatever the
+    number of rules. The regexes are for finding, not for matching a whole path.
+    """
+    if dialect == "path":
+        kinds = [_path_rule_kind(rule, compat) for rule in rules]
+    else:
+        kinds = [k for k in map(_gitignore_kind, rules) if k is not None]
+    runs = []
+    for keep, group in itertools.groupby(kinds, key=lambda kind: kind[2]):
+        bodies = {}
+        for kind, body, _ in group:
+            bodies.setdefault(kind, []).append(body)
+        found = [_FOUND[kind].format(_one_of(some)) for kind, some in bodies.items()]
+        runs.append(("|".join(found), keep))
+    return runs
 
 
 # --- Tables of patterns ---------------------------------------------------------------

@@ -52,13 +52,18 @@ def changelog(commits: DataFrame, buckets: int | None = None) -> DataFrame:
         ["repo", "ts", "event_id"], buckets,
     )
     per_bucket = rows.groupBy("repo", "bucket").agg(F.min(tagged).alias("first_tag"))
-    following = Window.partitionBy("repo").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is done backwards: a frame that grows from the start is one pass.
+    following = (
+        Window.partitionBy("repo").orderBy(F.col("bucket").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     beyond = per_bucket.select(
         "repo", "bucket", F.min("first_tag").over(following).alias("later_tag")
     )
     onward = (
-        Window.partitionBy("repo", "bucket").orderBy("ts", "event_id")
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        Window.partitionBy("repo", "bucket")
+        .orderBy(F.col("ts").desc(), F.col("event_id").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         rows.withColumn("near_tag", F.min(tagged).over(onward))

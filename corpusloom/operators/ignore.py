@@ -20,11 +20,10 @@ from corpusloom.operators.joins import lookup
 Layer = Sequence[str] | Column | Callable[[Column], Column]
 
 
-def _literal_action(path: Column, compiled: list[tuple[str, bool]]) -> Column:
-    drop, keep = globs.first_match_regexes(compiled)
-    action = F.when(path.rlike(drop), F.lit(False))
-    if any(flag for _, flag in compiled):
-        action = action.when(path.rlike(keep), F.lit(True))
+def _literal_action(path: Column, runs: list[tuple[str, bool]]) -> Column:
+    action = F.when(F.lit(False), F.lit(False))
+    for regex, keep in runs:
+        action = action.when(path.rlike(regex), F.lit(keep))
     return action
 
 
@@ -43,8 +42,7 @@ def first_action(path, layers: Sequence[Layer], compat: str = "reference") -> Co
         elif callable(layer):
             actions.append(layer(path))
         elif layer:
-            compiled = [globs.path_rule_regex(rule, compat) for rule in layer]
-            actions.append(_literal_action(path, compiled))
+            actions.append(_literal_action(path, globs.rule_runs(list(layer), "path", compat)))
     return F.coalesce(*actions) if actions else F.lit(None).cast("boolean")
 
 
@@ -58,10 +56,9 @@ def last_action(path, layers: Sequence[Layer]) -> Column:
             actions.append(F.try_element_at(hits, F.lit(-1))["keep"])
         elif callable(layer):
             actions.append(layer(path))
-        else:
-            compiled = [c for c in map(globs.gitignore_regex, layer) if c is not None]
-            if compiled:
-                actions.append(_literal_action(path, compiled[::-1]))
+        elif layer:
+            runs = globs.rule_runs(list(layer), "gitignore")
+            actions.append(_literal_action(path, runs[::-1]))
     return F.coalesce(*actions) if actions else F.lit(None).cast("boolean")
 
 

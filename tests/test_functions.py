@@ -247,3 +247,38 @@ def test_trim_and_imports(values):
     assert values(text.trim(F.lit("\t  a b \x85\n"))) == "a b"
     code = "import a\n  import b\nexport * from 'c'\nimportant\nx import y"
     assert values(text.import_lines(F.lit(code))) == ["import a", "  import b", "export * from 'c'"]
+
+
+def test_merged_rules_agree_with_single_rules(spark):
+    """Random rule lists: one merged literal regex per run against rule by rule."""
+    import random
+
+    dice = random.Random(11)
+    names = ["a", "b.x", ".c", "d~", "x.y", "build", ".", "é.x"]
+    shapes = ["{}", "*{}", "{}/", "/{}", "**/{}", "{}/**", "!{}", "!*{}", "*.{}", "{}*", "a/{}", "!a/{}", "?{}", "**/*.{}", "!{}/", "a/**/{}"]
+    all_paths = sorted({"/".join(dice.choice(names) for _ in range(dice.randint(1, 4))) for _ in range(60)})
+    df = spark.createDataFrame([(p,) for p in all_paths], "path string").coalesce(1).cache()
+    for _ in range(8):
+        lists = [[dice.choice(shapes).format(dice.choice(names)) for _ in range(dice.randint(1, 12))] for _ in range(4)]
+        columns = []
+        for i, rules in enumerate(lists):
+            v1 = F.transform(F.array(*map(F.lit, rules)), lambda r: globs.path_rule_column(r))
+            git = F.transform(F.array(*map(F.lit, rules)), lambda r: globs.gitignore_column(r))
+            columns += [
+                ignore.ignored_v1("path", [rules]).alias(f"a{i}"), v1.alias(f"v{i}"),
+                ignore.ignored_gitignore("path", False, [rules]).alias(f"c{i}"),
+                ignore.ignored_gitignore("path", True, [rules]).alias(f"e{i}"), git.alias(f"g{i}"),
+            ]
+        tables = df.select("path", *columns)
+        single = []
+        for i in range(4):
+            single += [
+                f"a{i}", f"c{i}", f"e{i}",
+                ignore.ignored_v1("path", [F.col(f"v{i}")]).alias(f"b{i}"),
+                ignore.ignored_gitignore("path", False, [F.col(f"g{i}")]).alias(f"d{i}"),
+                ignore.ignored_gitignore("path", True, [F.col(f"g{i}")]).alias(f"f{i}"),
+            ]
+        for row in tables.select("path", *single).collect():
+            for i, rules in enumerate(lists):
+                for merged, alone in ("ab", "cd", "ef"):
+                    assert row[f"{merged}{i}"] == row[f"{alone}{i}"], (row["path"], rules, merged)
