@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
 from corpusloom.operators import crawl, ignore
-from corpusloom.operators.joins import spread_join
 
 
 def _root_rows(entries: DataFrame, suffix: str = "") -> DataFrame:
@@ -70,8 +69,9 @@ def file_tree_v2(nodes: DataFrame, repos: DataFrame) -> DataFrame:
     get a root line. A node is shown only if all directories above it are. The last child of every
     directory is one partial aggregation. Branch prefixes are built for directories
     only and then joined to the children. One directory may hold a large share of all
-    files; directories are too many to repeat them for every part of a spread join, so
-    that join is left for adaptive execution to split (nothing behind it needs its order).
+    files or directories; there are too many directories to repeat them for every part of
+    a spread join, so these joins are left for adaptive execution to split, which it can,
+    since what follows them shuffles anew or not at all.
     """
     nodes = nodes.select(
         "repo", "path", "is_dir",
@@ -91,10 +91,7 @@ def file_tree_v2(nodes: DataFrame, repos: DataFrame) -> DataFrame:
         F.posexplode(F.array_append(paths.ancestors("path"), F.col("path"))).alias("pos", "path"),
     )
     prefixes = (
-        spread_join(
-            chains, folders.select("repo", "path", bar.alias("bar")), ["repo", "path"], ["parent"],
-            "inner",
-        )
+        chains.join(folders.select("repo", "path", bar.alias("bar")), ["repo", "path"])
         .groupBy("repo", "parent")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "bar"))).alias("bars"))
         .where(F.size("bars") == F.size(paths.parts("parent")))
