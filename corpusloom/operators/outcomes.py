@@ -19,6 +19,11 @@ def doc_update(reply) -> Column:
     )
 
 
+def commit_message(reply) -> Column:
+    """The proposed commit message: the reply without white space around it."""
+    return trim(reply)
+
+
 def is_no_update(reply) -> Column:
     return trim(reply) == C.NO_UPDATE
 

@@ -13,10 +13,10 @@ from corpusloom.functions import paths
 from corpusloom.operators import crawl, ignore
 
 
-def _root_rows(entries: DataFrame, suffix: str = "") -> DataFrame:
+def _root_rows(entries: DataFrame, suffix: str = "", target: str = "") -> DataFrame:
+    name = paths.base_name(F.lit(target) if target else "repo")
     return entries.select("repo").distinct().select(
-        "repo", F.lit("").alias("key"),
-        F.concat(paths.base_name("repo"), F.lit(suffix)).alias("text"),
+        "repo", F.lit("").alias("key"), F.concat(name, F.lit(suffix)).alias("text")
     )
 
 
@@ -49,7 +49,7 @@ def file_tree_v1(entries: DataFrame, options: crawl.CrawlOptions) -> DataFrame:
         "repo", paths.walk_key("path").alias("key"),
         _indented(F.col("is_dir"), paths.depth("path")).alias("text"),
     )
-    return _root_rows(entries).unionByName(rows)
+    return _root_rows(entries, target=options.target).unionByName(rows)
 
 
 def file_tree_plain(entries: DataFrame) -> DataFrame:

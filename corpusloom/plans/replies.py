@@ -60,6 +60,22 @@ def docs_pipeline(
     return docs.unionByName(others)
 
 
+def commit_docs(docs: DataFrame, responses: DataFrame) -> DataFrame:
+    """Outcome rows of the documentation pass of a commit.
+
+    A reply is taken as the whole new document, without looking for edits. ``docs`` has
+    repo, path, content and request_id.
+    """
+    answered = docs.join(
+        responses.select("request_id", "response", "error"), "request_id", "left"
+    ).withColumn("update", outcomes.doc_update("response"))
+    status = (
+        F.when(F.col("error").isNotNull(), F.lit("error"))
+        .when(F.col("update.needs_update"), F.lit("changed")).otherwise(F.lit("no_update"))
+    )
+    return _outcome_rows(answered.withColumn("proposal", F.col("update.content")), status)
+
+
 def refactor_pipeline(
     files: DataFrame, responses: DataFrame, marker: str = C.MARKER, compat: str = "reference",
 ) -> DataFrame:

@@ -68,6 +68,17 @@ def test_patch_numstat(spark):
     assert [r["path"] for r in diffs.patch_numstat(df.where("id = 1"), ["id"], path_filter="x").collect()] == ["x/a.txt"]
 
 
+def test_patch_without_hunks(spark):
+    patch = (
+        "diff --git a/o b/n\nsimilarity index 100%\nrename from o\nrename to n\n"
+        "diff --git a/i.png b/i.png\nindex 1..2\nBinary files a/i.png and b/i.png differ\n"
+        "diff --git a/s.sh b/s.sh\nold mode 100644\nnew mode 100755\n"
+    )
+    df = spark.createDataFrame([(patch,)], "patch string")
+    got = {tuple(r) for r in diffs.patch_numstat(df, []).collect()}
+    assert got == {("n", 0, 0), ("i.png", None, None), ("s.sh", 0, 0)}
+
+
 def snapshot(spark, files):
     return spark.createDataFrame([(r, p, c) for r, p, c in files], "repo string, path string, content string")
 

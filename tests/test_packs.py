@@ -113,6 +113,7 @@ def test_pack_v1_target_and_flags(spark):
     assert joined(pack.sections) == "## .gitignore\n\nx\n\n"
     pack = packing.pack_v1(df, CrawlOptions(target="s"), include_header=False, no_gitignore=True)
     assert joined(pack.sections) == "## .gitignore\n\nx\n\n## a\n\nA\n\n"
+    assert lines(pack.tree) == ["s", "├── .gitignore", "├── a"]
 
 
 PACK_V2 = (

@@ -240,6 +240,16 @@ def docs_pipeline(spark, sf_dir):
     return reply_plan.docs_pipeline(*_files_and_responses(spark, sf_dir)).drop("old_content")
 
 
+@query("commit_docs", V.with_ctes(f"""
+SELECT repo, path, doc_id AS request_id, status, CASE WHEN status = 'changed' THEN t END AS new_content FROM (
+  SELECT *, {V.trim_sql('response')} AS t, CASE WHEN doc_id % 17 = 3 THEN 'error'
+    WHEN {V.trim_sql('response')} IN ('', 'NO_UPDATE_NEEDED') THEN 'no_update' ELSE 'changed' END AS status
+  FROM replies WHERE ends_with(lower(path), '.md') AND NOT contains(path, '.git/')) r""", *REPLY_CTES))
+def commit_docs(spark, sf_dir):
+    files, responses = _files_and_responses(spark, sf_dir)
+    return reply_plan.commit_docs(files.where(paths.is_markdown_path("path")), responses).drop("old_content")
+
+
 @query("run_summary", V.with_ctes("""
 SELECT repo, count(*) FILTER (WHERE status <> 'not_markdown') AS processed, count(*) FILTER (WHERE status = 'changed') AS changed,
   count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status IN ('not_markdown', 'no_update', 'skipped')) AS skipped

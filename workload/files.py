@@ -138,11 +138,8 @@ def language_counts(spark, sf_dir):
 def text_v1_sql(content: str) -> str:
     """Text check v1 of a valid text: the prefix is invalid when it cuts a character."""
     h = f"hex(encode({content}))"
-    head = f"substr({h}, 1, 2048)"
-    controls = (
-        f"len(list_filter(range(0, least(strlen({content}), 1024)), lambda i: "
-        f"substr({head}, 2 * CAST(i AS BIGINT) + 1, 2) < '20' AND substr({head}, 2 * CAST(i AS BIGINT) + 1, 2) NOT IN ('09', '0A', '0D')))"
-    )
+    head = f"TRY(decode(unhex(substr({h}, 1, 2048))))"
+    controls = f"(strlen({head}) - strlen(regexp_replace({head}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')))"
     signatures = ", ".join(f"'{s}'" for s in C.BINARY_SIGNATURES)
     return f"""CASE WHEN {content} = '' THEN true
   WHEN substr({h}, 2049, 1) IN ('8', '9', 'A', 'B') THEN false
