@@ -113,7 +113,7 @@ def is_text_v2(path, content, compat: str = "reference") -> Column:
     path, content = as_column(path), as_column(content).cast("binary")
     prefix = F.substring(content, 1, C.TEXT_PREFIX_V2)
     nuls = F.octet_length(prefix) - F.octet_length(
-        F.regexp_replace(prefix.cast("string"), r"\x00", "")
+        F.replace(prefix.cast("string"), F.lit("\u0000"), F.lit(""))
     )
     binary_name = F.lower(extension(path)).isin(C.BINARY_EXTENSIONS)
     if compat == "intended":

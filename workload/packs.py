@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
@@ -74,7 +75,8 @@ UNION ALL SELECT DISTINCT source, '', source || '/' FROM documents)"""
     "SELECT * FROM tree", *Q.V2_NODE_CTES, tree_v2_ctes("(SELECT * FROM visited WHERE drop_reason IS NULL) v")))
 def file_tree_v2(spark, sf_dir):
     entries = V.corpus(spark, sf_dir)
-    nodes = crawl.nodes_v2(entries, Q.V2_OPTIONS).where(F.col("drop_reason").isNull())
+    nodes = crawl.nodes_v2(entries, Q.V2_OPTIONS).persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = nodes.where(F.col("drop_reason").isNull())
     return trees.file_tree_v2(nodes, V.repos(spark, sf_dir))
 
 
