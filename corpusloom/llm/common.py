@@ -68,16 +68,24 @@ def join_by_size(
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew when it has ``limit`` entries."""
+    """A dict that computes what it lacks and keeps what was used lately.
+
+    With ``limit`` entries it becomes the older of two generations; entries of the older
+    one come back when they are asked for, the rest is forgotten at the next turn.
+    """
 
     def __init__(self, compute, limit: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 

@@ -21,3 +21,15 @@ def op2_token_counts(spark, sf_dir):
     from corpusloom.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
+@query
+def op5_sentencepiece(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.piece_coding import code_documents
+
+    coded = code_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
