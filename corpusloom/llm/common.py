@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def text_batches(
     """The same rows in batches of about equal bytes of text; a long text is one batch."""
     for batch in batches:
         texts = batch.column(column)
-        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes + 64)
         start, n = 0, len(sizes)
         while start < n:

@@ -33,3 +33,19 @@ def op5_sentencepiece(spark, sf_dir):
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    from corpusloom.llm.toxicity import fit, grade_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return grade_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    from corpusloom.llm.languages import fit, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit(docs))
