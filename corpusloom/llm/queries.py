@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from corpusloom.llm import oracles
 from corpusloom.llm.common import table
 
 QUERIES = {}
@@ -13,6 +14,9 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 def query(fn):
     QUERIES[fn.__name__] = fn
+    sql = getattr(oracles, fn.__name__, None)
+    if sql:
+        ORACLES[fn.__name__] = sql()
     return fn
 
 
@@ -49,3 +53,18 @@ def op9_language_id(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return predict_languages(docs, fit(docs))
+
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    from corpusloom.llm.quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    from corpusloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
