@@ -13,10 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import join_by_size
+from corpusloom.llm.common import join_by_size, written
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 CONTAINMENT = 0.92
 
 #: Phrases and their labels, as the contract fixes them.
@@ -53,6 +52,10 @@ def _lowered(text: Column) -> Column:
     return F.lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _words(low: Column) -> Column:
+    return F.array_remove(F.split(low, SEPARATORS), "")
+
+
 def word_ranks(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary of the templates, rarest first by the number of documents with a word.
 
@@ -111,9 +114,9 @@ def phrase_places(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word and base (array of labels)."""
     low = _lowered(F.col("text"))
     ends = {p.split()[-1] for p in PHRASES}
-    words = F.when(_any([F.contains(low, F.lit(e)) for e in sorted(ends)]), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
+    words = F.when(_any([F.contains(low, F.lit(e)) for e in sorted(ends)]), _words(low))
     columns = list(docs.columns)
-    counted = docs.select(*columns, F.regexp_count(low, F.lit(WORD)).cast("long").alias("n_words"), words.alias("__w"))
+    counted = docs.select(*columns, F.size(_words(low)).cast("long").alias("n_words"), words.alias("__w"))
     w = F.col("__w")
     found = {}
     for phrase, label in PHRASES.items():
@@ -162,6 +165,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         similar_blocks(rows.select(key.alias("key"), "text"), templates or TEMPLATES, containment).groupBy("key")
         .agg(F.sort_array(F.collect_set("label")).alias("more"), F.max("share").alias("share"))
     )
+    matches = written(matches, "licenses")  # read twice below
     placed = phrase_places(rows).withColumn("key", key).drop("text")
     joined = join_by_size(placed, matches, ["key"], F.lit(256), "left")
     more = F.coalesce("more", F.array().cast("array<string>"))

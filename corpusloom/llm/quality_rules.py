@@ -52,7 +52,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     counted = words.select(*map(_quoted, names), F.struct(
         F.size(m("words")).cast("long").alias("n_words"),
         F.length(F.array_join(m("words"), "")).cast("long").alias("word_chars"),
-        F.regexp_count(m("text"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size(F.split(m("text"), SYMBOLS)) - 1).cast("long").alias("n_symbols"),
         F.size(m("lines")).cast("long").alias("n_lines"),
         (F.size(m("lines")) - F.size(F.array_distinct(m("lines")))).cast("long").alias("n_dup_lines"),
         F.transform(m("words"), lambda w: F.xxhash64(w)).alias("hashes"),
