@@ -68,3 +68,21 @@ def op10_license_scan(spark, sf_dir):
     from corpusloom.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_secret_scan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.secrets import fit, scan_secrets
+
+    docs = table(spark, sf_dir, "documents")
+    return scan_secrets(docs, fit(docs)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    from corpusloom.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
