@@ -86,3 +86,10 @@ def op1_decontamination(spark, sf_dir):
     from corpusloom.llm.decontamination import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_near_dedup(spark, sf_dir):
+    from corpusloom.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
