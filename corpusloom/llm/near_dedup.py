@@ -25,6 +25,8 @@ SLOTS = BANDS * ROWS
 #: than five standard errors at 100 slots.
 SLACK = 0.2
 ELEMENTS = 1 << 15
+#: Rows and shingles in a part of a bucket, about.
+PART_ROWS, PART_SHINGLES = 1500, 1_500_000
 
 
 def super_minhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -136,6 +138,125 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _across(
+    buckets: DataFrame, leaders: DataFrame, groups: DataFrame, classes: DataFrame, percent: int,
+) -> tuple[DataFrame, DataFrame]:
+    """What buckets with several groups still have to compare.
+
+    (pairs (a, b) of different groups whose signatures agree enough, rows of dense cells).
+    A bucket is cut into parts of bounded rows and shingles; a cell is two of its parts,
+    compared by signature in one task. A pair counts in the first band it shares. A cell
+    with many such pairs gives its rows (cell, class, root, side) and no pairs: they are
+    linked by ``_dense_links``, which needs no row for each pair.
+    """
+    member = (
+        buckets.join(leaders.select("key", "k", "total"), "key")
+        .join(groups.withColumnRenamed("node", "class"), "class", "left")
+        .select("key", "k", "total", "class", F.coalesce("root", "class").alias("root"))
+    )
+    mixed = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    parts = F.ceil(F.greatest(F.col("k") / PART_ROWS, F.col("total") / PART_SHINGLES)).cast("int")
+    placed = (
+        member.join(mixed, "key").withColumn("parts", parts)
+        .withColumn("part", F.pmod(F.xxhash64("class", "key"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("class", "root", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+                (F.col("part") > F.col("other")).cast("long").alias("side"))
+    )
+    cells = placed.join(classes.select("class", "n", "signature", "bands"), "class")
+    out = "a binary, b binary, key long, i int, j int, class binary, root binary, side long, n long, signature binary"
+    kinds = arrow_schema(out)
+
+    def compare(cell: pa.Table) -> pa.Table:
+        c = {k: cell.column(k).combine_chunks() for k in cell.column_names}
+        names, n, side = c["class"].to_pylist(), c["n"].to_numpy(), c["side"].to_numpy()
+        low, high = _candidate_pairs(cell, percent, c["key"][0].as_py())
+        if len(low) <= 4 * len(names) + 1000:
+            data = {"a": [names[i] for i in low], "b": [names[i] for i in high]}
+            return pa.table({f.name: pa.array(data.get(f.name, [None] * len(low)), f.type) for f in kinds})
+        used = np.unique(np.concatenate([low, high]))
+        return pa.table({f.name: c[f.name].take(pa.array(used)) if f.name in c else pa.nulls(len(used), f.type) for f in kinds})
+
+    found = written(cells.groupBy("key", "i", "j").applyInArrow(compare, out), "across")
+    pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, found.where("a IS NULL").drop("a", "b")
+
+
+def _candidate_pairs(cell: pa.Table, percent: int, key: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a cell of different groups that may be linked; of two sides if it has two."""
+    column = lambda k: cell.column(k).combine_chunks()
+    n, side = column("n").to_numpy(), column("side").to_numpy()
+    root = np.unique(np.array(column("root").to_pylist(), object), return_inverse=True)[1]
+    marks = np.frombuffer(b"".join(column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    crossing = column("i")[0].as_py() != column("j")[0].as_py()
+    before = None
+    if key is not None:
+        bands = column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        before = bands[:, :int(np.flatnonzero((bands == key).all(0))[0])]
+    least = int(np.ceil((percent / 100 - SLACK) * SLOTS))
+    lows, highs = [], []
+    for start in range(0, len(n), 32):
+        rows = np.arange(start, min(start + 32, len(n)))
+        size = np.minimum(n[rows, None], n) * 100 >= percent * np.maximum(n[rows, None], n)
+        able = size & (root[rows, None] != root) & (rows[:, None] < np.arange(len(n)))
+        if crossing:
+            able &= side[rows, None] != side
+        x, y = np.nonzero(able)
+        if not len(x):
+            continue
+        for at in range(0, len(x), 100_000):
+            i, j = rows[x[at:at + 100_000]], y[at:at + 100_000]
+            good = (marks[i] == marks[j]).sum(1) >= least
+            if before is not None and before.shape[1]:
+                good[good] &= ~(before[i[good]] == before[j[good]]).any(1)
+            lows.append(i[good])
+            highs.append(j[good])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *lows]), np.concatenate([none, *highs])
+
+
+def _dense_links(dense: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of dense cells that join groups, confirmed on full sets.
+
+    In a cell the pairs go from the most alike on; one whose ends are already in one group
+    is skipped, every other one is compared on the full sets, so that what comes out joins
+    all that is linked, with fewer links than rows.
+    """
+    asked = dense.select("class").distinct()
+    ids = classes.join(asked, "class", "left_semi").select("row_id").where("row_id IS NOT NULL").distinct()
+    sets = _full_sets(rows, ids, words).dropDuplicates(["class"]).join(asked, "class", "left_semi")
+
+    def link(cell: pa.Table) -> pa.Table:
+        names = cell.column("class").to_pylist()
+        sets = [x.values.to_numpy() for x in cell.column("shingles")]
+        marks = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        low, high = _candidate_pairs(cell, percent, None)
+        alike = np.concatenate([np.empty(0, np.int64)] + [
+            (marks[low[at:at + 100_000]] == marks[high[at:at + 100_000]]).sum(1) for at in range(0, len(low), 100_000)])
+        roots = np.unique(np.array(cell.column("root").to_pylist(), object), return_inverse=True)[1]
+        parent = list(range(int(roots.max()) + 1))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for k in np.argsort(-alike, kind="stable"):
+            i, j = int(low[k]), int(high[k])
+            x, y = top(int(roots[i])), top(int(roots[j]))
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(x, y)] = min(x, y)
+                found.append((names[i], names[j]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return written(dense.join(sets, "class").groupBy("key", "i", "j").applyInArrow(link, "a binary, b binary"), "dense")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: groups at a Jaccard similarity.
 
@@ -157,14 +278,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         "classes")
     signatures = classes.select("class", "signature")
     buckets = classes.select("class", "n", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min(F.struct("class", "n")).alias("low"), F.count("*").alias("k")).where("k > 1")
+    leaders = buckets.groupBy("key").agg(
+        F.min(F.struct("class", "n")).alias("low"), F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
     near_size = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
     stars = (
         buckets.join(leaders.select("key", F.col("low.class").alias("b"), F.col("low.n").alias("m")), "key")
         .where("class != b").where(near_size).select(F.col("class").alias("a"), "b").distinct()
     )
     share = percent / 100 - SLACK
-    links, checked = None, written(_agreeing(stars, signatures, share), "stars")
+    checked = written(_agreeing(stars, signatures, share), "stars")
     link = 100 * F.col("both") >= percent * F.col("either")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -175,24 +297,13 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     links = confirm(checked)
     groups = written(components(links), "groups")
-    # Buckets with several groups: all but the largest group's members meet the others.
-    member = (
-        buckets.join(leaders.select("key"), "key").join(groups.withColumnRenamed("node", "class"), "class", "left")
-        .select("key", "class", "n", F.coalesce("root", "class").alias("root"))
-    )
-    sizes = member.groupBy("key", "root").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("g")).where("g > 1")
-    mixed = member.join(main.select("key", F.col("top.root").alias("top")), "key")
-    outside = mixed.where("root != top").select("key", F.col("class").alias("a"), "n", F.col("root").alias("ra"))
-    across = (
-        outside.join(mixed.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb")), "key")
-        .where("ra != rb").where(near_size)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    rest = written(_agreeing(across.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"),
-                             signatures, share), "across")
-    if rest.limit(1).count():
-        links = links.unionByName(confirm(rest))
+    rest, dense = _across(buckets, leaders, groups, classes, percent)
+    more = [confirm(rest)] if rest.limit(1).count() else []
+    if dense.limit(1).count():
+        more.append(_dense_links(dense, rows, classes, words, percent))
+    if more:
+        for part in more:
+            links = links.unionByName(part)
         groups = written(components(links), "groups")
     named = (
         classes.select("class", "row_id").join(groups.withColumnRenamed("node", "class"), "class")
