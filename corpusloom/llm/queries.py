@@ -93,3 +93,13 @@ def op7_near_dedup(spark, sf_dir):
     from corpusloom.llm.near_dedup import near_groups
 
     return near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.substring_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
