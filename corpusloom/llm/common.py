@@ -47,15 +47,15 @@ def drop_written(spark: SparkSession) -> None:
 
 
 def semi_by_size(
-    many: DataFrame, keys: DataFrame, on: list[str], max_rows: int = 2_000_000,
+    many: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", max_rows: int = 2_000_000,
 ) -> DataFrame:
-    """Rows of ``many`` with a key in ``keys`` (distinct, a few numbers wide).
+    """Rows of ``many`` with a key in ``keys`` (distinct, a few numbers wide), or without (left_anti).
 
     The keys are counted; up to ``max_rows`` they are broadcast, so that wide texts need
     no shuffle, beyond that both sides are shuffled. The result is the same.
     """
     small = keys.limit(max_rows + 1).count() <= max_rows
-    return many.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    return many.join(F.broadcast(keys) if small else keys, on, how)
 
 
 def join_by_size(

@@ -190,14 +190,15 @@ def piece_table(path: str) -> PieceTable:
     return _TABLES[path]
 
 
-def code_documents(docs: DataFrame, model_path: str, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_tokens, ids_text, decoded) of every row of ``docs``, whole texts.
+def code_documents(docs: DataFrame, model_path: str, batch_bytes: int = 1 << 20, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_text, decoded[, text]) of every row of ``docs``, whole texts.
 
     ``ids_text`` has the decimal ids, joined by one space, with the end id; ``decoded`` is
     the text they decode to. Null and empty texts have the end id alone and decode to an
     empty text; repeated rows are coded row by row; a null doc_id stays.
     """
-    schema = arrow_schema(_SCHEMA)
+    out = _SCHEMA + ", text string" * with_text
+    schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(model_path)
@@ -206,7 +207,7 @@ def code_documents(docs: DataFrame, model_path: str, batch_bytes: int = 1 << 20)
             counts, texts = [s.count(" ") + 1 for s in ids], map(pieces.decode_names, ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
-                 pa.array(texts, pa.string())], schema=schema)
+                 pa.array(texts, pa.string()), *[batch.column("text")] * with_text], schema=schema)
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, _SCHEMA)
+    return columns.mapInArrow(run, out)

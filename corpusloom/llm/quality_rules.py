@@ -92,6 +92,15 @@ def _quoted(name: str) -> Column:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
+def failed_bits() -> Column:
+    """The bits of all rules, from the columns of ``measured``."""
+    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)]
+    failed = bits[0]
+    for one in bits[1:]:
+        failed = failed.bitwiseOR(one)
+    return failed.cast("long")
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measures, failed): every rule evaluated once on every whole text.
 
@@ -99,12 +108,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     ``few_words``; an empty text likewise. Repeated rows give a row each, a null doc_id
     stays. Other columns of the input aren't read.
     """
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)]
-    failed = bits[0]
-    for one in bits[1:]:
-        failed = failed.bitwiseOR(one)
     rows = measured(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.select("doc_id", *MEASURES, failed.cast("long").alias("failed"))
+    return rows.select("doc_id", *MEASURES, failed_bits().alias("failed"))
 
 
 def passes(failed: Column | str, version: str = CURRENT) -> Column:
