@@ -24,7 +24,7 @@ from corpusloom.llm.common import (
     arrow_schema, gram_hashes, join_by_size, text_batches, word_hashes, words_of, written,
 )
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 7
 #: Words in a shard, about.
 SHARD_WORDS = 1_000_000
 
@@ -52,21 +52,20 @@ class FMIndex:
         inside = words[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
         return before[at >> 6] + np.bitwise_count(inside)
 
-    def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol comes before a place of the transform."""
-        start = np.zeros(len(at), np.int64)
+    def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """The intervals of the matches with one more symbol in front.
+
+        How often a symbol comes before a place is followed down the levels, for both ends
+        of the interval and for the start of the symbol's stretch.
+        """
+        start = np.zeros(len(symbols), np.int64)
         for level in self.levels:
             bit, _, _, zeros = level
-            high = (symbols >> bit) & 1 == 1
-            one, one_start = self._ones(level, at), self._ones(level, start)
-            at = np.where(high, zeros + one, at - one)
-            start = np.where(high, zeros + one_start, start - one_start)
-        return at - start
-
-    def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray):
-        """The intervals of the matches with one more symbol in front."""
-        base = self.first[symbols]
-        return base + self.rank(symbols, low), base + self.rank(symbols, high)
+            one = self._ones(level, np.concatenate([low, high, start])).astype(np.int64).reshape(3, -1)
+            bits = ((symbols >> bit) & 1 == 1)[None]
+            low, high, start = np.where(bits, zeros + one, np.stack([low, high, start]) - one)
+        base = self.first[symbols] - start
+        return base + low, base + high
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
