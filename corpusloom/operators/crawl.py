@@ -171,7 +171,7 @@ def working_set(
     """Files with ``lang`` and ``drop_reason``; a null reason is the working set.
 
     Order of the tests: ignored (itself or a directory above, by either ignore file),
-    hidden directory, unknown language, binary content.
+    hidden directory, unknown language, unreadable content (null), binary content.
     """
 
     def dropped(path: Column, is_dir: bool) -> Column:
@@ -189,6 +189,7 @@ def working_set(
         )
         .when(paths.in_hidden_dir("path"), F.lit("hidden_dir"))
         .when(F.col("lang") == "", F.lit("unknown_language"))
+        .when(F.col("content").isNull(), F.lit("unreadable"))
         .when(~text.is_text_v1("content", compat), F.lit("binary"))
     )
     return (

@@ -136,17 +136,16 @@ def _replay(match: Column, edits: Column, compat: str) -> Column:
         rest, out, hit = state["rest"], state["out"], state["hit"]
         block = _block(edit)
         inserts = edit["type"] == INSERT_AFTER
-        applies = F.when(inserts, edit["context_line"] == begun).otherwise(
-            F.startswith(rest, block)
-        )
-        if compat == "intended":
-            applies = applies & ~hit
-        tail = F.when(
-            inserts, F.substring(rest, F.char_length(_first_line(rest)) + 2, F.char_length(rest))
-        ).otherwise(F.substring(rest, F.char_length(block) + 1, F.char_length(rest)))
+        behind = F.substring(rest, F.char_length(block) + 1, F.char_length(rest))
+        if compat == "intended":  # the whole block is what was searched for, and stays before an insertion
+            applies, tail, context = F.startswith(rest, block) & ~hit, behind, block
+        else:
+            applies = F.when(inserts, edit["context_line"] == begun).otherwise(F.startswith(rest, block))
+            first = F.substring(rest, F.char_length(_first_line(rest)) + 2, F.char_length(rest))
+            tail, context = F.when(inserts, first).otherwise(behind), F.concat(begun, F.lit("\n"))
         text = (
             F.when(edit["type"] == REPLACE, F.concat(edit["replacement"], F.lit("\n")))
-            .when(inserts, F.concat(begun, F.lit("\n"), edit["insertion"], F.lit("\n")))
+            .when(inserts, F.concat(context, edit["insertion"], F.lit("\n")))
             .otherwise("")
         )
         return F.struct(
@@ -158,6 +157,8 @@ def _replay(match: Column, edits: Column, compat: str) -> Column:
     start = F.struct(
         match.alias("rest"), F.lit("").alias("out"), F.lit(False).alias("hit")
     )
+    if compat == "intended":  # no line that no edit took may get lost
+        return F.aggregate(edits, start, step, lambda state: F.concat(state["out"], state["rest"]))
     return F.aggregate(edits, start, step, lambda state: state["out"])
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.session import ensure_checkpoint_dir
 
 _SALT = "__salt"
+#: The largest value that Spark can hold, about.
+MAX_TEXT_BYTES = 2_000_000_000
 
 
 def spread_join(
@@ -65,25 +67,21 @@ def ordered_buckets(df: DataFrame, order: list[str], buckets: int | None = None)
 
 
 def assemble(
-    sections: DataFrame, keys: list[str], order: list[str], text: str = "text",
-    max_bytes: int = 64 * 1024 * 1024, separator: str = "",
-) -> tuple[DataFrame, DataFrame]:
-    """(one text row per key, the keys too large for one row).
-
-    Sizes are summed first (partial aggregation), and only keys whose text fits
-    ``max_bytes`` are gathered into a row. The others come back as (keys, bytes); their
-    content stays complete in ``sections``.
+    sections: DataFrame, keys: list[str], order: list[str], text: str = "text", separator: str = "",
+) -> DataFrame:
+    """One text row per key, every key.
+
+    Only for what has to be one text, such as a request: nothing is left out, and a key
+    whose text goes beyond what one value can hold fails the job with a message that names
+    it. Packs and contexts stay ordered rows. Sizes are summed along with the rows.
     """
-    size = F.sum(F.octet_length(text) + len(separator.encode())).alias("bytes")
-    sizes = sections.groupBy(*keys).agg(size)
-    fitting = sizes.where(F.col("bytes") <= max_bytes).select(*keys)
-    gathered = (
-        spread_join(sections, fitting, keys, order, "inner")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*order, text))).alias("__rows"))
-        .select(
-            *keys,
-            F.array_join(F.col(f"__rows.{text}"), separator).alias(text),
-        )
+    size = F.sum(F.octet_length(text).cast("long") + len(separator.encode()))
+    grouped = sections.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(*order, text))).alias("__rows"), size.alias("__bytes")
     )
-    return gathered, sizes.where(F.col("bytes") > max_bytes)
+    joined = F.array_join(F.col(f"__rows.{text}"), separator)
+    named = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    whole = F.when(
+        F.col("__bytes") > MAX_TEXT_BYTES, F.raise_error(F.concat(F.lit("text too large for one row: "), named))
+    ).otherwise(joined)
+    return grouped.select(*keys, whole.alias(text))

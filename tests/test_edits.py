@@ -155,3 +155,12 @@ def test_anchors(spark):
     )
     got = {(r["edit_no"], r["line_no"]) for r in E.edit_anchors(df, ["id"]).collect()}
     assert got == {(0, 0), (0, 2), (1, 1), (1, 3)}
+
+
+def test_two_line_context_keeps_its_lines(values):
+    fields = "type string, original string, replacement string, context_line string, insertion string, content string"
+    edit = F.array(F.struct(*[
+        F.lit(v).cast("string").alias(k.split()[0])
+        for k, v in zip(fields.split(", "), (E.INSERT_AFTER, None, None, "a\nb", "n", None))
+    ]))
+    assert values(E.apply_edits(F.lit("a\nb\nc"), edit, "intended")) == "a\nb\nn\nc"

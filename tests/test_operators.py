@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
-from corpusloom.operators import batch, diffs, history, outcomes, prompts, rules
+from corpusloom.operators import batch, crawl, diffs, history, outcomes, prompts, rules
 from corpusloom.plans import commits, replies
 from corpusloom.sources import corpus, ignore_files, sinks, standards
 
@@ -68,6 +68,29 @@ def test_patch_numstat(spark):
     assert [r["path"] for r in diffs.patch_numstat(df.where("id = 1"), ["id"], path_filter="x").collect()] == ["x/a.txt"]
 
 
+def test_patch_signature_and_header_like_lines_do_not_count(spark):
+    patch = (
+        "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n"
+        "@@ -9 +9 @@ tail\n--- old\n+++ new\n\\ No newline at end of file\n-- \n2.40.0\n"
+    )
+    got = diffs.patch_numstat(spark.createDataFrame([(patch,)], "patch string"), [])
+    assert [tuple(r) for r in got.collect()] == [("x", 2, 2)]
+
+
+def test_snapshot_diff_of_unreadable_files_and_directories(spark):
+    kinds = "repo string, path string, is_dir boolean, content string"
+    old = spark.createDataFrame([("r", "d", True, None), ("r", "u", False, None), ("r", "x", False, "1"), ("r", "y", False, None)], kinds)
+    new = spark.createDataFrame([("r", "e", True, None), ("r", "u", False, None), ("r", "x", False, None), ("r", "z", False, None)], kinds)
+    got = {tuple(r) for r in diffs.snapshot_diff(old, new).collect()}
+    assert got == {("r", "x", "unreadable"), ("r", "y", "deleted"), ("r", "z", "added")}
+
+
+def test_working_set_drops_unreadable_files(spark):
+    rows = [("r", "a.go", b"package a"), ("r", "b.go", None)]
+    got = crawl.working_set(spark.createDataFrame(rows, "repo string, path string, content binary"))
+    assert {r["path"]: r["drop_reason"] for r in got.collect()} == {"a.go": None, "b.go": "unreadable"}
+
+
 def test_patch_without_hunks(spark):
     patch = (
         "diff --git a/o b/n\nsimilarity index 100%\nrename from o\nrename to n\n"
@@ -95,13 +118,12 @@ def test_snapshot_diff_and_outcome(spark):
 def test_commit_requests(spark):
     old = snapshot(spark, [("r", "a", "1"), ("r", "c", "3")])
     new = snapshot(spark, [("r", "a", "2")])
-    rows, oversize = commits.commit_requests(old, new)
-    row = rows.first()
-    assert row["diff"] == "--- a\n- 1\n+ 2\n--- c\n- 3\n+ \n"
+    row = commits.commit_requests(old, new).first()
+    assert row["diff"] == "--- a\n- 1\n+ 2\n--- c\n- 3\n"
     assert row["context"] == "\n--- File: a ---\n2\n--- File (Deleted): c ---\n"
     assert "--- DIFF START ---\n" + row["diff"] + "\n--- DIFF END ---" in row["prompt"]
-    assert row["context"] not in row["prompt"] and oversize.count() == 0
-    intended = commits.commit_requests(old, new, compat="intended")[0].first()
+    assert row["context"] not in row["prompt"]
+    intended = commits.commit_requests(old, new, compat="intended").first()
     assert row["context"] in intended["prompt"]
 
 

@@ -248,8 +248,10 @@ def test_lookup_beyond_the_bound_spreads(spark):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
 
 
-def test_assemble_keeps_large_groups_apart(spark):
+def test_assemble_leaves_no_group_out(spark, monkeypatch):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z" * 50)], "k string, o int, text string")
-    fits, oversize = joins.assemble(df, ["k"], ["o"], max_bytes=10, separator="|")
-    assert [tuple(r) for r in fits.collect()] == [("a", "y|x")]
-    assert [tuple(r) for r in oversize.collect()] == [("b", 51)]
+    whole = joins.assemble(df, ["k"], ["o"], separator="|")
+    assert {tuple(r) for r in whole.collect()} == {("a", "y|x"), ("b", "z" * 50)}
+    monkeypatch.setattr(joins, "MAX_TEXT_BYTES", 10)
+    with pytest.raises(Exception, match="too large for one row: b"):
+        joins.assemble(df, ["k"], ["o"], separator="|").collect()

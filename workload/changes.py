@@ -378,7 +378,7 @@ def fill_sql(template: str, **slots: str) -> str:
 
 
 REPO_DIFFS = """file_ops AS (
-SELECT COALESCE(o.repo, n.repo) AS repo, COALESCE(o.path, n.path) AS path, COALESCE(o.content, '') AS old_text, COALESCE(n.content, '') AS new_text, 0 AS doc_id
+SELECT COALESCE(o.repo, n.repo) AS repo, COALESCE(o.path, n.path) AS path, o.content AS old_text, n.content AS new_text, 0 AS doc_id
 FROM old_files o FULL OUTER JOIN new_files n ON o.repo = n.repo AND o.path = n.path
 WHERE o.path IS NULL OR n.path IS NULL OR o.content <> n.content),
 """ + ", ".join([
@@ -397,7 +397,7 @@ DIFF_CTES = (V.CORPUS, V.VERSIONS, V.SNAPSHOTS, REPO_DIFFS)
 @query("commit_prompts", V.with_ctes(
     f"SELECT repo, {fill_sql(P.COMMIT_PROMPT, diff='diff')} AS prompt FROM repo_diffs", *DIFF_CTES))
 def commit_prompts(spark, sf_dir):
-    diff, _ = commit_plan.repo_diffs(*V.snapshots(spark, sf_dir))
+    diff = commit_plan.repo_diffs(*V.snapshots(spark, sf_dir))
     return diff.select("repo", prompts.commit_prompt("diff").alias("prompt"))
 
 
@@ -413,7 +413,7 @@ def _names_diff(spark, sf_dir):
         F.substring("repo", 4, 20).cast("long") % 5 != 0
     )
     named = changed.select("repo", "path", F.concat("status", F.lit(" "), "path").alias("text"))
-    gathered, _ = assemble(named, ["repo"], ["path"], separator="\n")
+    gathered = assemble(named, ["repo"], ["path"], separator="\n")
     return gathered.select("repo", F.col("text").alias("diff"))
 
 
