@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import (
-    arrow_schema, gram_hashes, join_by_size, text_batches, word_hashes, words_of, written,
+    arrow_schema, gram_hashes, join_by_size, mix, text_batches, word_hashes, words_of, written,
 )
 
 WINDOW, GRAM = 13, 7
@@ -46,25 +45,30 @@ class FMIndex:
             before = np.concatenate([[0], np.cumsum(np.bitwise_count(words))[:-1]]).astype(np.int32)
             self.levels.append((bit, words, before, self.n - int(ones.sum())))
             last = np.concatenate([last[ones == 0], last[ones == 1]])
+        # Where each symbol's own stretch begins on the last level.
+        self.start = np.zeros(len(self.first), np.int64)
+        values = np.arange(len(self.start))
+        for level in self.levels:
+            self.start = self._down(level, values, self.start)
 
     def _ones(self, level, at: np.ndarray) -> np.ndarray:
         _, words, before, _ = level
         inside = words[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
         return before[at >> 6] + np.bitwise_count(inside)
 
+    def _down(self, level, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        one = self._ones(level, at).astype(np.int64)
+        return np.where((symbols >> level[0]) & 1 == 1, level[3] + one, at - one)
+
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray):
         """The intervals of the matches with one more symbol in front.
 
         How often a symbol comes before a place is followed down the levels, for both ends
-        of the interval and for the start of the symbol's stretch.
+        of the interval.
         """
-        start = np.zeros(len(symbols), np.int64)
         for level in self.levels:
-            bit, _, _, zeros = level
-            one = self._ones(level, np.concatenate([low, high, start])).astype(np.int64).reshape(3, -1)
-            bits = ((symbols >> bit) & 1 == 1)[None]
-            low, high, start = np.where(bits, zeros + one, np.stack([low, high, start]) - one)
-        base = self.first[symbols] - start
+            low, high = self._down(level, symbols, low), self._down(level, symbols, high)
+        base = self.first[symbols] - self.start[symbols]
         return base + low, base + high
 
 
@@ -86,7 +90,11 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
 
 def matching_statistics(index: FMIndex, symbols: np.ndarray, ends: np.ndarray, limit: int = WINDOW):
     """(lengths, low, high): the longest match that ends before each place, up to ``limit``,
-    and the interval of those matches."""
+    and the interval of those matches.
+
+    Intervals of one step are equal or apart, so each is extended by a symbol once,
+    however many places are in it.
+    """
     low, high = np.zeros(len(ends), np.int64), np.full(len(ends), index.n, np.int64)
     lengths, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
     for step in range(1, limit + 1):
@@ -95,7 +103,10 @@ def matching_statistics(index: FMIndex, symbols: np.ndarray, ends: np.ndarray, l
         live, at = live[ok], at[ok]
         ok = symbols[at] > 0
         live, at = live[ok], at[ok]
-        a, b = index.extend(symbols[at], low[live], high[live])
+        state = low[live] * len(index.first) + symbols[at]
+        _, one, which = np.unique(state, return_index=True, return_inverse=True)
+        a, b = index.extend(symbols[at[one]], low[live[one]], high[live[one]])
+        a, b = a[which], b[which]
         ok = b > a
         live = live[ok]
         low[live], high[live] = a[ok], b[ok]
@@ -105,15 +116,47 @@ def matching_statistics(index: FMIndex, symbols: np.ndarray, ends: np.ndarray, l
     return lengths, low, high
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window) of each anchor; its windows end where the next one's begin."""
+def anchors(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, hash, start, stop, first) of each anchor in texts of ``sizes`` words, end to end.
+
+    The windows of an anchor are the words from ``start`` to ``stop``; ``first`` is the
+    first of them, counted in its text.
+    """
+    n = len(hashes) - WINDOW + 1
+    if n <= 0:
+        return (np.empty(0, np.int64), np.empty(0, np.uint64)) + (np.empty(0, np.int64),) * 3
     grams = gram_hashes(hashes, GRAM)
-    if len(hashes) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).argmin(1)
-    place = least + np.arange(len(least))
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    return grams[place[first]], place[first], first
+    least, offset = grams[:n].copy(), np.zeros(n, np.int64)
+    for j in range(1, WINDOW - GRAM + 1):
+        offset[grams[j:j + n] < least] = j
+        np.minimum(least, grams[j:j + n], out=least)
+    stops = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    windows = np.flatnonzero(np.arange(n) + WINDOW <= stops[text])  # those within one text
+    place = windows + offset[windows]
+    new = np.flatnonzero(np.diff(place, prepend=-1))
+    start, text = windows[new], text[windows[new]]
+    stop = windows[np.append(new[1:], len(windows))[:len(new)] - 1] + WINDOW
+    return text, least[start], start, stop, start - (stops - sizes)[text]
+
+
+def stretch_keys(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run of words from ``start`` to ``stop`` (none of them empty)."""
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = stop - start
+    begins = np.cumsum(sizes) - sizes
+    inside = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+    words = hashes[np.repeat(start, sizes) + inside] + mix(inside.astype(np.uint64))
+    one = mix(words)
+    return tuple(
+        mix(np.add.reduceat(x, begins) + sizes.astype(np.uint64)).view(np.int64) for x in (one, mix(one + np.uint64(1))))
+
+
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words in each text)."""
+    parts = [word_hashes(words_of(t.as_py())) for t in batch.column("text")]
+    return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -129,11 +172,9 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 16 * 1024 * 1024):
             ids, bodies = batch.column("doc_id").to_numpy(), batch.column("body").to_numpy()
-            parts = [anchors(word_hashes(words_of(t))) for t in batch.column("text").to_pylist()]
-            sizes = [len(p[0]) for p in parts]
-            anchor = np.concatenate([p[0] for p in parts]).view(np.int64)
-            first = np.concatenate([p[2] for p in parts]).astype(np.int32)
-            doc, body = np.repeat(ids, sizes), np.repeat(bodies, sizes)
+            text, anchor, _, _, first = anchors(*_hashed(batch))
+            anchor, first = anchor.view(np.int64), first.astype(np.int32)
+            doc, body = ids[text], bodies[text]
             order = np.lexsort((doc, anchor))
             anchor, first, doc, body = anchor[order], first[order], doc[order], body[order]
             starts = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] - 1)) if len(anchor) else np.empty(0, np.int64)
@@ -193,26 +234,40 @@ def _recurring(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, out).select("doc_id", "body", "first")
 
 
-def _stretches(docs: DataFrame, hits: DataFrame, with_words: bool) -> DataFrame:
-    """(stretch, anchor, doc_id, body, first[, words]) of the anchors in ``hits`` (doc_id, body, places)."""
-    out = "stretch binary, anchor long, doc_id long, body long, first int" + ", words binary" * with_words
-    schema = arrow_schema(out)
+_STRETCH = "one long, other long, anchor long, doc_id long, body long, first int, words binary"
+
+
+def _stretches(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(one, other, anchor, doc_id, body, first, words) of the anchors in ``hits`` (doc_id, body, places).
+
+    ``one`` and ``other`` name a stretch; a batch gives its ``words`` once, null elsewhere.
+    """
+    schema = arrow_schema(_STRETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            rows = []
-            for doc, body, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "text", "places"))):
-                hashes = word_hashes(words_of(text))
-                anchor, _, first = anchors(hashes)
-                ends = np.append(first[1:], len(hashes) - WINDOW + 1) + WINDOW - 1
-                for k in np.searchsorted(first, np.unique(places)):
-                    data = hashes[first[k]:ends[k]].tobytes()
-                    rows.append((xxhash.xxh128_digest(data), int(anchor[k].view(np.int64)), doc, body, int(first[k]), data))
-            columns = list(zip(*rows))[:len(schema)] if rows else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        for batch in text_batches(batches, 16 * 1024 * 1024):
+            ids, bodies, places = batch.column("doc_id").to_numpy(), batch.column("body").to_numpy(), batch.column("places")
+            hashes, sizes = _hashed(batch)
+            text, anchor, start, stop, first = anchors(hashes, sizes)
+            begins = np.cumsum(sizes) - sizes
+            counts = np.diff(places.offsets.to_numpy())
+            wanted = np.repeat(begins, counts) + places.flatten().to_numpy()
+            take = np.searchsorted(start, wanted)
+            text, anchor, start, stop, first = (x[take] for x in (text, anchor, start, stop, first))
+            one, other = stretch_keys(hashes, start, stop)
+            order = np.lexsort((other, one))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(one[order]) != 0) | (np.diff(other[order]) != 0)
+            words = np.full(len(order), None, object)
+            for k in order[new]:
+                words[k] = hashes[start[k]:stop[k]].tobytes()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(one), pa.array(other), pa.array(anchor.view(np.int64)), pa.array(ids[text]), pa.array(bodies[text]),
+                pa.array(first.astype(np.int32)), pa.array(words, pa.binary()),
+            ], schema=schema)
 
-    places = join_by_size(docs, hits, ["doc_id", "body"], F.size("places") * 4)
-    return places.select("doc_id", "body", "text", "places").mapInArrow(run, out)
+    placed = join_by_size(docs, hits, ["doc_id", "body"], F.size("places") * 4)
+    return placed.select("doc_id", "body", "text", "places").mapInArrow(run, _STRETCH)
 
 
 def search_shard(stretches: list[bytes], lowest: np.ndarray) -> list[np.ndarray]:
@@ -251,26 +306,24 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     met = rows.repartition(n, "key").sortWithinPartitions("key", "anchor", "doc_id")
     hits = written(
         _recurring(met).groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("first")).alias("places")), "hits")
-    distinct = written(
-        _stretches(docs, hits, True).groupBy("stretch")
-        .agg(F.first("anchor").alias("anchor"), F.first("words").alias("words"), F.min("doc_id").alias("lowest"))
-        .drop("stretch"), "stretches")
-    total = distinct.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"] // 8
+    stretches = written(_stretches(docs, hits), "stretches")
+    total = stretches.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"] // 8
     shards = max(1, math.ceil(total / SHARD_WORDS))
+    distinct = stretches.groupBy("one", "other").agg(
+        F.min("anchor").alias("anchor"), F.first("words", ignorenulls=True).alias("words"), F.min("doc_id").alias("lowest"))
 
     def search(shard: pa.Table) -> pa.Table:
-        words = shard.column("words").to_pylist()
-        least = search_shard(words, shard.column("lowest").to_numpy())
-        return pa.table({"stretch": pa.array(map(xxhash.xxh128_digest, words), pa.binary()), "least": pa.array(least, pa.list_(pa.int64()))})
+        least = search_shard(shard.column("words").to_pylist(), shard.column("lowest").to_numpy())
+        return shard.select(["one", "other"]).append_column("least", pa.array(least, pa.list_(pa.int64())))
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    least = dealt.groupBy("shard").applyInArrow(search, "stretch binary, least array<long>")
+    least = dealt.groupBy("shard").applyInArrow(search, "one long, other long, least array<long>")
     bits = F.aggregate(
         F.transform("least", lambda low, i: F.when(low < F.col("doc_id"), F.expr("1L").cast("long") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))),
         F.lit(0).cast("long"), lambda done, b: done + b)
     marked = (
-        _stretches(docs, hits, False).select("stretch", "doc_id", "body", "first")
-        .join(least, "stretch").select("doc_id", "body", F.struct("first", bits.alias("bits")).alias("mark"))
+        stretches.select("one", "other", "doc_id", "body", "first")
+        .join(least, ["one", "other"]).select("doc_id", "body", F.struct("first", bits.alias("bits")).alias("mark"))
         .where("mark.bits > 0")
     )
     return written(marked.groupBy("doc_id", "body").agg(F.sort_array(F.collect_set("mark")).alias("marks")), "marks")
