@@ -166,6 +166,7 @@ FREQUENCY_PENALTY = 0.0
 PRESENCE_PENALTY = 0.0
 GENERATE_TRIES = 3
 GENERATE_WAITS = (2.0, 4.0)
+GENERATE_TIMEOUT = 180.0
 
 # --- Fixed values: pack layout --------------------------------------------------------
 RULE_LINE = "============================================================\n"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,21 +16,58 @@ from corpusloom import constants as C
 from corpusloom.schemas import RESPONSES
 
 
+#: Requests whose replies are handed on together.
+CHUNK = 64
+
+
 class Cancelled(Exception):
     """Raised by a generate function when the request must not be tried again."""
 
 
-def _generate(call, request, tries: int, waits: Sequence[float]) -> tuple:
+def _call(call, request: dict, timeout: float | None):
+    """The reply, or TimeoutError once ``timeout`` seconds are over.
+
+    A call that hangs is left behind in a daemon thread, since Python can't end it.
+    """
+    if timeout is None:
+        return call(request)
+    out: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            out.put((call(request), None))
+        except BaseException as failure:  # handed to the waiting thread
+            out.put((None, failure))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        response, failure = out.get(timeout=timeout)
+    except queue.Empty:
+        raise TimeoutError(f"no reply within {timeout:g} s") from None
+    if failure is not None:
+        raise failure
+    return response
+
+
+def _generate(
+    call, request: dict, tries: int, waits: Sequence[float], timeout: float | None, deadline: float | None, only_timeouts: bool,
+) -> tuple:
+    end = None if deadline is None else time.monotonic() + deadline
     error = None
     for attempt in range(1, tries + 1):
         if attempt > 1 and waits:
             time.sleep(waits[min(attempt - 2, len(waits) - 1)])
+        left = None if end is None else end - time.monotonic()
+        if left is not None and left <= 0:
+            return None, f"deadline exceeded after {attempt - 1} attempts: {error}", attempt - 1
         try:
-            response = call(request)
+            response = _call(call, request, min((t for t in (timeout, left) if t is not None), default=None))
         except Cancelled as stop:
             return None, f"cancelled: {stop}", attempt
         except Exception as failure:  # one bad request must not fail the job
             error = f"{type(failure).__name__}: {failure}"
+            if only_timeouts and not isinstance(failure, TimeoutError):
+                return None, f"failed after {attempt} attempts: {error}", attempt
             continue
         if response is None:
             return None, "no choices", attempt
@@ -38,25 +78,31 @@ def _generate(call, request, tries: int, waits: Sequence[float]) -> tuple:
 def generate(
     requests: DataFrame, call: Callable[[dict], str | None], tries: int = C.GENERATE_TRIES,
     waits: Sequence[float] = C.GENERATE_WAITS, parallelism: int | None = None,
+    timeout: float | None = C.GENERATE_TIMEOUT, deadline: float | None = None, only_timeouts: bool = False,
+    calls: int = 1,
 ) -> DataFrame:
     """(request_id, response, error, attempts), one row per request.
 
     ``call`` gets a request as a dict and returns the reply, or None for no choices. It
-    runs in Arrow batches on the executors. Requests are spread evenly over
-    ``parallelism`` tasks first, since a call costs far more than moving its row.
+    runs on the executors, ``calls`` at a time in a task (more than one only if it is safe
+    in threads), and replies are handed on in small chunks. A try ends after ``timeout`` seconds and a request after ``deadline``
+    seconds with all its tries (None: never). With ``only_timeouts`` other errors aren't
+    tried again. Requests are spread evenly over ``parallelism`` tasks (by default those
+    of the cluster) first, since a call costs far more than moving its row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (request["request_id"], *_generate(call, request, tries, waits))
-                for request in batch.to_dict("records")
-            ]
-            yield pd.DataFrame(rows, columns=[f.name for f in RESPONSES.fields])
-
-    if parallelism:
-        requests = requests.repartition(parallelism, "request_id")
-    return requests.mapInPandas(run, RESPONSES)
+        def one(request: dict) -> tuple:
+            return request["request_id"], *_generate(call, request, tries, waits, timeout, deadline, only_timeouts)
+
+        with ThreadPoolExecutor(calls) as pool:
+            for batch in batches:
+                for start in range(0, len(batch), CHUNK):
+                    rows = list(pool.map(one, batch.iloc[start:start + CHUNK].to_dict("records")))
+                    yield pd.DataFrame(rows, columns=[f.name for f in RESPONSES.fields])
+
+    parallelism = parallelism or requests.sparkSession.sparkContext.defaultParallelism
+    return requests.repartition(parallelism, "request_id").mapInPandas(run, RESPONSES)
 
 
 def map_files(

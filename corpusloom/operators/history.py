@@ -29,9 +29,31 @@ def last_n_commits(commits: DataFrame, n: int, parts: int = 64) -> DataFrame:
     )
 
 
-def net_change(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Net change between the version n commits back and the newest one."""
-    return snapshot_diff(old, new)
+def versions_at(contents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(files n commits back, newest files) of a table (repo, commit_no, path, content).
+
+    ``commit_no`` counts back from the newest commit, 1, and a row is what a commit made
+    of a path; ``is_deleted``, if there is such a column, marks paths it took away. A path
+    has the content of the newest commit that touched it, up to the version asked for. A
+    repository with ``n`` commits or fewer starts from nothing.
+    """
+    gone = F.col("is_deleted") if "is_deleted" in contents.columns else F.lit(False)
+    rows = contents.withColumn("gone", F.coalesce(gone, F.lit(False)))
+
+    def at(first: int) -> DataFrame:
+        newest = rows.where(F.col("commit_no") >= first).groupBy("repo", "path").agg(F.min("commit_no").alias("commit_no"))
+        live = rows.where(~F.col("gone")).select("repo", "path", "commit_no", "content")
+        return live.join(newest, ["repo", "path", "commit_no"], "left_semi").drop("commit_no")
+
+    return at(n + 1), at(1)
+
+
+def net_change(contents: DataFrame, n: int) -> DataFrame:
+    """(repo, path, status) of the net change that the newest ``n`` commits made.
+
+    A file that was changed and changed back isn't in it. Takes what ``versions_at`` takes.
+    """
+    return snapshot_diff(*versions_at(contents, n))
 
 
 def changelog(commits: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,52 +44,57 @@ def standards_warnings(standards: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def compiled_rules(rules: Column) -> Column:
-    """Rules with their globs as regexes: array<struct<id, language, all_files, globs>>."""
+    """Rules with their globs as one regex: array<struct<id, language, all_files, regex>>.
+
+    The regex is null for a rule without a valid glob.
+    """
+
+    def regex(rule: Column) -> Column:
+        globs_of = F.coalesce(rule["applies_to"], F.array().cast("array<string>"))
+        found = F.filter(F.transform(globs_of, globs.rule_glob_regex_column), lambda glob: glob.isNotNull())
+        return F.nullif(F.array_join(F.transform(found, lambda g: F.concat(F.lit("(?:"), g, F.lit(")"))), "|"), F.lit(""))
+
     return F.transform(
         F.coalesce(rules, F.array()),
         lambda rule: F.struct(
             rule["id"].alias("id"), F.coalesce(rule["language"], F.lit("")).alias("language"),
-            (F.coalesce(F.size(rule["applies_to"]), F.lit(0)) <= 0).alias("all_files"),
-            F.filter(
-                F.transform(
-                    F.coalesce(rule["applies_to"], F.array().cast("array<string>")),
-                    globs.rule_glob_regex_column,
-                ),
-                lambda glob: glob.isNotNull(),
-            ).alias("globs"),
+            (F.coalesce(F.size(rule["applies_to"]), F.lit(0)) <= 0).alias("all_files"), regex(rule).alias("regex"),
         ),
     )
 
 
-def _literal_rules(rules: list[dict]) -> Column:
-    """The same shape from rules known while the plan is built."""
+def _literal_rules(rules: list[dict], path: Column) -> Column:
+    """array<struct<id, language, fits>> from rules known while the plan is built.
+
+    Every rule is one literal regex, which is compiled once for all files.
+    """
     rows = []
     for rule in rules:
         found = [globs.rule_glob_regex(g) for g in rule.get("applies_to") or []]
-        regexes = [F.lit(g) for g in found if g is not None]
+        regexes = [f"(?:{g})" for g in found if g is not None]
+        fits = path.rlike("|".join(regexes)) if regexes else F.lit(not found)
         rows.append(F.struct(
-            F.lit(rule["id"]).alias("id"), F.lit(rule.get("language") or "").alias("language"),
-            F.lit(not found).alias("all_files"),
-            F.array(*regexes).cast("array<string>").alias("globs"),
-        ))
+            F.lit(rule["id"]).alias("id"), F.lit(rule.get("language") or "").alias("language"), fits.alias("fits")))
     if not rows:
-        return F.array().cast(
-            "array<struct<id:string,language:string,all_files:boolean,globs:array<string>>>"
-        )
+        return F.array().cast("array<struct<id:string,language:string,fits:boolean>>")
     return F.array(*rows)
 
 
+def _fits(path: Column):
+    return lambda rule: rule["all_files"] | F.coalesce(F.rlike(path, rule["regex"]), F.lit(False))
+
+
 def applicable_ids(
-    path: Column, lang: Column, general: Column, for_language: Column, only: list[str] = ()
+    lang: Column, general: Column, for_language: Column, applies: Callable[[Column], Column], only: list[str] = ()
 ) -> Column:
-    """array<struct<scope, id>> of the rules for one file.
+    """array<struct<scope, id>> of the rules for one file, of those that ``applies`` holds for.
 
     General rules are never made distinct; a language rule whose id is already taken is
     left out. The rules travel in the file's row, so files and rules are never paired.
     """
 
     def fits(rule: Column) -> Column:
-        hit = rule["all_files"] | F.exists(rule["globs"], lambda glob: F.rlike(path, glob))
+        hit = applies(rule)
         return hit & rule["id"].isin(list(only)) if only else hit
 
     def tagged(scope: str):
@@ -110,16 +117,17 @@ def applicable_ids(
 
 def applicable_rules(files: DataFrame, standards: dict, only: list[str] = ()) -> DataFrame:
     """(repo, path, lang, ord, scope, id) for standards known while the plan is built."""
-    general = _literal_rules(standards.get("llm_rules_general") or [])
-    per_language = _literal_rules([])
+    path = F.col("path")
+    general = _literal_rules(standards.get("llm_rules_general") or [], path)
+    per_language = _literal_rules([], path)
     languages = standards.get("languages") or {}
     lang = F.col("lang")
     if languages:
         chain = F.when(F.lit(False), per_language)
         for name, settings in languages.items():
-            chain = chain.when(lang == name, _literal_rules(settings.get("llm_rules") or []))
+            chain = chain.when(lang == name, _literal_rules(settings.get("llm_rules") or [], path))
         per_language = chain.otherwise(per_language)
-    found = applicable_ids(F.col("path"), lang, general, per_language, only)
+    found = applicable_ids(lang, general, per_language, lambda rule: rule["fits"], only)
     return files.select(
         "repo", "path", "lang", F.posexplode(found).alias("ord", "rule")
     ).select("repo", "path", "lang", "ord", "rule.scope", "rule.id")
@@ -142,8 +150,8 @@ def applicable_rules_by_repo(
     joined = spread_join(files.select("repo", "path", "lang"), compiled, ["repo"], ["path"], "inner")
     empty = F.slice(F.col("general"), 1, 0)
     found = applicable_ids(
-        F.col("path"), F.col("lang"), F.col("general"),
-        F.coalesce(F.try_element_at("by_language", F.col("lang")), empty), only,
+        F.col("lang"), F.col("general"), F.coalesce(F.try_element_at("by_language", F.col("lang")), empty),
+        _fits(F.col("path")), only,
     )
     return joined.select("repo", "path", "lang", F.posexplode(found).alias("ord", "rule")).select(
         "repo", "path", "lang", "ord", "rule.scope", "rule.id"

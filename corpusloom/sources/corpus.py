@@ -51,10 +51,13 @@ def read_directories(roots: DataFrame, parallelism: int | None = None) -> DataFr
                 rows = [(repo, root, top, is_dir, error)]
                 if is_dir and not error:
                     base = os.path.join(root, top)
-                    for folder, folders, files in os.walk(base, followlinks=False):
+                    failed = []
+                    for folder, folders, files in os.walk(base, onerror=failed.append, followlinks=False):
                         inside = os.path.relpath(folder, root).replace(os.sep, "/")
                         rows += [(repo, root, f"{inside}/{d}", True, None) for d in folders]
                         rows += [(repo, root, f"{inside}/{f}", False, None) for f in files]
+                        rows += [(repo, root, os.path.relpath(e.filename, root).replace(os.sep, "/"), True, str(e)) for e in failed]
+                        failed.clear()
                         if len(rows) > 10_000:
                             yield pd.DataFrame(rows, columns=["repo", "root", "path", "is_dir", "error"])
                             rows = []

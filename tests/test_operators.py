@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +229,43 @@ def test_generate_retries_and_cancels(spark, tmp_path):
     assert got == {0: ("ok 0", None, 1), 1: ("ok 1", None, 3), 2: (None, "cancelled: stop", 1), 3: (None, "no choices", 1)}
 
 
+def test_generate_ends_hanging_calls(spark):
+    df = prompts.chat_requests(spark.range(3).select(F.col("id").alias("request_id"), F.lit("p").alias("prompt")))
+
+    def call(request):
+        if request["request_id"] == 1:
+            time.sleep(60)
+        if request["request_id"] == 2:
+            raise ValueError("bad")
+        return "ok"
+
+    def run(**options):
+        return {r["request_id"]: tuple(r)[1:] for r in batch.generate(df, call, waits=(), only_timeouts=True, **options).collect()}
+
+    start = time.monotonic()
+    bad = (None, "failed after 1 attempts: ValueError: bad", 1)
+    assert run(timeout=2.0, tries=2, calls=2) == {
+        0: ("ok", None, 1), 1: (None, "failed after 2 attempts: TimeoutError: no reply within 2 s", 2), 2: bad}
+    got = run(timeout=2.0, deadline=3.0, tries=9)
+    assert got[0] == ("ok", None, 1) and got[2] == bad
+    assert got[1][1].startswith("deadline exceeded after 2 attempts: TimeoutError")
+    assert time.monotonic() - start < 50
+
+
+def test_net_change_by_commits(spark):
+    rows = [
+        ("r", 5, "a", "1", False), ("r", 1, "a", "2", False),  # changed
+        ("r", 5, "b", "1", False), ("r", 2, "b", "2", False), ("r", 1, "b", "1", False),  # and changed back
+        ("r", 5, "c", "1", False), ("r", 2, "c", None, True),  # deleted
+        ("r", 2, "d", "1", False), ("r", 1, "d", None, True),  # came and went
+        ("r", 2, "e", "1", False), ("r", 3, "f", "1", False), ("s", 1, "g", "1", False),
+    ]
+    df = spark.createDataFrame(rows, "repo string, commit_no long, path string, content string, is_deleted boolean")
+    got = {tuple(r) for r in history.net_change(df, 2).collect()}
+    assert got == {("r", "a", "modified"), ("r", "c", "deleted"), ("r", "e", "added"), ("s", "g", "added")}
+    assert ("r", "f", "added") in {tuple(r) for r in history.net_change(df.drop("is_deleted"), 3).collect()}
+
+
 def test_map_files(spark):
     files = spark.createDataFrame([("r", "p", "go", "abc")], "repo string, path string, lang string, content string")
     out = batch.map_files(files, lambda repo, path, lang, content: f"{repo}/{path}:{lang}:{len(content)}")

@@ -452,12 +452,12 @@ def refactor_prompts(spark, sf_dir):
     )
 
 
-TURNS = "turns AS (SELECT conv_id * 1000 + turn AS request_id, text AS prompt, CASE turn % 3 WHEN 0 THEN 'task-model' WHEN 1 THEN '' END AS task_model, CASE WHEN conv_id % 2 = 0 THEN 'team-model' ELSE '' END AS default_model FROM conversations WHERE role = 'user')"
+TURNS = "turns AS (SELECT conv_id * 1000 + turn AS request_id, text AS prompt, CASE turn % 3 WHEN 0 THEN 'task-model' WHEN 1 THEN '' END AS task_model, CASE WHEN conv_id % 2 = 0 THEN 'team-model' ELSE '' END AS default_model FROM conversations)"
 MODEL_SQL = "COALESCE(NULLIF(task_model, ''), NULLIF(default_model, ''), 'gpt-4o')"
 
 
 def _requests(spark, sf_dir):
-    turns = V.table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+    turns = V.table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("text").alias("prompt"),
         F.when(F.col("turn") % 3 == 0, F.lit("task-model")).when(F.col("turn") % 3 == 1, F.lit("")).alias("task_model"),
         F.when(F.col("conv_id") % 2 == 0, F.lit("team-model")).otherwise("").alias("default_model"),
@@ -478,22 +478,76 @@ def chat_requests(spark, sf_dir):
     )
 
 
+REQUEST_JSON = (
+    """'{"model":' || to_json(""" + MODEL_SQL + """) || ',"messages":[{"role":"system","content":' || to_json('""" + C.SYSTEM_MESSAGE.replace("'", "''")
+    + """') || '},{"role":"user","content":' || to_json(prompt) || '}],"temperature":0.2,"max_tokens":4096,"top_p":0.95,"""
+    + """"frequency_penalty":0.0,"presence_penalty":0.0}'"""
+)
+
+
+@query("request_json", V.with_ctes(f"SELECT request_id, {REQUEST_JSON} AS value FROM turns", TURNS))
+def request_json(spark, sf_dir):
+    return prompts.request_json(_requests(spark, sf_dir))
+
+
+@query("request_sizes", V.with_ctes(
+    "SELECT doc_id, strlen(old_text) AS diff_bytes, strlen(new_text) AS context_bytes FROM versions", *VERSION_CTES))
+def request_sizes(spark, sf_dir):
+    return prompts.request_sizes(V.versions(spark, sf_dir), ["doc_id"], "old_text", "new_text")
+
+
 def local_reply(request: dict) -> str | None:
     """A deterministic stand-in for a model."""
     user = request["messages"][1]["content"]
-    if request["request_id"] % 7 == 3:
-        raise RuntimeError("busy")
-    if request["request_id"] % 7 == 5:
-        return None
-    return f"{request['model']}: {user}"
+    kind = request["request_id"] % 7
+    if kind == 3:
+        raise TimeoutError("busy")
+    if kind == 4:
+        raise ValueError("bad request")
+    return None if kind == 5 else f"{request['model']}: {user}"
 
 
 @query("batch_generate", V.with_ctes(f"""
-SELECT request_id, CASE WHEN request_id % 7 NOT IN (3, 5) THEN {MODEL_SQL} || ': ' || prompt END AS response,
-  CASE request_id % 7 WHEN 3 THEN 'failed after 3 attempts: RuntimeError: busy' WHEN 5 THEN 'no choices' END AS error,
+SELECT request_id, CASE WHEN request_id % 7 NOT IN (3, 4, 5) THEN {MODEL_SQL} || ': ' || prompt END AS response,
+  CASE request_id % 7 WHEN 3 THEN 'failed after 3 attempts: TimeoutError: busy' WHEN 4 THEN 'failed after 1 attempts: ValueError: bad request'
+    WHEN 5 THEN 'no choices' END AS error,
   CASE WHEN request_id % 7 = 3 THEN 3 ELSE 1 END AS attempts FROM turns""", TURNS))
 def batch_generate(spark, sf_dir):
-    return batch.generate(_requests(spark, sf_dir), local_reply, waits=())
+    return batch.generate(_requests(spark, sf_dir), local_reply, waits=(), only_timeouts=True)
+
+
+def describe(repo: str, path: str, lang: str, content: str) -> str:
+    return f"{repo}/{path}:{lang}:{len(content)}"
+
+
+@query("map_files", V.with_ctes(
+    "SELECT repo, path, repo || '/' || path || ':' || lang || ':' || length(content) AS result FROM langs", *Q.LANG_CTES))
+def map_files(spark, sf_dir):
+    return batch.map_files(V.corpus(spark, sf_dir).withColumn("lang", paths.language("path")), describe)
+
+
+# --- Checks of input -----------------------------------------------------------------------------------
+
+@query("has_changes", V.with_ctes("""
+SELECT repo || '/' || path AS repo, CASE WHEN doc_id % 11 IN (4, 7) OR (doc_id % 2 = 0 AND old_text <> new_text)
+  THEN 'changes' ELSE 'no changes' END AS outcome FROM versions""", *VERSION_CTES))
+def has_changes(spark, sf_dir):
+    # Every file as a repository of its own, so that both outcomes occur.
+    name = F.concat("repo", F.lit("/"), "path").alias("repo")
+    old, new = (side.select(name, "path", "content") for side in V.snapshots(spark, sf_dir))
+    return diffs.has_changes(V.corpus(spark, sf_dir).select(name), diffs.snapshot_diff(old, new))
+
+
+@query("standards_warnings", """
+SELECT doc_id, version, 'Unsupported standards config version ' || chr(39) || COALESCE(version, 0) || chr(39) || '. Expected version 1.' AS warning
+FROM (SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id % 3 AS INTEGER) END AS version FROM documents) d
+WHERE COALESCE(version, 0) <> 1""")
+def standards_warnings(spark, sf_dir):
+    doc_id = F.col("doc_id")
+    version = F.when(doc_id % 4 != 3, (doc_id % 3).cast("int")).alias("version")
+    config = F.to_json(F.struct(version))  # without the field where it is null
+    parsed = V.table(spark, sf_dir, "documents").select("doc_id", parse_standards(config).alias("s"))
+    return rules.standards_warnings(parsed.select("doc_id", "s.*"), ["doc_id"])
 
 
 # --- History -----------------------------------------------------------------------------------------
@@ -506,6 +560,33 @@ def last_n_commits(spark, sf_dir):
     return history.last_n_commits(V.commits(spark, sf_dir), 25)
 
 
+BACK = 10
+COMMIT_FILES = """commit_files AS (
+SELECT repo, path, 3 + doc_id % 30 AS commit_no, old_text AS content, false AS is_deleted FROM versions
+UNION ALL SELECT repo, path, 1 + doc_id % 30, CASE WHEN doc_id % 2 = 0 THEN new_text ELSE old_text END, doc_id % 11 = 7 FROM versions)"""
+
+
+def at_sql(name: str, first: int) -> str:
+    return f"""{name} AS (SELECT repo, path, content FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY commit_no) AS k
+FROM commit_files WHERE commit_no >= {first}) c WHERE k = 1 AND NOT is_deleted)"""
+
+
+@query("net_change", V.with_ctes("""
+SELECT COALESCE(o.repo, n.repo) AS repo, COALESCE(o.path, n.path) AS path,
+  CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
+FROM at_old o FULL OUTER JOIN at_new n ON o.repo = n.repo AND o.path = n.path
+WHERE o.path IS NULL OR n.path IS NULL OR o.content <> n.content""",
+    *VERSION_CTES, COMMIT_FILES, at_sql("at_old", BACK + 1), at_sql("at_new", 1)))
+def net_change(spark, sf_dir):
+    v, doc_id = V.versions(spark, sf_dir), F.col("doc_id")
+    first = v.select("repo", "path", (3 + doc_id % 30).alias("commit_no"), F.col("old_text").alias("content"), F.lit(False).alias("is_deleted"))
+    second = v.select(
+        "repo", "path", (1 + doc_id % 30).alias("commit_no"),
+        F.when(doc_id % 2 == 0, F.col("new_text")).otherwise(F.col("old_text")).alias("content"), (doc_id % 11 == 7).alias("is_deleted"),
+    )
+    return history.net_change(first.unionByName(second), BACK)
+
+
 CHANGELOG = """sectioned AS (
 SELECT *, min(CASE WHEN is_tag THEN ts END) OVER w AS tag_ts,
   min(CASE WHEN is_tag THEN {'ts': ts, 'event_id': event_id} END) OVER w AS tag
