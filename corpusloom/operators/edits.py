@@ -200,17 +200,20 @@ def edit_anchors(
 ) -> DataFrame:
     """(keys, edit_no, edit_type, line_no): every place where the block of an edit occurs.
 
-    Positions come from the document's own lines, edit by edit, within the row.
+    Positions are found within the row: only they are given per edit, not the document.
     """
-    doc = df.select(*keys, lines(content).alias("__lines"), F.posexplode(edits).alias("edit_no", "__edit"))
-    block = F.split(
-        F.coalesce("__edit.original", "__edit.context_line", "__edit.content"), "\n", -1
-    )
-    at = F.filter(
-        F.sequence(F.lit(0), F.size("__lines") - 1),
-        lambda i: (F.get("__lines", i) == F.get("__block", F.lit(0)))
-        & (F.slice(F.col("__lines"), i + 1, F.size("__block")) == F.col("__block")),
-    )
-    return doc.withColumn("__block", block).select(
-        *keys, "edit_no", F.col("__edit.type").alias("edit_type"), F.explode(at).alias("line_no")
-    )
+    doc = F.col("__lines")
+
+    def places(block: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size(doc) - 1),
+            lambda i: (F.get(doc, i) == F.get(block, F.lit(0))) & (F.slice(doc, i + 1, F.size(block)) == block),
+        )
+
+    def found(edit: Column, i: Column) -> Column:
+        block = F.split(F.coalesce(edit["original"], edit["context_line"], edit["content"]), "\n", -1)
+        return F.struct(i.alias("edit_no"), edit["type"].alias("edit_type"), let(block, places).alias("at"))
+
+    per_edit = df.select(*keys, lines(content).alias("__lines"), F.col(edits).alias("__edits")).select(
+        *keys, F.inline(F.transform("__edits", found)))
+    return per_edit.select(*keys, "edit_no", "edit_type", F.explode("at").alias("line_no"))
