@@ -1,9 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks to templates.
 
-A block is a line. A template is contained in a block if enough of its distinct words
-are: words are ordered by how rare they are in the whole corpus, so that a block must
-have one of the few rarest words of a template; size and position then bound the
-overlap before it is counted. Column expressions and joins only.
+A block is any run of words of the text, up to twice as long as the template; line breaks
+don't matter. A template is contained in a block if enough of its distinct words are:
+words are ordered by how rare they are in the whole corpus, so that a block must have one
+of the few rarest words of a template. The words around each of those bound the overlap
+before the blocks there are counted. Column expressions and joins only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from corpusloom.llm.common import join_by_size, written
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 CONTAINMENT = 0.92
+#: Words of a block, at most, for each word of the template.
+STRETCH = 2
 
 #: Phrases and their labels, as the contract fixes them.
 PHRASES: dict[str, str] = {
@@ -43,9 +46,13 @@ TEMPLATES: dict[str, str] = {
 
 
 def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {label: sorted(set(_text_words(text))) for label, text in templates.items()}
+
+
+def _text_words(text: str) -> list[str]:
     import re
 
-    return {label: sorted(set(re.findall("[0-9a-z]+", text.lower()))) for label, text in templates.items()}
+    return re.findall("[0-9a-z]+", text.lower())
 
 
 def _lowered(text: Column) -> Column:
@@ -68,45 +75,51 @@ def word_ranks(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def similar_blocks(docs: DataFrame, templates: dict[str, str], containment: float = CONTAINMENT) -> DataFrame:
-    """(key, line, label, share): every line of ``docs`` (key, text) that contains enough of a template."""
+    """(key, at, label, share): places of ``docs`` (key, text) where a block contains enough of a template.
+
+    ``at`` is the place of a rare word of the template, ``share`` the largest of a block near it.
+    """
     words = template_words(templates)
+    spans = {label: STRETCH * len(_text_words(text)) for label, text in templates.items()}
+    reach = max(spans.values())
     order = word_ranks(docs, sorted({w for ws in words.values() for w in ws}))
     rank = {w: i for i, w in enumerate(order)}
     entries, starts = [], set()
     for label, ws in sorted(words.items()):
         ws = sorted(ws, key=rank.__getitem__)
         need = math.ceil(containment * len(ws) - 1e-9)
-        for i, w in enumerate(ws[:len(ws) - need + 1]):
+        for w in ws[:len(ws) - need + 1]:
             starts.add(w)
-            entries.append((w, label, i, need, ws))
+            entries.append((w, label, spans[label], need, ws))
     spark = docs.sparkSession
-    index = spark.createDataFrame(entries, "word string, label string, at int, need int, words array<string>")
+    index = spark.createDataFrame(entries, "word string, label string, span int, need int, words array<string>")
     first = F.array(*map(F.lit, sorted(starts)))
     low = docs.select("key", _lowered(F.col("text")).alias("low"))
 
     def may_have_one(text: str) -> Column:  # cheap, before anything is split
         return _any([F.contains(F.col(text), F.lit(w)) for w in sorted(starts)])
 
-    lines = (
-        low.where(may_have_one("low")).select("key", F.posexplode(F.split("low", "\n")).alias("line", "block"))
-        .where(may_have_one("block")).select("key", "line", F.split("block", SEPARATORS).alias("block"))
-        .where(F.arrays_overlap("block", first))
-        .select("key", "line", F.array_intersect(F.array(*map(F.lit, order)), "block").alias("block"))
+    places = F.transform("all", lambda w, i: F.when(w.isin(sorted(starts)), i))
+    near = F.slice("all", F.greatest(F.lit(1), F.col("at") + 2 - reach), F.lit(2 * reach - 1))
+    rare = (
+        low.where(may_have_one("low")).select("key", _words(F.col("low")).alias("all"))
+        .where(F.arrays_overlap("all", first))
+        .select("key", "all", F.explode(F.array_compact(places)).alias("at"))
+        .select("key", "at", F.get("all", F.col("at")).alias("word"), near.alias("near"))
+    )
+    # No block has more of a template than all words near its rare word.
+    least = min(e[3] for e in entries)
+    close = (
+        rare.where(F.size(F.array_intersect(F.array(*map(F.lit, order)), "near")) >= least)
+        .join(F.broadcast(index), "word").where(F.size(F.array_intersect("words", "near")) >= F.col("need"))
     )
-    need = min(e[3] for e in entries)
-    # Of its known words, rarest first, a block of n needs one among the first n - need + 1.
-    near = (
-        lines.where(F.size("block") >= need)
-        .select("*", F.posexplode(F.slice("block", F.lit(1), F.size("block") - need + 1)).alias("j", "word"))
-        .join(F.broadcast(index), "word")
-        .where(F.col("need") <= 1 + F.least(F.size("words") - F.col("at") - 1, F.size("block") - F.col("j") - 1))
+    blocks = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("near") - F.col("span") + 1)),
+        lambda i: F.size(F.array_intersect("words", F.slice("near", i, F.col("span")))),
     )
-    # A pair that shares several rare words is counted at the first of them.
-    earlier = F.array_intersect(F.slice("words", F.lit(1), F.col("at")), "block")
-    overlap = F.size(F.array_intersect("words", "block"))
     return (
-        near.where(F.size(earlier) == 0).withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
-        .select("key", "line", "label", (F.col("overlap") / F.size("words")).alias("share"))
+        close.withColumn("overlap", F.array_max(blocks)).where(F.col("overlap") >= F.col("need"))
+        .select("key", "at", "label", (F.col("overlap") / F.size("words")).alias("share"))
     )
 
 
@@ -153,7 +166,7 @@ def _all(conditions: list[Column]) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    ``labels`` adds those of all templates that some line contains to ``containment``;
+    ``labels`` adds those of all templates that some block contains to ``containment``;
     ``score`` is 1 with a phrase, else the largest share of a template found, else 0.
     Null and empty texts have no words and no labels. Rows with equal id and text get
     equal results, a null doc_id stays.

@@ -286,3 +286,39 @@ def test_digests_of_queries(spark):
         ids = model.encode(row["text"], add_eos=True)
         assert own[row["doc_id"]]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert own[row["doc_id"]]["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
+def test_notices_across_lines_and_scattered_words(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    filler = [f"f{i}" for i in range(300)]
+    scattered = " ".join(["all", *filler[:100], "rights", *filler[100:200], "reserved"])
+    late = " ".join(filler) + " " + licenses.TEMPLATES["gpl-3.0"].replace(" ", "\n") + " " + " ".join(filler)
+    texts = [mit, bsd, scattered, late, "All\nrights\nreserved", "all rights of every kind are not reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: "mit-notice", 1: "bsd", 2: "", 3: "gpl,gpl-3.0", 4: "all-rights-reserved", 5: ""}
+
+
+def test_blocks_against_plain_search(spark):
+    draw = random.Random(9)
+    templates = {"a": "one two three four five six seven eight nine ten eleven twelve thirteen", "b": "two six odd", "c": "odd one odd"}
+    words = licenses.template_words(templates)
+    own = sorted({w for ws in words.values() for w in ws})
+    texts = []
+    for i in range(150):
+        ws = draw.choices(own + ["x", "y"] * (i % 9), k=draw.randint(0, 60))
+        texts.append("".join(w + draw.choice(" \n") for w in ws))
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = {}
+    for r in licenses.similar_blocks(df, templates).collect():
+        got[r["key"], r["label"]] = max(r["share"], got.get((r["key"], r["label"]), 0))
+    want = {}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        for label, own_words in words.items():
+            span = 2 * len(templates[label].split())
+            share = max(len(set(ws[k:k + span]) & set(own_words)) for k in range(len(ws) + 1)) / len(own_words)
+            if share >= licenses.CONTAINMENT - 1e-9:
+                want[i, label] = share
+    assert got == want and len(want) > 50
