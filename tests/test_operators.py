@@ -128,6 +128,20 @@ def test_commit_requests(spark):
     assert row["context"] in intended["prompt"]
 
 
+def test_docs_prompts_have_the_diff_of_every_repository(spark):
+    from workload import QUERIES, views
+
+    rows = {r["doc_id"]: r["prompt"] for r in QUERIES["docs_prompts_diff"](spark, "/root/testdata/sf0.001").collect()}
+    docs = views.corpus(spark, "/root/testdata/sf0.001").where("path LIKE '%.md'").collect()
+    diffs_of = {r["repo"]: r["diff"] for r in commits.repo_diffs(*views.snapshots(spark, "/root/testdata/sf0.001")).collect()}
+    assert {r["doc_id"] for r in docs} == set(rows) and any(int(r["repo"][3:]) % 5 == 0 for r in docs)
+    assert all(diffs_of[r["repo"]] in rows[r["doc_id"]] and diffs_of[r["repo"]].startswith("--- ") for r in docs)
+    old = snapshot(spark, [("r", "a", "1"), ("q", "x", "1")])
+    new = snapshot(spark, [("r", "a", "2"), ("q", "x", "1")])
+    got = prompts.attach_diff(new, commits.repo_diffs(old, new)).collect()
+    assert {r["repo"]: r["diff"] for r in got} == {"r": "--- a\n- 1\n+ 2\n", "q": ""}
+
+
 # --- Rules ------------------------------------------------------------------------------------------
 
 CONFIG = {

@@ -433,6 +433,20 @@ def docs_prompts(spark, sf_dir):
     )
 
 
+# As docs_prompts, but every repository's documents get the diff text itself.
+@query("docs_prompts_diff", V.with_ctes(f"""
+SELECT doc_id, {fill_sql(P.DOCS_PROMPT, goal="'" + P.DEFAULT_DOCS_GOAL + "'", context="COALESCE(d.diff, '')", target='content')} AS prompt,
+  {fill_sql(P.DOCS_PROMPT, goal="COALESCE(d.diff, '')", context='content', target="'%!s(MISSING)'")} AS shifted_prompt
+FROM langs l LEFT JOIN repo_diffs d ON d.repo = l.repo WHERE lang = 'markdown'""", *Q.LANG_CTES, V.VERSIONS, V.SNAPSHOTS, REPO_DIFFS))
+def docs_prompts_diff(spark, sf_dir):
+    docs = V.corpus(spark, sf_dir).where(paths.language("path") == "markdown")
+    with_diff = prompts.attach_diff(docs, commit_plan.repo_diffs(*V.snapshots(spark, sf_dir)))
+    return with_diff.select(
+        "doc_id", prompts.docs_prompt("content", "diff").alias("prompt"),
+        prompts.docs_prompt("content", "diff", compat="reference").alias("shifted_prompt"),
+    )
+
+
 GOAL = "Convert to functional style"
 IMPORT_TEXT = f"""imports AS (
 SELECT d.doc_id, d.code, COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE starts_with({V.trim_sql('line')}, 'import ')
