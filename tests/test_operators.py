@@ -128,6 +128,19 @@ def test_commit_requests(spark):
     assert row["context"] in intended["prompt"]
 
 
+@pytest.mark.parametrize("compat", ["reference", "intended"])
+def test_commit_sections_are_the_prompts(spark, compat):
+    old = snapshot(spark, [("r", "a", "1"), ("r", "c", "3"), ("r", "s", "x"), ("q", "x", "1"), ("p", "y", "1")])
+    new = snapshot(spark, [("r", "a", "2"), ("r", "s", "x"), ("q", "x", "b" * 300), ("q", "z", "é" * 100), ("p", "y", "1")])
+    rows = commits.commit_sections(old, new, 200, compat)
+    got = {}
+    for r in sorted(rows.collect()):
+        assert [*r.asDict()] == [*commits.SECTION_ORDER, "text"]
+        got[r["repo"]] = got.get(r["repo"], "") + r["text"]
+    want = {r["repo"]: r["prompt"] for r in commits.commit_requests(old, new, 200, compat).collect()}
+    assert got == want and set(got) == {"q", "r"}
+
+
 def test_docs_prompts_have_the_diff_of_every_repository(spark):
     from workload import QUERIES, views
 

@@ -13,6 +13,7 @@ from corpusloom.plans import replies as reply_plan
 from corpusloom.sources.standards import parse_standards
 from workload import files as Q
 from workload import views as V
+from workload.packs import BUDGET_SQL
 from workload.registry import query
 
 NL = "chr(10)"
@@ -401,6 +402,26 @@ def commit_prompts(spark, sf_dir):
     return diff.select("repo", prompts.commit_prompt("diff").alias("prompt"))
 
 
+BEFORE_DIFF, AFTER_DIFF = (f"'{t}'" for t in P.COMMIT_PROMPT.replace("{marker}", C.MARKER).replace("'", "''").split("{diff}"))
+CHANGED_FILES = """picked AS (
+SELECT c.repo, c.path, n.content, CASE WHEN c.status = 'deleted' THEN 'deleted' WHEN n.content IS NULL THEN 'error' ELSE 'live' END AS state
+FROM changed c LEFT JOIN new_files n ON n.repo = c.repo AND n.path = c.path),
+""" + BUDGET_SQL[BUDGET_SQL.index("sized AS"):]
+
+
+@query("commit_contexts", V.with_ctes(f"""
+SELECT DISTINCT repo, 0 AS section, '' AS path, 0 AS part, {BEFORE_DIFF} AS text FROM changed
+UNION ALL SELECT repo, 1, path, 0, text FROM file_texts
+UNION ALL SELECT DISTINCT repo, 2, '', 0, chr(10) FROM changed
+UNION ALL SELECT repo, 3, path, 0, CASE action WHEN 'full' THEN chr(10) || '--- File: ' || path || ' ---' || chr(10) || content
+    WHEN 'cut' THEN chr(10) || '--- File: ' || path || ' ---' || chr(10) || decode(unhex(substr(h, 1, 2 * keep))) || chr(10) || '... (file truncated)' || chr(10)
+    WHEN 'deleted' THEN chr(10) || '--- File (Deleted): ' || path || ' ---' || chr(10)
+    ELSE chr(10) || '--- File (Error): ' || path || ' ---' || chr(10) || 'Error reading file: ' || chr(10) END FROM backed
+UNION ALL SELECT DISTINCT repo, 4, '', 0, {AFTER_DIFF} FROM changed""", *DIFF_CTES, Q.DIFF_SQL, CHANGED_FILES))
+def commit_contexts(spark, sf_dir):
+    return commit_plan.commit_sections(*V.snapshots(spark, sf_dir), compat="intended")
+
+
 # Changed paths as the diff text of a repository, for prompts of single documents.
 NAMES_DIFF = """names_diff AS (SELECT repo, string_agg(status || ' ' || path, chr(10) ORDER BY path) AS diff FROM changed
 WHERE CAST(substr(repo, 4) AS BIGINT) % 5 <> 0 GROUP BY repo)"""
