@@ -1,9 +1,9 @@
 """Secret scans: patterns, and a small character convolutional network for what they miss.
 
-Every long token with a letter and a digit is a candidate. The network sees the token
-with its surroundings; it is fitted on findings of the patterns (labelled 1) and on
-other tokens (labelled 0), its output is calibrated on findings held back, and the
-threshold keeps a stated share of those.
+Every token as long as the shortest finding is a candidate. The network sees the token
+with its surroundings, a long one in overlapping windows; it is fitted on findings of the
+patterns (labelled 1) and on other candidates (labelled 0), its output is calibrated on
+findings held back, and the threshold keeps a stated share of those.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_schema, text_batches
+from corpusloom.llm.common import arrow_schema, text_batches, written
 
 #: The patterns and least lengths of the contract.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -26,12 +27,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 KINDS = ("assign", "access", "hex", "net")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_WORD = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: As long as the shortest finding; a dot at either end belongs to the sentence.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
-#: Rows that are searched for labelled findings, and findings of each label, at most.
-SAMPLE_ROWS, SAMPLE_FINDINGS = 20_000, 1500
+#: Rows that are searched for labelled tokens, tokens of each label, and windows of each of them, at most.
+SAMPLE_ROWS, SAMPLE_FINDINGS, LEARNED_WINDOWS = 20_000, 1500, 8
 RECALL = 0.98
 FILTERS, REACH, EMBEDDING = 16, 5, 8
 MASK = "[SECRET]"
@@ -53,20 +54,27 @@ def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def is_candidate(token: str) -> bool:
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-
-
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Tokens that may be secrets and that no pattern span touches."""
-    out, k = [], 0
+    return [(start, end) for start, end, touched in _tokens(text, base) if not touched]
+
+
+def _tokens(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether a pattern span touches it) of every token that is long enough."""
+    k, reach = 0, 0
     for m in CANDIDATE.finditer(text):
-        while k < len(base) and base[k][1] <= m.start():
+        start, end = m.span()
+        while k < len(base) and base[k][0] < end:  # by start
+            reach = max(reach, base[k][1])
             k += 1
-        touched = any(s < m.end() and e > m.start() for s, e, _ in base[k:k + 4])
-        if not touched and is_candidate(m[0]):
-            out.append((m.start(), m.end()))
-    return out
+        yield start, end, reach > start
+
+
+def windows_of(text: str, start: int, end: int, most: int | None = None) -> list[bytes]:
+    """Windows that overlap by half and together see the whole token (the first ``most``)."""
+    last = max(start, end - INSIDE)
+    at = [*range(start, last, INSIDE // 2), last][:most]
+    return [window(text, i, min(i + INSIDE, end)) for i in at]
 
 
 def window(text: str, start: int, end: int) -> bytes:
@@ -154,8 +162,11 @@ def train(windows: list[bytes], labels: np.ndarray, epochs: int = 30, batch: int
 
 
 def calibrate(net: SecretNet, windows: list[bytes], labels: np.ndarray, recall: float = RECALL) -> None:
-    """Scale the output to probabilities, and set the largest threshold with this recall."""
-    raw = net._forward(_codes(windows))[3]
+    """Scale the output to probabilities, and set the largest threshold with this recall.
+
+    Each row is a token: its windows, one after the other; the largest output counts.
+    """
+    raw = _largest(net._forward(_codes(_apart(windows)))[3], [len(w) // WIDTH for w in windows])
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps on the log loss, held near one by a weak prior
         p = _sigmoid(a * raw + b)
@@ -166,46 +177,82 @@ def calibrate(net: SecretNet, windows: list[bytes], labels: np.ndarray, recall:
         a, b = max(0.05, a - da), b - db
     net.scale = (float(a), float(b))
     found = np.sort(_sigmoid(a * raw + b)[labels > 0])
-    net.threshold = max(0.5, float(found[int(np.floor((1 - recall) * len(found)))]))
+    net.threshold = float(found[int(np.floor((1 - recall) * len(found) + 1e-9))])
+
+
+def _apart(tokens: list[bytes]) -> list[bytes]:
+    return [t[i:i + WIDTH] for t in tokens for i in range(0, len(t), WIDTH)]
+
+
+def _largest(values: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The largest of each run of ``counts`` values."""
+    return np.maximum.reduceat(values, np.cumsum([0, *counts[:-1]])) if counts else np.empty(0)
+
+
+class _Least(dict):
+    """The ``most`` distinct windows with the least hashes of those that were added."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.bound = most, 1 << 64
+
+    def add(self, item: bytes) -> None:
+        rank = xxhash.xxh64_intdigest(item)
+        if rank <= self.bound:
+            self[item] = rank
+            if len(self) >= 2 * self.most:
+                self.cut()
+
+    def cut(self) -> None:
+        least = sorted(self.items(), key=lambda x: (x[1], x[0]))[:self.most]
+        self.clear()
+        self.update(least)
+        if len(least) == self.most:
+            self.bound = least[-1][1]
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, findings: int = SAMPLE_FINDINGS) -> SecretNet | None:
-    """A network of labelled findings in a bounded sample of rows; None with under 20 of a label.
+    """A network of labelled tokens in a bounded sample of rows; None with under 20 of a label.
 
     About ``rows`` rows, chosen by a hash of the text, are searched; of each label at most
-    ``findings`` windows come back.
+    ``findings`` tokens come back.
     """
     texts = docs.select(F.col("text").cast("string")).where("text IS NOT NULL")
     share = min(1.0, rows / max(1, texts.count()))
     chosen = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = (_Least(findings), _Least(findings))
         for batch in text_batches(batches):
-            labels, windows = [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
-                for start, end, kind in base:
-                    labels.append(1)
-                    windows.append(window(text, start, end))
-                others = [m for m in _WORD.finditer(text) if not any(s < m.end() and e > m.start() for s, e, _ in base)]
-                for m in sorted(others, key=lambda m: (-len(m[0]), m.start()))[:3] + others[:1]:
-                    labels.append(0)
-                    windows.append(window(text, m.start(), m.end()))
+                for start, end, touched in _tokens(text, base):
+                    # The last characters of a finding are its value, whatever the pattern.
+                    if touched and not any(e - ASSIGN_VALUE < end and start < e for _, e, _ in base):
+                        continue
+                    least[touched].add(b"".join(windows_of(text, start, end, LEARNED_WINDOWS)))
+        for label, own in enumerate(least):
+            own.cut()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(labels, pa.int64()), pa.array(windows, pa.binary())], schema=arrow_schema("label long, window binary"))
+                [pa.array([label] * len(own), pa.int64()), pa.array(list(own), pa.binary()),
+                 pa.array([rank - (1 << 63) for rank in own.values()], pa.int64())],
+                schema=arrow_schema("label long, windows binary, rank long"))
 
-    found = chosen.mapInArrow(run, "label long, window binary").distinct()
+    found = written(chosen.mapInArrow(run, "label long, windows binary, rank long"), "secret-tokens")
     picked = []
     for label in (0, 1):
-        own = found.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window").limit(findings)
-        picked.append([bytes(r["window"]) for r in own.collect()])
+        own = found.where(F.col("label") == label).select("rank", "windows").distinct()
+        picked.append([bytes(r["windows"]) for r in own.orderBy("rank", "windows").limit(findings).collect()])
     if min(map(len, picked)) < 20:
         return None
-    windows = picked[0] + picked[1]
+    tokens = picked[0] + picked[1]
     labels = np.repeat([0.0, 1.0], [len(picked[0]), len(picked[1])])
-    held = np.arange(len(windows)) % 10 < 3
-    net = train([w for w, h in zip(windows, held) if not h], labels[~held])
-    calibrate(net, [w for w, h in zip(windows, held) if h], labels[held])
+    place = np.concatenate([np.arange(len(own)) for own in picked])
+    held = place % 10 < 3  # some of each label; a single token is learned from and held back
+    learned = ~held | (np.array([len(p) for p in picked])[labels.astype(int)] == 1)
+    counts = np.array([len(t) // WIDTH for t in tokens])
+    net = train(_apart([t for t, x in zip(tokens, learned) if x]), np.repeat(labels[learned], counts[learned]))
+    calibrate(net, [t for t, h in zip(tokens, held) if h], labels[held])
     return net
 
 
@@ -214,7 +261,8 @@ def spans_of(texts: list[str], net: SecretNet | None) -> list[list[tuple[int, in
     spans = [base_spans(t) for t in texts]
     if net is not None:
         asked = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, spans[i])]
-        scores = net.probability([window(texts[i], s, e) for i, s, e in asked])
+        windows = [windows_of(texts[i], s, e) for i, s, e in asked]
+        scores = _largest(net.probability([w for own in windows for w in own]), [len(own) for own in windows])
         for (i, s, e), p in zip(asked, scores):
             if p >= net.threshold:
                 spans[i].append((s, e, "net"))

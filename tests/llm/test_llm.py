@@ -322,3 +322,22 @@ def test_blocks_against_plain_search(spark):
             if share >= licenses.CONTAINMENT - 1e-9:
                 want[i, label] = share
     assert got == want and len(want) > 50
+
+
+def test_short_letter_only_and_long_tokens_are_scored():
+    text = "pwd=Xk29fLq81Zt0Ab key qwertzuiopasdfgh end. " + "x" * 60 + "Q7x9Kd82Lm40Zp31Vb65Rt"
+    assert secrets.candidates(text, []) == [(0, 18), (23, 39), (45, len(text))]
+    seen = b"".join(w[secrets.BEFORE:secrets.BEFORE + secrets.INSIDE] for w in secrets.windows_of(text, 45, len(text)))
+    assert b"Q7x9Kd82Lm40Zp31Vb65Rt" in seen
+    assert secrets.candidates("a touched-one-here b", [(2, 4, "hex"), (3, 30, "hex")]) == []
+
+
+def test_threshold_is_the_recall_quantile():
+    draw = random.Random(10)
+    same = lambda: "".join(draw.choices("abcdefgh", k=16))  # noqa: E731  nothing tells the labels apart
+    windows = [secrets.window(f"ab {t} cd", 3, 19) for t in (same() for _ in range(400))]
+    labels = np.arange(400) % 2.0
+    net = secrets.train(windows[:200], labels[:200], epochs=2)
+    secrets.calibrate(net, windows[200:], labels[200:])
+    p = net.probability(windows[200:])[labels[200:] > 0]
+    assert 0.98 <= (p >= net.threshold).mean() < 1
