@@ -31,8 +31,8 @@ KINDS = ("assign", "access", "hex", "net")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
-#: Rows that are searched for labelled tokens, tokens of each label, and windows of each of them, at most.
-SAMPLE_ROWS, SAMPLE_FINDINGS, LEARNED_WINDOWS = 20_000, 1500, 8
+#: Labelled tokens of each label, and windows of each of them, that the network learns from, at most.
+SAMPLE_FINDINGS, LEARNED_WINDOWS = 1500, 8
 RECALL = 0.98
 FILTERS, REACH, EMBEDDING = 16, 5, 8
 MASK = "[SECRET]"
@@ -211,15 +211,14 @@ class _Least(dict):
             self.bound = least[-1][1]
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, findings: int = SAMPLE_FINDINGS) -> SecretNet | None:
-    """A network of labelled tokens in a bounded sample of rows; None with under 20 of a label.
+def fit(docs: DataFrame, findings: int = SAMPLE_FINDINGS) -> SecretNet | None:
+    """A network of the labelled tokens of all rows; None without a token of either label.
 
-    About ``rows`` rows, chosen by a hash of the text, are searched; of each label at most
-    ``findings`` tokens come back.
+    Every row is searched; of each label the ``findings`` tokens with the least hash of
+    their windows are used. Without a finding there is nothing to learn from, and without
+    another token nothing to score.
     """
     texts = docs.select(F.col("text").cast("string")).where("text IS NOT NULL")
-    share = min(1.0, rows / max(1, texts.count()))
-    chosen = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = (_Least(findings), _Least(findings))
@@ -238,12 +237,12 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, findings: int = SAMPLE_FINDING
                  pa.array([rank - (1 << 63) for rank in own.values()], pa.int64())],
                 schema=arrow_schema("label long, windows binary, rank long"))
 
-    found = written(chosen.mapInArrow(run, "label long, windows binary, rank long"), "secret-tokens")
+    found = written(texts.mapInArrow(run, "label long, windows binary, rank long"), "secret-tokens")
     picked = []
     for label in (0, 1):
         own = found.where(F.col("label") == label).select("rank", "windows").distinct()
         picked.append([bytes(r["windows"]) for r in own.orderBy("rank", "windows").limit(findings).collect()])
-    if min(map(len, picked)) < 20:
+    if not min(map(len, picked)):
         return None
     tokens = picked[0] + picked[1]
     labels = np.repeat([0.0, 1.0], [len(picked[0]), len(picked[1])])
@@ -277,7 +276,7 @@ def scan_secrets(docs: DataFrame, net: SecretNet | None) -> DataFrame:
 
     Spans are kind:start:end in code points, comma-joined. Null and empty texts have
     none; repeated rows are scanned row by row; a null doc_id stays. Without a network
-    (too few findings to learn from) there are the spans of the patterns alone.
+    (no finding to learn from) there are the spans of the patterns alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = arrow_schema(_SCHEMA)

@@ -341,3 +341,14 @@ def test_threshold_is_the_recall_quantile():
     secrets.calibrate(net, windows[200:], labels[200:])
     p = net.probability(windows[200:])[labels[200:] > 0]
     assert 0.98 <= (p >= net.threshold).mean() < 1
+
+
+def test_few_findings_among_many_rows_are_learned_from(spark):
+    draw = random.Random(11)
+    secret = lambda: "".join(draw.choices("0123456789abcdef", k=32))
+    word = lambda: "".join(draw.choices("etaoinshr", k=13))
+    rows = [(i, f"{word()} {secret() if i < 7 else word()} {word()}") for i in range(3000)]
+    net = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    p = net.probability([secrets.window(f"ab {s} cd", 3, 3 + len(s)) for s in [secret() for _ in range(40)] + [word() for _ in range(40)]])
+    assert p[:40].mean() > p[40:].mean() + 0.3
+    assert secrets.fit(spark.createDataFrame(rows[7:], "doc_id long, text string")) is None
