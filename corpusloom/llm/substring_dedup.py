@@ -188,7 +188,8 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             both = sure & probe
             take = np.concatenate([np.flatnonzero(sure), np.flatnonzero(probe & ~both), np.flatnonzero(both)])
             is_sure = np.arange(len(take)) < sure.sum()
-            key = np.where(is_sure, body[take], anchor[take])
+            own = mix(body[take].view(np.uint64) ^ mix(doc[take].view(np.uint64))).view(np.int64)  # copies go apart
+            key = np.where(is_sure, own, anchor[take])
             yield pa.RecordBatch.from_arrays([
                 pa.array(key), pa.array(anchor[take]), pa.array(doc[take]), pa.array(body[take]), pa.array(first[take]), pa.array(is_sure),
             ], schema=schema)
@@ -294,6 +295,36 @@ def search_shard(stretches: list[bytes], lowest: np.ndarray) -> list[np.ndarray]
     return np.split(least, offsets[1:])
 
 
+def _least_by_window(distinct: DataFrame) -> DataFrame:
+    """(one, other, least) of stretches, by the hash of each window instead of an index.
+
+    Equal windows share the hash, and are reduced to their smallest document first.
+    """
+    out = "one long, other long, at int, lowest long, low long, high long"
+    schema = arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            sizes = np.array([len(p) for p in parts])
+            counts = sizes - WINDOW + 1
+            row = np.repeat(np.arange(len(parts)), counts)
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = np.repeat(np.cumsum(sizes) - sizes, counts) + at
+            low, high = stretch_keys(np.concatenate(parts), start, start + WINDOW)
+            one, other, lowest = (batch.column(c).to_numpy()[row] for c in ("one", "other", "lowest"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (one, other, at.astype(np.int32), lowest, low, high)], schema=schema)
+
+    windows = written(distinct.select("one", "other", "lowest", "words").mapInArrow(run, out), "windows")
+    first = windows.groupBy("low", "high").agg(F.min("lowest").alias("least"))
+    found = join_by_size(windows.drop("lowest"), first, ["low", "high"], F.lit(24))
+    ordered = found.groupBy("one", "other").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("found"))
+    return ordered.select("one", "other", F.col("found.least").alias("least"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, body, marks): windows of documents that start in one with a smaller doc_id.
 
@@ -307,8 +338,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     hits = written(
         _recurring(met).groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("first")).alias("places")), "hits")
     stretches = written(_stretches(docs, hits), "stretches")
-    total = stretches.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"] // 8
-    shards = max(1, math.ceil(total / SHARD_WORDS))
+    # Words of each anchor, counted once for each batch, so at least its distinct ones.
+    words = stretches.where("words IS NOT NULL").groupBy("anchor").agg((F.sum(F.octet_length("words")) / 8).alias("n"))
+    crowded = F.col("n") > SHARD_WORDS
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(crowded).alias("crowded")).first()
+    shards = max(1, math.ceil(sums["n"] / SHARD_WORDS))
     distinct = stretches.groupBy("one", "other").agg(
         F.min("anchor").alias("anchor"), F.first("words", ignorenulls=True).alias("words"), F.min("doc_id").alias("lowest"))
 
@@ -316,8 +350,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         least = search_shard(shard.column("words").to_pylist(), shard.column("lowest").to_numpy())
         return shard.select(["one", "other"]).append_column("least", pa.array(least, pa.list_(pa.int64())))
 
+    apart = None
+    if sums["crowded"]:  # one anchor is too much for a shard: no more of them than shards
+        anchors_apart = written(words.where(crowded).select("anchor"), "crowded")
+        apart = _least_by_window(distinct.join(F.broadcast(anchors_apart), "anchor", "left_semi"))
+        distinct = distinct.join(F.broadcast(anchors_apart), "anchor", "left_anti")
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     least = dealt.groupBy("shard").applyInArrow(search, "one long, other long, least array<long>")
+    if apart is not None:
+        least = least.unionByName(apart)
     bits = F.aggregate(
         F.transform("least", lambda low, i: F.when(low < F.col("doc_id"), F.expr("1L").cast("long") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))),
         F.lit(0).cast("long"), lambda done, b: done + b)

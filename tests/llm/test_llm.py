@@ -352,3 +352,28 @@ def test_few_findings_among_many_rows_are_learned_from(spark):
     p = net.probability([secrets.window(f"ab {s} cd", 3, 3 + len(s)) for s in [secret() for _ in range(40)] + [word() for _ in range(40)]])
     assert p[:40].mean() > p[40:].mean() + 0.3
     assert secrets.fit(spark.createDataFrame(rows[7:], "doc_id long, text string")) is None
+
+
+def test_one_frequent_line_is_no_shard(spark, monkeypatch):
+    draw, plain = random.Random(12), substring_dedup.search_shard
+
+    def bounded(stretches, lowest):
+        assert sum(len(x) for x in stretches) // 8 <= 4000
+        return plain(stretches, lowest)
+
+    line = [f"line{i}" for i in range(7)]
+    texts = [" ".join([*(f"v{draw.randrange(3)}" for _ in range(6)), *line, *(f"v{draw.randrange(3)}" for _ in range(6))]) for _ in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for words in (1_000_000, 1000):
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", words)
+        if words == 1000:
+            monkeypatch.setattr(substring_dedup, "search_shard", bounded)
+        got.append(sorted(tuple(r) for r in substring_dedup.without_repeats(df).collect()))
+    assert got[0] == got[1] and sum(r[2] > 0 for r in got[0]) > 100
+
+
+def test_copies_of_one_text_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(i, 5, PASSAGE) for i in range(50)], "doc_id long, body long, text string")
+    sure = substring_dedup._anchor_rows(docs.coalesce(1)).where("sure").collect()
+    assert len({r["key"] for r in sure}) == 50
