@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_schema, text_batches
 
-#: Rows of each language that the classifiers are fitted on, about.
+#: Distinct texts of each language that the classifiers are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 500
 BUCKETS = 8192
 AMBIGUOUS_GAP = 0.2
@@ -75,17 +75,17 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CodeModel | None:
     """Classifiers from text and lang of rows that aren't held out; None without any.
 
-    Rows are chosen by a hash of their text, so that about ``per_language`` of each
-    language are used.
+    Of each language the ``per_language`` distinct texts with the least hash are used,
+    or all if there are fewer.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = known.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) / 1e6
-    chosen = known.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang")
+    known = known.withColumns({"draw": F.xxhash64("text", F.lit(7)), "body": F.xxhash64("text", F.lit(8))})
+    texts = known.groupBy("lang", "draw", "body").agg(F.min("doc_id").alias("doc_id"))
+    # The limit is taken in each partition before the rows of a language meet.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "body"))
+    least = texts.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    chosen = known.join(F.broadcast(least), ["lang", "draw", "body", "doc_id"]).select("text", "lang", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -95,9 +95,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CodeModel |
                 at = np.flatnonzero(values)
                 rows.append(at.astype(np.uint16).tobytes() + values[at].astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(rows, pa.binary())], schema=arrow_schema("lang string, grams binary"))
+                [batch.column("lang"), batch.column("draw"), pa.array(rows, pa.binary())],
+                schema=arrow_schema("lang string, draw long, grams binary"))
 
-    rows = sorted(chosen.mapInArrow(run, "lang string, grams binary").collect())
+    own = chosen.mapInArrow(run, "lang string, draw long, grams binary")  # rows repeated with their id meet here
+    rows = sorted(own.groupBy("lang", "draw").agg(F.min("grams").alias("grams")).select("lang", "grams").collect())
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         half = len(r["grams"]) // 2

@@ -67,7 +67,8 @@ def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list:
                 [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())],
                 schema=arrow_schema("doc_id long, toxic long, features binary"))
 
-    return sorted(rows.mapInArrow(run, "doc_id long, toxic long, features binary").collect())
+    found = rows.mapInArrow(run, "doc_id long, toxic long, features binary")
+    return sorted(found.groupBy("doc_id", "toxic").agg(F.min("features").alias("features")).collect())  # one row of an id
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> OrdinalModel:

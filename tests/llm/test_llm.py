@@ -377,3 +377,18 @@ def test_copies_of_one_text_are_dealt_apart(spark):
     docs = spark.createDataFrame([(i, 5, PASSAGE) for i in range(50)], "doc_id long, body long, text string")
     sure = substring_dedup._anchor_rows(docs.coalesce(1)).where("sure").collect()
     assert len({r["key"] for r in sure}) == 50
+
+
+def test_samples_are_bounded_whatever_is_repeated(spark, monkeypatch):
+    draw = random.Random(13)
+    texts = [" ".join(draw.choices("abcdefghij", k=12)) for _ in range(60)]
+    rows = [(i, texts[i % 60] if i < 300 else "copy of one text", "en" if i % 2 else "de") for i in range(1200)]
+    seen, plain = [], languages._classifiers
+    monkeypatch.setattr(languages, "_classifiers", lambda x, truth: (seen.append(len(x)), plain(x, truth))[1])
+    docs = spark.createDataFrame(rows + rows[:9] * 50, "doc_id long, text string, lang string")
+    for n in (1, 20, 500):
+        languages.fit(docs, n)
+    able = docs.where(~languages.held_out()).select("text", "lang").distinct().groupBy("lang").count().collect()
+    assert seen == [sum(min(n, r["count"]) for r in able) for n in (1, 20, 500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert [r["doc_id"] for r in toxicity._sample(docs, labels, 100)] == list(range(40))
