@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import ensure_checkpoint_dir
 
-MEMO_ENTRIES = 200_000
+MEMO_BYTES = 24 * 1024 * 1024
 _MASK = (1 << 64) - 1
 
 
@@ -69,28 +69,30 @@ def join_by_size(
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and keeps what was used lately.
+    """A dict that computes what it lacks, and starts anew when it holds about ``max_bytes``.
 
-    With ``limit`` entries it becomes the older of two generations; entries of the older
-    one come back when they are asked for, the rest is forgotten at the next turn.
+    Make one for each pass over a partition, so that nothing outlives its stage in a
+    Python worker that Spark uses again.
     """
 
-    def __init__(self, compute, limit: int = MEMO_ENTRIES):
+    ENTRY = 180  # bytes of a key, a small value and their place, besides the key's length
+
+    def __init__(self, compute, max_bytes: int = MEMO_BYTES):
         super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
+        self.compute, self.max_bytes, self.room = compute, max_bytes, max_bytes
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.older = dict(self)
+        self.room -= self.ENTRY + (len(key) if isinstance(key, (bytes, str)) else 0)
+        if self.room < 0:
             self.clear()
-        value = self.older.get(key)
-        if value is None:
-            value = self.compute(key)
-        self[key] = value
+            self.room = self.max_bytes
+        value = self[key] = self.compute(key)
         return value
 
 
-_WORDS = Memo(xxhash.xxh64_intdigest)
+def word_memo() -> Memo:
+    """64-bit hashes of words."""
+    return Memo(xxhash.xxh64_intdigest)
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
@@ -99,8 +101,18 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+#: ASCII letters in lower case, digits and bytes of other characters; all else is a space.
+_TERM_BYTES = bytes(
+    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def terms_of(data: bytes | None) -> list[bytes]:
+    """Runs of ASCII letters (A-Z lower-cased), digits and characters beyond ASCII, in UTF-8."""
+    return (data or b"").translate(_TERM_BYTES).split()
+
+
+def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

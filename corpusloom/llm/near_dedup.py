@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import (
-    arrow_schema, gram_hashes, mix, semi_by_size, shingle_set, text_batches, word_hashes, words_of, written,
+    Memo, arrow_schema, gram_hashes, mix, semi_by_size, shingle_set, text_batches, word_hashes, word_memo, words_of, written,
 )
 from corpusloom.llm.components import components
 
@@ -69,8 +69,8 @@ def signature_of(elements: np.ndarray) -> tuple[bytes, np.ndarray]:
     return bits.astype(np.uint16).tobytes(), bands.view(np.int64)
 
 
-def _sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    return [shingle_set(word_hashes(words_of(t, lower=True)), words) for t in texts]
+def _sets(texts: list[str | None], words: int, memo: Memo) -> list[np.ndarray]:
+    return [shingle_set(word_hashes(words_of(t, lower=True), memo), words) for t in texts]
 
 
 def _class_key(elements: np.ndarray) -> bytes:
@@ -84,9 +84,9 @@ def signed(rows: DataFrame, words: int) -> DataFrame:
     """(row_id, class, n_shingles, signature, bands) of (row_id, text); class null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(_SIGNED)
+        schema, memo = arrow_schema(_SIGNED), word_memo()
         for batch in text_batches(batches):
-            sets = _sets(batch.column("text").to_pylist(), words)
+            sets = _sets(batch.column("text").to_pylist(), words, memo)
             signatures = [signature_of(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("row_id"), pa.array([_class_key(s) if len(s) else None for s in sets], pa.binary()),
@@ -101,9 +101,9 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(class, shingles) of the classes in ``wanted`` (row_id of one row of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("class binary, shingles array<long>")
+        schema, memo = arrow_schema("class binary, shingles array<long>"), word_memo()
         for batch in text_batches(batches):
-            sets = _sets(batch.column("text").to_pylist(), words)
+            sets = _sets(batch.column("text").to_pylist(), words, memo)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(map(_class_key, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 schema=schema)

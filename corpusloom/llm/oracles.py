@@ -70,3 +70,81 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_ba
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
   CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
 FROM f"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11_lexical_search() -> str:
+    terms = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {terms} AS ws FROM documents
+), s AS (
+  SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d
+), i AS (
+  SELECT row_number() OVER () AS item, item_id, list_distinct({terms}) AS ts FROM (SELECT DISTINCT item_id, text FROM benchmark) t
+), q AS (
+  SELECT item, item_id, unnest(ts) AS term FROM i
+), tf AS (
+  SELECT r, doc_id, size, term, count(*) AS tf
+  FROM (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS size, unnest(ws) AS term FROM d) t
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, n, l, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) t, s
+), scored AS (
+  SELECT item, item_id, r, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * n) // l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+def op12_resampling() -> str:
+    from corpusloom.llm.resampling import BUCKETS, MIN_WORDS, PERCENT, SEED
+
+    words = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH c AS (  -- the table of the checksum, one entry for each byte
+  SELECT list(list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b) x
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents
+), f AS (
+  SELECT r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM d
+), b AS (
+  SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f
+  FROM (SELECT {words} AS ws FROM benchmark) t
+), h AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x) // 2 + 1),
+    lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)), lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)]))) % {BUCKETS} AS bucket
+  FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM b) u) v, c
+), src AS (
+  SELECT bucket, count(*) AS n FROM f JOIN h USING (f) GROUP BY bucket
+), tgt AS (
+  SELECT bucket, count(*) AS n FROM b JOIN h USING (f) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(tgt.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM src), 0) + {BUCKETS})::DOUBLE)
+    / ((src.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM tgt), 0) + {BUCKETS})::DOUBLE))) AS BIGINT) AS gain
+  FROM src LEFT JOIN tgt USING (bucket)
+), m AS (
+  SELECT r, count(*) AS n_features, sum(gain) AS total FROM f JOIN h USING (f) JOIN g USING (bucket) GROUP BY r
+), s AS (
+  SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features,
+    CAST(coalesce(floor(total::DOUBLE / n_features::DOUBLE), 0) AS BIGINT) AS weight,
+    ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN m USING (r)
+), e AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM s
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= {MIN_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    {PERCENT} * count(*) FILTER (n_words >= {MIN_WORDS}) OVER () // 100 AS drawn
+  FROM e
+)
+SELECT doc_id, n_words, n_features, weight, score,
+  CAST(CASE WHEN n_words >= {MIN_WORDS} AND place <= drawn THEN place END AS BIGINT) AS rank
+FROM k"""

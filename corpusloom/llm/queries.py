@@ -103,3 +103,25 @@ def op6_substring_dedup(spark, sf_dir):
 
     return without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    from corpusloom.llm.lexical import ranked_documents
+
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_resampling(spark, sf_dir):
+    from corpusloom.llm.resampling import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_quality_classifier(spark, sf_dir):
+    from corpusloom.llm.quality_model import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import (
-    arrow_schema, gram_hashes, join_by_size, mix, text_batches, word_hashes, words_of, written,
+    Memo, arrow_schema, gram_hashes, join_by_size, mix, text_batches, word_hashes, word_memo, words_of, written,
 )
 
 WINDOW, GRAM = 13, 7
@@ -153,9 +153,9 @@ def stretch_keys(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tup
         mix(np.add.reduceat(x, begins) + sizes.astype(np.uint64)).view(np.int64) for x in (one, mix(one + np.uint64(1))))
 
 
-def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(batch: pa.RecordBatch, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, words in each text)."""
-    parts = [word_hashes(words_of(t.as_py())) for t in batch.column("text")]
+    parts = [word_hashes(words_of(t.as_py()), memo) for t in batch.column("text")]
     return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
@@ -170,9 +170,10 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_memo()
         for batch in text_batches(batches, 16 * 1024 * 1024):
             ids, bodies = batch.column("doc_id").to_numpy(), batch.column("body").to_numpy()
-            text, anchor, _, _, first = anchors(*_hashed(batch))
+            text, anchor, _, _, first = anchors(*_hashed(batch, memo))
             anchor, first = anchor.view(np.int64), first.astype(np.int32)
             doc, body = ids[text], bodies[text]
             order = np.lexsort((doc, anchor))
@@ -246,9 +247,10 @@ def _stretches(docs: DataFrame, hits: DataFrame) -> DataFrame:
     schema = arrow_schema(_STRETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_memo()
         for batch in text_batches(batches, 16 * 1024 * 1024):
             ids, bodies, places = batch.column("doc_id").to_numpy(), batch.column("body").to_numpy(), batch.column("places")
-            hashes, sizes = _hashed(batch)
+            hashes, sizes = _hashed(batch, memo)
             text, anchor, start, stop, first = anchors(hashes, sizes)
             begins = np.cumsum(sizes) - sizes
             counts = np.diff(places.offsets.to_numpy())
