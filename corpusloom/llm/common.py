@@ -22,15 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, group_rows: int | None = None) -> DataFrame:
     """The rows of ``df``, written as Parquet to the shared folder and read back.
 
+    Wide rows should be in row groups of ``group_rows``, as a reader holds one at a time.
+
     The folder is the one in ``spark.checkpoint.dir``, so the table survives the loss of
     any executor; ``drop_written`` removes what this session wrote.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows, "parquet.page.size.row.check.min": group_rows}
+    df.write.options(**rows).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_schema, mix, terms_of, text_batches, word_hashes, word_memo, written
 
-BLOCK_BYTES, BLOCK_DOCS = 2 * 1024 * 1024, 1024
+BLOCK_BYTES, BLOCK_DOCS, GROUP_BLOCKS = 1024 * 1024, 1024, 4
 HASHES, BITS_PER_ENTRY = 3, 6
 #: Occurrences from which a term is entered (again).
 LEVELS = (1, 2, 4)
@@ -32,7 +32,7 @@ QUERY_TERMS, SEED_BLOCKS = 1 << 17, 16
 TOP, FIRST_LOOK = 10, 32
 SLOTS = 64
 UNIT = 1_000_000_000
-_INDEX = "key long, n_docs int, ids binary, sizes binary, width int, slices binary, ends binary, terms binary, counts binary"
+_INDEX = "key long, n_docs int, ids binary, sizes binary, width int, slices binary, ends binary, terms binary, count_bytes int, counts binary"
 _TOP = "item long, doc_id long, score long"
 _NO_ID = (1 << 63) - 1
 
@@ -44,14 +44,18 @@ def _rows(hashes: np.ndarray, level: int, width: int) -> np.ndarray:
     return np.stack([(first + np.uint64(j) * step) & np.uint64(width - 1) for j in range(HASHES)]).astype(np.int64)
 
 
-def _block(docs: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple:
+def _width(counts: np.ndarray) -> int:
+    """Bits of a document's signature: BITS_PER_ENTRY or more, less than twice that, for each entry."""
+    entries = sum(int((counts >= level).sum()) for level in LEVELS)
+    return 1 << max(6, (BITS_PER_ENTRY * entries - 1).bit_length())
+
+
+def _block(docs: list[tuple[int, int, np.ndarray, np.ndarray]], width: int) -> tuple:
     """One index row from (id, n terms with repeats, sorted term hashes, counts) of its documents."""
     ids, sizes, terms, counts = zip(*docs)
     ends = np.cumsum([len(t) for t in terms])
     terms, counts = np.concatenate(terms), np.concatenate(counts)
     row = np.repeat(np.arange(len(docs)), np.diff(ends, prepend=0))
-    entries = sum(np.bincount(row[counts >= level], minlength=len(docs)) for level in LEVELS)
-    width = 1 << max(6, int(BITS_PER_ENTRY * int(entries.max()) - 1).bit_length())
     bits = np.zeros((width, len(docs)), bool)
     for level in LEVELS:
         use = counts >= level
@@ -60,7 +64,8 @@ def _block(docs: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple:
     key = int(mix(np.uint64([terms[0], len(terms), ids[0] & ((1 << 64) - 1)])).sum(dtype=np.uint64).view(np.int64))
     parts = np.array(ids, np.int64), np.array(sizes, np.int64), np.packbits(bits, axis=1), ends.astype(np.int64)
     ids, sizes, slices, ends = (p.tobytes() for p in parts)
-    return key, len(docs), ids, sizes, width, slices, ends, terms.tobytes(), counts.astype(np.int32).tobytes()
+    counts = counts.astype(np.min_scalar_type(int(counts.max())))
+    return key, len(docs), ids, sizes, width, slices, ends, terms.tobytes(), counts.itemsize, counts.tobytes()
 
 
 def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -69,21 +74,31 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_docs: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
-        for batch in text_batches(batches, block_bytes):
-            docs = []
+        open_: dict[int, list] = {}  # documents by the width of their signatures
+        room: dict[int, int] = {}
+
+        def close(width: int) -> pa.RecordBatch:
+            block = _block(open_.pop(width), width)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(block, schema)], schema=schema)
+
+        for batch in text_batches(batches):
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = terms_of(data)
-                if words:
-                    terms, counts = np.unique(word_hashes(words, memo), return_counts=True)
-                    docs.append((_NO_ID if doc_id is None else doc_id, len(words), terms, counts))
-            docs.sort(key=lambda d: len(d[2]))
-            rows = [_block(docs[i:i + block_docs]) for i in range(0, len(docs), block_docs)]
-            # One block a batch: a block's postings and slices are about as large as its texts.
-            for block in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(block, schema)], schema=schema)
+                if not words:
+                    continue
+                terms, counts = np.unique(word_hashes(words, memo), return_counts=True)
+                width = _width(counts)
+                if width not in open_:
+                    open_[width], room[width] = [], block_bytes
+                open_[width].append((_NO_ID if doc_id is None else doc_id, len(words), terms, counts))
+                room[width] -= terms.nbytes
+                if room[width] <= 0 or len(open_[width]) >= block_docs:
+                    yield close(width)
+        for width in sorted(open_):
+            yield close(width)
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    return written(columns.mapInArrow(run, _INDEX), "signatures")
+    return written(columns.mapInArrow(run, _INDEX), "signatures", GROUP_BLOCKS)
 
 
 @dataclass
@@ -166,7 +181,7 @@ def search_block(row: dict, queries: Queries, best: list[_Best]) -> int:
     """Bring the best documents of all items up to date with one block; how many were scored exactly."""
     n, width = row["n_docs"], row["width"]
     ids, sizes, ends = (np.frombuffer(row[c], np.int64) for c in ("ids", "sizes", "ends"))
-    terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32)
+    terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], f"u{row['count_bytes']}")
     starts = np.concatenate([[0], ends[:-1]])
     slices = np.frombuffer(row["slices"], np.uint8).reshape(width, -1)
     length_term = 8 * (10 + (90 * sizes * queries.n_docs) // queries.n_terms)

@@ -67,7 +67,7 @@ def test_bounds_hold_and_exclude():
         memo = lexical.word_memo()
         docs.append((i, len(words), *np.unique(lexical.word_hashes(words, memo), return_counts=True)))
     names = lexical._INDEX.replace(",", "").split()[::2]
-    row = dict(zip(names, lexical._block(docs)))
+    row = dict(zip(names, lexical._block(docs, max(lexical._width(d[3]) for d in docs))))
     asked = np.unique(lexical.word_hashes([b"t5", b"t77", b"t120", b"t3000", b"absent"], lexical.word_memo()))
     queries = lexical.Queries([1], asked, [np.arange(len(asked))]).weighted(np.array([3, 40, 2, 9, 0]), 300, sum(d[1] for d in docs))
     best = [lexical._Best(0)]
