@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Memo, arrow_schema, text_batches
+from corpusloom.llm.common import Memo, arrow_schema, text_batches, written
 
 PASSAGE, STRIDE = 128, 64
 CHUNK = STRIDE
@@ -108,20 +108,40 @@ class Index:
         return found
 
 
-def build_index(items: list[tuple[int, str]], score: float = SCORE) -> Index:
+def entries_of(text: str | None) -> list[Counter]:
+    """Words of an item with their numbers, one for each chunk."""
+    words = item_words(text)
+    return [Counter(words[at:at + CHUNK]) for at in range(0, len(words), CHUNK)]
+
+
+@dataclass
+class Statistics:
+    """Of all items: entries, words in them, and the entries that have a word."""
+
+    entries: int
+    words: int
+    frequency: dict[bytes, int]
+
+    @staticmethod
+    def of(texts: list[str]) -> "Statistics":
+        entries = [e for t in texts for e in entries_of(t)]
+        return Statistics(len(entries), sum(sum(e.values()) for e in entries), Counter(w for e in entries for w in e))
+
+
+def build_index(items: list[tuple[int, str]], score: float = SCORE, known: Statistics | None = None) -> Index:
+    """The index of some items; ``known`` are the statistics of all, without it those of ``items``."""
     items = sorted((i, t) for i, t in items if i is not None and item_words(t))
+    known = known or Statistics.of([t for _, t in items])
     entries, owner, kept = [], [], []
     for k, (item_id, text) in enumerate(items):
-        words = item_words(text)
         parts = parts_of(text)
         kept.append((item_id, [runs(p) for p in parts], [min(RUN, len(p)) for p in parts]))
-        for at in range(0, len(words), CHUNK):
-            entries.append(Counter(words[at:at + CHUNK]))
-            owner.append(k)
+        own = entries_of(text)
+        entries += own
+        owner += [k] * len(own)
     sizes = [sum(c.values()) for c in entries]
-    mean = sum(sizes) / max(1, len(sizes))
-    df = Counter(w for c in entries for w in c)
-    idf = {w: math.log(1 + (len(entries) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    mean = known.words / max(1, known.entries)
+    idf = {w: math.log(1 + (known.entries - n + 0.5) / (n + 0.5)) for w, n in known.frequency.items()}
     postings = defaultdict(lambda: ([], []))
     for e, c in enumerate(entries):
         weight = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * sizes[e] / mean)) for w, n in c.items()}
@@ -195,41 +215,77 @@ class Detector:
         return out
 
 
-_DETECTORS: dict[str, Detector] = {}
+_STATISTICS = "word binary, entries long, words long"
+
+
+def _statistics(rows: DataFrame) -> DataFrame:
+    """(word, entries, words) of all items: a row for each word, and one without a word for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            part = Statistics.of(batch.column("text").to_pylist())
+            columns = [*part.frequency, None], [*part.frequency.values(), part.entries], [0] * len(part.frequency) + [part.words]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema(_STATISTICS))], schema=arrow_schema(_STATISTICS))
 
+    found = rows.select("text").mapInArrow(run, _STATISTICS)
+    return written(found.groupBy("word").agg(F.sum("entries").alias("entries"), F.sum("words").alias("words")), "statistics")
 
-def _detector(shared) -> Detector:
-    key = str(id(shared.value))
-    if key not in _DETECTORS:
-        _DETECTORS.clear()
-        _DETECTORS[key] = Detector(shared.value)
-    return _DETECTORS[key]
+
+def _words(rows: DataFrame) -> DataFrame:
+    """The distinct words of some items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            found = {w for t in batch.column("text").to_pylist() for w in item_words(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["word"])
+
+    return rows.select("text").mapInArrow(run, "word binary").distinct()
 
 
 def _shards(items: DataFrame, shard_bytes: int):
-    """Indexes of the items, each broadcast, of about ``shard_bytes`` of text."""
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
+    """(index, whether it is the only one): indexes of about ``shard_bytes`` of items, one at a time.
+
+    Scores don't depend on the shard: frequencies and lengths are those of all items.
+    """
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(size / shard_bytes))
+    counts = _statistics(rows)
+    total = counts.where("word IS NULL").first()
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield items.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()]))
+        # A row for each word of the shard, whose texts are bounded.
+        own = counts.where("word IS NOT NULL").join(_words(part), "word", "left_semi").collect()
+        known = Statistics(total["entries"] if total else 0, total["words"] if total else 0, {bytes(r["word"]): r["entries"] for r in own})
+        yield build_index([tuple(r) for r in part.collect()], known=known), n == 1
+
+
+def _passes(docs: DataFrame, items: DataFrame, shard_bytes: int, search):
+    """``search(docs, broadcast index)`` for each shard; with several, each is done before the next is built."""
+    for index, only in _shards(items, shard_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        found = search(docs, shared)
+        if not only:
+            found = written(found, "hits")
+            shared.destroy()
+        yield found
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): every item in every text.
 
     Each whole text is read in overlapping passages. ``score`` is the best passage's BM25
-    score over what the item needs. Null and empty texts or items give no rows; a null
-    doc_id stays; repeated rows give repeated pairs, repeated items a pair each. The items
-    are indexed in shards of ``shard_bytes``, one pass over the documents for each.
+    score over what the item needs. Of an item without a second half (one word) the first
+    alone must be there. Null and empty texts or items, and items without an id, give no rows; a
+    null doc_id stays; repeated rows give repeated pairs, repeated items a pair each. The items
+    are indexed in shards of ``shard_bytes``, one pass over the documents for each, with the
+    same rows and scores whatever the number of shards.
     """
     schema = arrow_schema(_SCHEMA)
-    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def search(shared):
+    def search(columns: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            detector = _detector(shared)
+            detector = Detector(shared.value)
             for batch in text_batches(batches):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(i, *hit) for i, t in zip(ids, batch.column("text").to_pylist()) for hit in detector.hits(t)]
@@ -237,7 +293,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES
 
         return columns.mapInArrow(run, _SCHEMA)
 
-    found = [search(shared) for shared in _shards(items, shard_bytes)]
+    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = list(_passes(columns, items, shard_bytes, search))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -246,16 +303,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES
 
 def without_leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of ``docs`` that have none of the items; all columns as they are."""
+    for index, only in _shards(items, shard_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def keep(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            detector = _detector(shared)
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            detector = Detector(shared.value)
             for batch in text_batches(batches):
                 clean = [not detector.hits(t) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        return run
-
-    for shared in _shards(items, shard_bytes):
-        docs = docs.mapInArrow(keep(shared), docs.schema)
+        docs = docs.mapInArrow(keep, docs.schema)
+        if not only:
+            docs = written(docs, "clean")
+            shared.destroy()
     return docs

@@ -8,12 +8,12 @@ language whose codeword loses least, with the bits weighted by how well they are
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +21,12 @@ from corpusloom.llm.common import arrow_schema, text_batches
 
 #: Distinct texts of each language that the classifiers are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 500
-BUCKETS = 8192
+BUCKETS, PARTS = 8192, 64
 AMBIGUOUS_GAP = 0.2
 CHUNK = 1 << 20
 UNKNOWN = "und"
 _SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"\p{L}")
 #: ASCII letters in lower case and bytes of other characters; all else is a space.
 _CLASS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256)], np.uint8)
 
@@ -82,9 +82,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CodeModel |
     known = known.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     known = known.withColumns({"draw": F.xxhash64("text", F.lit(7)), "body": F.xxhash64("text", F.lit(8))})
     texts = known.groupBy("lang", "draw", "body").agg(F.min("doc_id").alias("doc_id"))
-    # The limit is taken in each partition before the rows of a language meet.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "body"))
-    least = texts.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    # A language's texts are cut to the limit in parts before they meet, so none has to go to one task.
+    least = texts.withColumn("part", F.pmod("body", F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "body"))
+        least = least.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    least = least.drop("part")
     chosen = known.join(F.broadcast(least), ["lang", "draw", "body", "doc_id"]).select("text", "lang", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Memo, arrow_schema, text_batches
 
 MARK = "▁"
-SEGMENT_ENTRIES = 300_000
-RUN_ENTRIES = 50_000
-PAIR_ENTRIES = 400_000
+#: Bytes that a worker may keep of what it has coded, while it reads a partition.
+SEGMENT_BYTES, RUN_BYTES, PAIR_BYTES = 40 << 20, 8 << 20, 32 << 20
 CACHED_CHARS = 48
 _SEGMENT = re.compile(" +[^ ]*")
 _SCHEMA = "doc_id long, n_tokens long, ids_text string, decoded string"
@@ -73,9 +73,13 @@ class PieceTable:
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         self.size = len(self.pieces)
-        self.fits = Memo(self._fits, PAIR_ENTRIES)
-        self.runs = Memo(self._run, RUN_ENTRIES)
-        self.segment = Memo(self._segment, SEGMENT_ENTRIES)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was kept of texts; the vocabulary stays."""
+        self.fits = Memo(self._fits, PAIR_BYTES)
+        self.runs = Memo(self._run, RUN_BYTES)
+        self.segment = Memo(self._segment, SEGMENT_BYTES)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair again and again."""
@@ -190,24 +194,51 @@ def piece_table(path: str) -> PieceTable:
     return _TABLES[path]
 
 
-def code_documents(docs: DataFrame, model_path: str, batch_bytes: int = 1 << 20, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_text, decoded[, text]) of every row of ``docs``, whole texts.
+def _coded(docs: DataFrame, model_path: str, batch_bytes: int, out: str, columns) -> DataFrame:
+    """Rows of ``out``: doc_id, n_tokens and ``columns(table, texts, ids as text)``."""
+    schema = arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = piece_table(model_path)
+        try:
+            for batch in text_batches(batches, batch_bytes):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                ids = [pieces.encode(t) for t in texts]
+                counts = [s.count(" ") + 1 for s in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), *columns(pieces, texts, ids)], schema=schema)
+        finally:
+            pieces.forget()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+
+
+def code_documents(docs: DataFrame, model_path: str, batch_bytes: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_tokens, ids_text, decoded) of every row of ``docs``, whole texts.
 
     ``ids_text`` has the decimal ids, joined by one space, with the end id; ``decoded`` is
     the text they decode to. Null and empty texts have the end id alone and decode to an
     empty text; repeated rows are coded row by row; a null doc_id stays.
     """
-    out = _SCHEMA + ", text string" * with_text
-    schema = arrow_schema(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(model_path)
-        for batch in text_batches(batches, batch_bytes):
-            ids = [pieces.encode(t or "") for t in batch.column("text").to_pylist()]
-            counts, texts = [s.count(" ") + 1 for s in ids], map(pieces.decode_names, ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
-                 pa.array(texts, pa.string()), *[batch.column("text")] * with_text], schema=schema)
-
-    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, out)
+    def columns(pieces: PieceTable, texts: list[str], ids: list[str]) -> list[pa.Array]:
+        return [pa.array(ids, pa.string()), pa.array(map(pieces.decode_names, ids), pa.string())]
+
+    return _coded(docs, model_path, batch_bytes, _SCHEMA, columns)
+
+
+def encode_documents(docs: DataFrame, model_path: str, batch_bytes: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip) of every row: the ids as numbers, and whether they decode to the text.
+
+    Nulls, empty texts and repeated rows as in ``code_documents``; neither the text nor
+    what it decodes to leaves the task.
+    """
+
+    def columns(pieces: PieceTable, texts: list[str], ids: list[str]) -> list[pa.Array]:
+        numbers = [np.fromstring(s, np.int32, sep=" ") for s in ids]
+        ends = np.cumsum([0, *map(len, numbers)]).astype(np.int32)
+        same = [pieces.decode_names(s) == t for s, t in zip(ids, texts)]
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers)))
+        return [lists, pa.array(same, pa.bool_())]
+
+    return _coded(docs, model_path, batch_bytes, "doc_id long, n_tokens long, ids array<int>, round_trip boolean", columns)

@@ -111,6 +111,14 @@ def test_against_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
 
 
+def test_texts_without_letters_are_und(spark):
+    texts = ["½ ²", "Ⅷ ①", "12 34", "_", "ª", "a½", "日", "\u0301"]
+    docs = spark.createDataFrame([*enumerate(texts), (50, "some words here")], "doc_id long, text string")
+    learned = docs.selectExpr("doc_id + 2 AS doc_id", "'some words here and there' AS text", "'en' AS lang")
+    got = languages.predict_languages(docs, languages.fit(learned)).collect()
+    assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {0, 1, 2, 3, 7}
+
+
 def test_pieces_as_the_library():
     model, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_table(MODEL)
     draw = random.Random(1)
@@ -219,6 +227,59 @@ def test_items_in_several_shards_and_passages(spark):
     assert [r["doc_id"] for r in decontamination.without_leaks(docs, items, shard_bytes=2000).collect()] == [1]
 
 
+def plain_leaks(docs, items):
+    """Every item in every text, without index or bounds: all passages against all entries."""
+    known = decontamination.Statistics.of([t for _, t in items])
+    mean, out = known.words / known.entries, []
+    idf = {w: math.log(1 + (known.entries - n + 0.5) / (n + 0.5)) for w, n in known.frequency.items()}
+    for doc_id, text in docs:
+        words = [decontamination.plain(w) for w in (text or "").encode().lower().split()]
+        # The last passage starts at the first stride from which it reaches the end.
+        starts = range(0, max(0, -(-(len(words) - 128) // 64)) * 64 + 1, 64)
+        passages = [set(words[s:s + 128]) for s in starts]
+        for item_id, item in items:
+            best = 0.0
+            for entry in decontamination.entries_of(item):
+                size = sum(entry.values())
+                weight = {w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / mean)) for w, n in entry.items()}
+                best = max([best, *(sum(x for w, x in weight.items() if w in p) / (0.6 * sum(weight.values())) for p in passages)])
+            shares = []
+            for part in decontamination.parts_of(item):
+                k = min(3, len(part))
+                own = {tuple(part[i:i + k]) for i in range(len(part) - k + 1)} if k else set()
+                have = {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} if k else set()
+                shares.append(len(own & have) / len(own) if own else 1.0)
+            if best >= 1 - 1e-9 and min(shares) >= 0.6:
+                out.append((doc_id, item_id, round(best, 9), *(round(s, 9) for s in shares)))
+    return sorted(out)
+
+
+def test_leaks_as_plain_whatever_the_shards(spark):
+    draw = random.Random(21)
+    vocabulary = [f"v{int(draw.paretovariate(0.7))}" for _ in range(500)]
+    text = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(draw.choice([1, 2, 7, 25, 70, 140]))) + draw.choice(["", "? ", "? yes it is"])) for i in range(60)]
+    docs = []
+    for i in range(150):
+        words = text(draw.randint(0, 300))
+        for _ in range(draw.randint(0, 3)):
+            part = draw.choice(items)[1].split()
+            part = [w for w in part if draw.random() < draw.choice([1, 0.9, 0.7])]
+            at = draw.randint(0, len(words))
+            words[at:at] = part
+        docs.append((i, " ".join(words)))
+    want = plain_leaks(docs, items)
+    assert len(want) > 50
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    for shards in (1, 2, 5):
+        got = decontamination.find_leaks(frame, asked, shard_bytes=-(-size // shards)).collect()
+        assert sorted((r[0], r[1], *(round(x, 9) for x in r[2:])) for r in got) == want
+    clean = decontamination.without_leaks(frame, asked, shard_bytes=size // 3).collect()
+    assert {r["doc_id"] for r in clean} == set(range(150)) - {d for d, *_ in want}
+
+
 def test_base_spans():
     text = "my Password: 'abc' token=secret=abcdefghijkl AKIA12 api_key = \"Zz9+/_.=-Zz9+/\" deadbeefdeadbeef0"
     assert secrets.base_spans(text) == [
