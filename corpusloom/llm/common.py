@@ -78,14 +78,13 @@ class Memo(dict):
     Python worker that Spark uses again.
     """
 
-    ENTRY = 180  # bytes of a key, a small value and their place, besides the key's length
-
-    def __init__(self, compute, max_bytes: int = MEMO_BYTES):
+    def __init__(self, compute, max_bytes: int = MEMO_BYTES, entry: int = 180):
+        """``entry``: bytes of a key, a small value and their place, besides the key's length."""
         super().__init__()
-        self.compute, self.max_bytes, self.room = compute, max_bytes, max_bytes
+        self.compute, self.max_bytes, self.room, self.entry = compute, max_bytes, max_bytes, entry
 
     def __missing__(self, key):
-        self.room -= self.ENTRY + (len(key) if isinstance(key, (bytes, str)) else 0)
+        self.room -= self.entry + (len(key) if isinstance(key, (bytes, str)) else 0)
         if self.room < 0:
             self.clear()
             self.room = self.max_bytes

@@ -22,7 +22,7 @@ from corpusloom.llm.common import Memo, arrow_schema, text_batches
 
 MARK = "▁"
 #: Bytes that a worker may keep of what it has coded, while it reads a partition.
-SEGMENT_BYTES, RUN_BYTES, PAIR_BYTES = 40 << 20, 8 << 20, 32 << 20
+SEGMENT_BYTES, RUN_BYTES, PAIR_BYTES = 88 << 20, 8 << 20, 24 << 20
 CACHED_CHARS = 48
 _SEGMENT = re.compile(" +[^ ]*")
 _SCHEMA = "doc_id long, n_tokens long, ids_text string, decoded string"
@@ -77,7 +77,7 @@ class PieceTable:
 
     def forget(self) -> None:
         """Drop what was kept of texts; the vocabulary stays."""
-        self.fits = Memo(self._fits, PAIR_BYTES)
+        self.fits = Memo(self._fits, PAIR_BYTES, 100)  # two numbers
         self.runs = Memo(self._run, RUN_BYTES)
         self.segment = Memo(self._segment, SEGMENT_BYTES)
 
