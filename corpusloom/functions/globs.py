@@ -292,8 +292,89 @@ def path_glob_regex_column(pattern) -> Column:
     )
 
 
+_EDGE = "\0"  # never part of a path
+
+
+def marked(path) -> Column:
+    """A path in which the needles of rules are looked for: with a mark at both ends.
+
+    Most rules are about a literal at the start, at the end or between slashes. Of such a
+    rule a path has one of its needles; finding one takes no regex, which Spark would
+    have to compile for each row of a table of rules.
+    """
+    return F.concat(F.lit(_EDGE + "/"), as_column(path), F.lit(_EDGE))
+
+
+def _needles(*found: tuple[Column, str, Column, tuple[str, ...]]) -> Column:
+    """The needles of the first kind (condition, start, literal, ends) that a rule is of; null for none."""
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for condition, start, literal, ends in found:
+        clean = condition & ~F.contains(literal, F.lit(_EDGE)) & (literal != "")
+        out = out.when(clean, F.array(*[F.concat(F.lit(start), literal, F.lit(end)) for end in ends]))
+    return out
+
+
+def _path_needles(keep: Column, pattern: Column, folder: Column, compat: str) -> Column:
+    below = ("/", _EDGE)
+    every = F.regexp_replace(pattern, r"/\*\*\z", "")
+    in_folder = pattern.endswith("/**") & every.rlike(rf"\A{_PLAIN}\z")
+    extension = pattern.rlike(rf"\A\*\*/\*\.{_PLAIN}\z")
+    return _needles(
+        (~keep & pattern.endswith("/"), "/" if compat == "intended" else _EDGE + "/", folder, below),
+        (pattern.rlike(rf"\A{_PLAIN}\z"), "/", pattern, (_EDGE,)),
+        (~keep & pattern.rlike(rf"\A\*{_PLAIN}\z"), "", _rest(pattern, 2), (_EDGE,)),
+        (keep & in_folder, _EDGE + "/", every, below),
+        (~keep & in_folder, "/", every, below),
+        (extension, "", _rest(pattern, 5), (_EDGE,)),
+    )
+
+
+def _gitignore_needles(pattern: Column) -> Column:
+    name = F.regexp_replace(pattern, r"/\z", "")
+    return _needles(
+        (pattern.rlike(rf"\A{_PLAIN}/\z"), "/", name, ("/",)),
+        (pattern.rlike(rf"\A{_PLAIN}\z"), "/", pattern, ("/", _EDGE)),
+        (pattern.rlike(rf"\A\*{_PLAIN}\z"), "", _rest(pattern, 2), ("/", _EDGE)),
+    )
+
+
+def rule_runs_column(rules) -> Column:
+    """Column form of :func:`rule_runs`: array<struct<keep, needles, regex>> from an array of rules.
+
+    Neighbouring rules that decide the same way are one run, with all their needles and
+    one regex of those rules that need theirs (null without any).
+    """
+
+    def one(run: Column) -> Column:
+        plain = F.filter(run, lambda rule: rule["needles"].isNotNull())
+        others = F.filter(run, lambda rule: rule["needles"].isNull())
+        return F.struct(
+            F.get(run, 0)["keep"].alias("keep"),
+            F.array_distinct(F.flatten(F.transform(plain, lambda rule: rule["needles"]))).alias("needles"),
+            F.when(F.size(others) > 0, F.array_join(F.transform(others, lambda rule: rule["regex"]), "|")).alias("regex"),
+        )
+
+    def split(rules: Column) -> Column:
+        turns = F.filter(
+            F.transform(rules, lambda rule, i: F.when((i == 0) | (F.get(rules, i - 1)["keep"] != rule["keep"]), i)),
+            lambda i: i.isNotNull())
+        return let(turns, lambda at: F.transform(at, lambda start, k: one(
+            F.slice(rules, start + 1, F.coalesce(F.get(at, k + 1), F.size(rules)) - start))))
+
+    return let(as_column(rules), split)
+
+
+def run_matches(path: Column, mark: Column, run: Column) -> Column:
+    """Whether a path (``mark`` is :func:`marked` of it) matches a run of :func:`rule_runs_column`."""
+    literal = F.exists(run["needles"], lambda needle: F.contains(mark, needle))
+    return literal | F.coalesce(F.rlike(path, run["regex"]), F.lit(False))
+
+
 def path_rule_column(rule, compat: str = "reference") -> Column:
-    """Column form of :func:`path_rule_regex`: struct<regex, keep>, regex anchored."""
+    """Column form of :func:`path_rule_regex`: struct<regex, keep, needles>, regex anchored.
+
+    ``needles`` are null where the rule takes its regex, see :func:`marked`.
+    """
 
     def whole(keep: Column, pattern: Column) -> Column:
         n = F.char_length(pattern)
@@ -323,7 +404,8 @@ def path_rule_column(rule, compat: str = "reference") -> Column:
             ),
         ).otherwise(F.concat(start, F.lit("(?:"), _quote(pattern), glob, extra, F.lit(")")))
         return F.struct(
-            F.concat(F.lit(r"(?s)\A(?:"), body, F.lit(r")\z")).alias("regex"), keep.alias("keep")
+            F.concat(F.lit(r"(?s)\A(?:"), body, F.lit(r")\z")).alias("regex"), keep.alias("keep"),
+            _path_needles(keep, pattern, folder, compat).alias("needles"),
         )
 
     def split_off(text: Column) -> Column:
@@ -336,7 +418,7 @@ def path_rule_column(rule, compat: str = "reference") -> Column:
 
 
 def gitignore_column(line) -> Column:
-    """Column form of :func:`gitignore_regex`: struct<regex, keep>, null for no rule."""
+    """Column form of :func:`gitignore_regex`: struct<regex, keep, needles>, null for no rule."""
 
     def split_off(text: Column) -> Column:
         keep = text.startswith("!")
@@ -371,6 +453,7 @@ def gitignore_column(line) -> Column:
                 F.lit(r")\z"),
             ).alias("regex"),
             keep.alias("keep"),
+            _gitignore_needles(pattern).alias("needles"),
         )
 
     return let(

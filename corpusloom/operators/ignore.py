@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions import globs, paths
-from corpusloom.functions.text import as_column
+from corpusloom.functions.text import as_column, let
 from corpusloom.operators.joins import lookup
 
 Layer = Sequence[str] | Column | Callable[[Column], Column]
@@ -27,18 +27,21 @@ def _literal_action(path: Column, runs: list[tuple[str, bool]]) -> Column:
     return action
 
 
+def _matching_runs(path: Column, runs: Column) -> Column:
+    return let(globs.marked(path), lambda mark: F.filter(runs, lambda run: globs.run_matches(path, mark, run)))
+
+
 def first_action(path, layers: Sequence[Layer], compat: str = "reference") -> Column:
     """Keep flag of the first rule that matches, null when none does (pack v1).
 
-    A layer is a list of patterns known now, an array<struct<regex, keep>> column, or a
+    A layer is a list of patterns known now, a column of ``globs.rule_runs_column``, or a
     function from path to action.
     """
     path = as_column(path)
     actions = []
     for layer in layers:
         if isinstance(layer, Column):
-            hits = F.filter(layer, lambda rule: F.rlike(path, rule["regex"]))
-            actions.append(F.get(hits, 0)["keep"])
+            actions.append(F.get(_matching_runs(path, layer), 0)["keep"])
         elif callable(layer):
             actions.append(layer(path))
         elif layer:
@@ -52,8 +55,7 @@ def last_action(path, layers: Sequence[Layer]) -> Column:
     actions = []
     for layer in reversed(layers):
         if isinstance(layer, Column):
-            hits = F.filter(layer, lambda rule: F.rlike(path, rule["regex"]))
-            actions.append(F.try_element_at(hits, F.lit(-1))["keep"])
+            actions.append(F.try_element_at(_matching_runs(path, layer), F.lit(-1))["keep"])
         elif callable(layer):
             actions.append(layer(path))
         elif layer:

@@ -93,9 +93,10 @@ def repo_rules(
 ) -> DataFrame:
     """One row per repository that owns ignore files, with its rules already compiled.
 
-    ``git_rules`` and ``pack_rules`` are array<struct<regex, keep>>; an array is as long
-    as its ignore file, which is itself one row. ``pack_rules`` is null without a pack
-    ignore file: such repositories take the defaults, which are plan-time literals.
+    ``git_rules`` and ``pack_rules`` are runs of like rules (``globs.rule_runs_column``);
+    an array is as long as its ignore file, which is itself one row. ``pack_rules`` is null
+    without a pack ignore file: such repositories take the defaults, which are plan-time
+    literals.
     """
     if dialect == "path":
         compiled = F.transform(
@@ -106,7 +107,7 @@ def repo_rules(
             F.transform(lines(_text(entries)), globs.gitignore_column),
             lambda rule: rule.isNotNull(),
         )
-    files = _ignore_files(entries).select("repo", "path", compiled.alias("rules"))
+    files = _ignore_files(entries).select("repo", "path", globs.rule_runs_column(compiled).alias("rules"))
     own = F.col("path") == C.PACKIGNORE_FILE
     return files.groupBy("repo").agg(
         F.any_value(F.when(~own, F.col("rules")), True).alias("git_rules"),

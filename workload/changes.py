@@ -422,32 +422,16 @@ def commit_contexts(spark, sf_dir):
     return commit_plan.commit_sections(*V.snapshots(spark, sf_dir), compat="intended")
 
 
-# Changed paths as the diff text of a repository, for prompts of single documents.
-NAMES_DIFF = """names_diff AS (SELECT repo, string_agg(status || ' ' || path, chr(10) ORDER BY path) AS diff FROM changed
-WHERE CAST(substr(repo, 4) AS BIGINT) % 5 <> 0 GROUP BY repo)"""
-
-
-def _names_diff(spark, sf_dir):
-    from corpusloom.operators.joins import assemble
-
-    changed = diffs.snapshot_diff(*V.snapshots(spark, sf_dir)).where(
-        F.substring("repo", 4, 20).cast("long") % 5 != 0
-    )
-    named = changed.select("repo", "path", F.concat("status", F.lit(" "), "path").alias("text"))
-    gathered = assemble(named, ["repo"], ["path"], separator="\n")
-    return gathered.select("repo", F.col("text").alias("diff"))
-
-
-DOCS_DIFF_CTES = (*Q.LANG_CTES, V.VERSIONS, V.SNAPSHOTS, Q.DIFF_SQL, NAMES_DIFF)
+DOCS_DIFF_CTES = (*Q.LANG_CTES, V.VERSIONS, V.SNAPSHOTS, REPO_DIFFS)
 
 
 @query("docs_prompts", V.with_ctes(f"""
 SELECT doc_id, {fill_sql(P.DOCS_PROMPT, goal="'" + P.DEFAULT_DOCS_GOAL + "'", context="COALESCE(d.diff, '')", target='content')} AS prompt,
   {fill_sql(P.DOCS_PROMPT, goal="COALESCE(d.diff, '')", context='content', target="'%!s(MISSING)'")} AS shifted_prompt
-FROM langs l LEFT JOIN names_diff d ON d.repo = l.repo WHERE lang = 'markdown'""", *DOCS_DIFF_CTES))
+FROM langs l LEFT JOIN repo_diffs d ON d.repo = l.repo WHERE lang = 'markdown'""", *DOCS_DIFF_CTES))
 def docs_prompts(spark, sf_dir):
     docs = V.corpus(spark, sf_dir).where(paths.language("path") == "markdown")
-    with_diff = prompts.attach_diff(docs, _names_diff(spark, sf_dir))
+    with_diff = prompts.attach_diff(docs, commit_plan.repo_diffs(*V.snapshots(spark, sf_dir)))
     return with_diff.select(
         "doc_id", prompts.docs_prompt("content", "diff").alias("prompt"),
         prompts.docs_prompt("content", "diff", compat="reference").alias("shifted_prompt"),
