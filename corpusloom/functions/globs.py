@@ -165,69 +165,62 @@ def rule_glob_regex(pattern: str) -> str | None:
     return None if depth else r"(?s)\A" + "".join(out) + r"\z"
 
 
-# Where the common kinds of rules are found in a path. A rule of any other kind is matched
-# as a whole. "suffix" is "*" and a literal, which may start anywhere in a component.
-_FOUND = {
-    "root": r"\A(?:{})(?:/|\z)", "folder": r"(?:\A|/)(?:{})(?:/|\z)", "inside": r"(?:\A|/)(?:{})/",
-    "name": r"(?:\A|/)(?:{})\z", "suffix": r"(?:{})\z", "suffixes": r"(?:{})(?:/|\z)",
-    "whole": r"(?s:\A(?:{})\z)",
-}
+_EDGE = "\0"  # never part of a path
 _PLAIN = r"[^*?\[\\/]+"
 
 
-def _path_rule_kind(rule: str, compat: str) -> tuple[str, str, bool]:
-    body, keep = path_rule_regex(rule, compat)
-    pattern = rule[1:] if keep else rule
-    if not keep and pattern.endswith("/"):
-        name = pattern[:-1]
-        return ("folder", quote(name.removeprefix("**/")), keep) if compat == "intended" else ("root", quote(name), keep)
-    if re.fullmatch(_PLAIN, pattern):
-        return "name", quote(pattern), keep
-    if not keep and re.fullmatch(r"\*" + _PLAIN, pattern):
-        return "suffix", quote(pattern[1:]), keep
-    return "whole", body, keep
+def _literal_needles(start: str, literal: str, *ends: str) -> list[str] | None:
+    return [start + literal + end for end in ends] if literal and _EDGE not in literal else None
 
 
-def _gitignore_kind(line: str) -> tuple[str, str, bool] | None:
-    compiled = gitignore_regex(line)
-    if compiled is None:
-        return None
-    body, keep = compiled
+def path_rule_needles(rule: str, compat: str = "reference") -> list[str] | None:
+    """What a path must have one of (see :func:`marked`) to match a pack v1 rule, None if only a regex can tell."""
+    keep = rule.startswith("!")
+    pattern = rule[1:] if keep else rule
+    below, plain = ("/", _EDGE), lambda text: re.fullmatch(_PLAIN, text)
+    if not keep and pattern.endswith("/"):
+        if compat == "intended":
+            return _literal_needles("/", pattern[:-1].removeprefix("**/"), *below)
+        return _literal_needles(_EDGE + "/", pattern[:-1], *below)
+    if plain(pattern):
+        return _literal_needles("/", pattern, _EDGE)
+    if not keep and pattern.startswith("*") and plain(pattern[1:]):
+        return _literal_needles("", pattern[1:], _EDGE)
+    if pattern.endswith("/**") and plain(pattern[:-3]):
+        return _literal_needles(_EDGE + "/" if keep else "/", pattern[:-3], *below)
+    if pattern.startswith("**/*.") and plain(pattern[5:]):
+        return _literal_needles("", pattern[4:], _EDGE)
+    return None
+
+
+def gitignore_needles(line: str) -> list[str] | None:
+    """The same for a gitignore line."""
     pattern = line.rstrip("\r").strip(" ").removeprefix("!")
-    if re.fullmatch(_PLAIN + "/", pattern):
-        return "inside", quote(pattern[:-1]), keep
-    if re.fullmatch(_PLAIN, pattern):
-        return "folder", quote(pattern), keep
-    if re.fullmatch(r"\*" + _PLAIN, pattern):
-        return "suffixes", quote(pattern[1:]), keep
-    return "whole", body, keep
-
-
-def _one_of(bodies: list[str]) -> str:
-    """Alternation with a common leading dot taken out, so that most positions fail at once."""
-    dotted = [b[2:] for b in bodies if b.startswith(r"\.")]
-    others = [b for b in bodies if not b.startswith(r"\.")]
-    return "|".join(([rf"\.(?:{'|'.join(dotted)})"] if dotted else []) + others)
+    name = pattern.removesuffix("/")
+    if re.fullmatch(_PLAIN, name):
+        return _literal_needles("/", name, "/") if name != pattern else _literal_needles("/", name, "/", _EDGE)
+    if pattern.startswith("*") and re.fullmatch(_PLAIN, pattern[1:]):
+        return _literal_needles("", pattern[1:], "/", _EDGE)
+    return None
 
 
-def rule_runs(rules: list[str], dialect: str, compat: str = "reference") -> list[tuple[str, bool]]:
-    """(regex, keep) for every run of neighbouring rules that decide the same way.
+def rule_runs(rules: list[str], dialect: str, compat: str = "reference") -> list[tuple[list[str], str | None, bool]]:
+    """(needles, regex, keep) for every run of neighbouring rules that decide the same way.
 
-    Within a run the order does not matter, so its rules are merged by kind into one
-    literal regex that Spark compiles once and that scans a path once, whatever the
-    number of rules. The regexes are for finding, not for matching a whole path.
+    Within a run the order does not matter, so a path matches it if it has one of the
+    needles or the regex, which Spark compiles once (None if all rules have needles).
     """
-    if dialect == "path":
-        kinds = [_path_rule_kind(rule, compat) for rule in rules]
-    else:
-        kinds = [k for k in map(_gitignore_kind, rules) if k is not None]
+    compiled = []
+    for rule in rules:
+        body = path_rule_regex(rule, compat) if dialect == "path" else gitignore_regex(rule)
+        if body is not None:
+            compiled.append((path_rule_needles(rule, compat) if dialect == "path" else gitignore_needles(rule), *body))
     runs = []
-    for keep, group in itertools.groupby(kinds, key=lambda kind: kind[2]):
-        bodies = {}
-        for kind, body, _ in group:
-            bodies.setdefault(kind, []).append(body)
-        found = [_FOUND[kind].format(_one_of(some)) for kind, some in bodies.items()]
-        runs.append(("|".join(found), keep))
+    for keep, group in itertools.groupby(compiled, key=lambda rule: rule[2]):
+        group = list(group)
+        needles = dict.fromkeys(n for found, _, _ in group for n in found or [])
+        others = [body for found, body, _ in group if found is None]
+        runs.append((list(needles), rf"(?s)\A(?:{'|'.join(others)})\z" if others else None, keep))
     return runs
 
 
@@ -292,9 +285,6 @@ def path_glob_regex_column(pattern) -> Column:
     )
 
 
-_EDGE = "\0"  # never part of a path
-
-
 def marked(path) -> Column:
     """A path in which the needles of rules are looked for: with a mark at both ends.
 

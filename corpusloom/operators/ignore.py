@@ -8,6 +8,8 @@ all its ancestors.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,16 @@ from corpusloom.operators.joins import lookup
 Layer = Sequence[str] | Column | Callable[[Column], Column]
 
 
-def _literal_action(path: Column, runs: list[tuple[str, bool]]) -> Column:
-    action = F.when(F.lit(False), F.lit(False))
-    for regex, keep in runs:
-        action = action.when(path.rlike(regex), F.lit(keep))
-    return action
+def _literal_action(path: Column, runs: list[tuple[list[str], str | None, bool]]) -> Column:
+    def action(mark: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(False))
+        for needles, regex, keep in runs:
+            found = [F.exists(F.array(*map(F.lit, needles)), lambda needle: F.contains(mark, needle))] if needles else []
+            found += [path.rlike(regex)] if regex else []
+            out = out.when(reduce(or_, found), F.lit(keep))
+        return out
+
+    return let(globs.marked(path), action)
 
 
 def _matching_runs(path: Column, runs: Column) -> Column:
