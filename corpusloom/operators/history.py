@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.diffs import snapshot_diff
 from corpusloom.operators.joins import ordered_buckets
 
 
@@ -51,9 +50,24 @@ def versions_at(contents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 def net_change(contents: DataFrame, n: int) -> DataFrame:
     """(repo, path, status) of the net change that the newest ``n`` commits made.
 
-    A file that was changed and changed back isn't in it. Takes what ``versions_at`` takes.
+    A file that was changed and changed back isn't in it. Takes what ``versions_at`` takes,
+    with one row for a path in a commit. Contents are hashed where they are read; one
+    aggregation finds both versions of a path, so that only keys and hashes are shuffled,
+    combined before.
     """
-    return snapshot_diff(*versions_at(contents, n))
+    gone = F.coalesce(F.col("is_deleted"), F.lit(False)) if "is_deleted" in contents.columns else F.lit(False)
+    state = F.struct(gone.alias("gone"), F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+    rows = contents.select("repo", "path", "commit_no", state.alias("state"))
+    old_no = F.when(F.col("commit_no") > n, F.col("commit_no"))
+    both = rows.groupBy("repo", "path").agg(
+        F.min_by("state", old_no).alias("old"), F.min_by("state", "commit_no").alias("new"))
+    old, new = ~F.coalesce(F.col("old.gone"), F.lit(True)), ~F.col("new.gone")
+    before, after = F.col("old.hash"), F.col("new.hash")
+    status = (
+        F.when(~old & new, F.lit("added")).when(old & ~new, F.lit("deleted"))
+        .when(old & (before.isNull() != after.isNull()), F.lit("unreadable"))
+        .when(old & ~before.eqNullSafe(after), F.lit("modified")))
+    return both.select("repo", "path", status.alias("status")).where(F.col("status").isNotNull())
 
 
 def changelog(commits: DataFrame, buckets: int | None = None) -> DataFrame:

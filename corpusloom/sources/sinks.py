@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.packs import ORDER
@@ -32,6 +34,40 @@ def write_pack_text(sections: DataFrame, path: str, mode: str = "errorifexists")
     )
 
 
+CURRENT = "CURRENT"
+
+
+def replace_pack_text(sections: DataFrame, path: str) -> str:
+    """Packs as text under ``path``, in place of what was there; the folder of this version.
+
+    Every run writes a folder of its own, which Spark's committer fills only with the
+    output of tasks that ended. Then a small file with its name is moved over the one of
+    the run before in one step: a reader sees the old packs or the new ones, and after a
+    failure the old ones. Old folders stay until someone removes them.
+    """
+    spark = sections.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    write_pack_text(sections, f"{path}/{version}")
+    fs = spark._jvm.org.apache.hadoop.fs
+    target, fresh = fs.Path(f"{path}/{CURRENT}"), fs.Path(f"{path}/_{version}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(fs, "Options$Rename")
+    how = spark._sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration()).rename(fresh, target, how)
+    return f"{path}/{version}"
+
+
+def read_pack_text(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, part, text) of the packs that ``replace_pack_text`` wrote last; the texts of a repository, by part, are its pack."""
+    version = spark.read.text(f"{path}/{CURRENT}").first()["value"]
+    parts = spark.read.schema("value string, repo string").text(f"{path}/{version}", wholetext=True)
+    name = F.col("_metadata.file_name")
+    return parts.select("repo", F.struct(F.length(name), name).alias("part"), F.col("value").alias("text"))
+
+
 def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Request JSON lines for an offline batch service."""
     requests.select("value").write.mode(mode).text(path)

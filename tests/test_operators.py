@@ -141,6 +141,18 @@ def test_commit_sections_are_the_prompts(spark, compat):
     assert got == want and set(got) == {"q", "r"}
 
 
+def test_referenced_prompts_resolve_to_the_whole_ones(spark):
+    from corpusloom.operators import joins, prompts
+    from workload import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["docs_prompt_refs"](spark, sf)
+    refs, parts = rows.where("owner IS NOT NULL").drop("text"), rows.where("owner IS NULL").select("part", "text")
+    got = joins.assemble(prompts.resolve_refs(refs, parts), ["owner"], ["seq", "key"]).collect()
+    want = {f"doc/{r['doc_id']}": r["prompt"] for r in QUERIES["docs_prompts"](spark, sf).collect()}
+    assert {r["owner"]: r["text"] for r in got} == want and len(want) > 5
+
+
 def test_docs_prompts_have_the_diff_of_every_repository(spark):
     from workload import QUERIES, views
 

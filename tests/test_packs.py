@@ -147,6 +147,29 @@ def test_pack_text_sink(spark, tmp_path):
     assert "".join(p.read_text() for p in parts) == joined(v1)
 
 
+def test_pack_text_is_replaced_in_one_step(spark, tmp_path):
+    first, second = ({"r": {"a": f"one {v}", "b/c": "x" * 9}, "7": {"z": "\n\n"}} for v in (1, 2))
+    path = str(tmp_path / "packs")
+
+    def read():
+        rows = sinks.read_pack_text(spark, path).collect()
+        texts = {}
+        for row in sorted(rows, key=lambda r: (r["repo"], r["part"])):
+            texts[row["repo"]] = texts.get(row["repo"], "") + row["text"]
+        return texts
+
+    for files in (first, second):
+        sections = packing.pack_v1(table(spark, files)).sections
+        sinks.replace_pack_text(sections, path)
+        assert read() == {repo: joined(sections.where(sections.repo == repo)) for repo in files}
+    before = read()
+    broken = packing.pack_v1(table(spark, first)).sections.selectExpr(
+        "repo", "section", "key", "part", "path", "CASE WHEN path = 'b/c' THEN raise_error('lost') ELSE text END AS text")
+    with pytest.raises(Exception, match="lost"):
+        sinks.replace_pack_text(broken, path)
+    assert read() == before
+
+
 def test_unreadable_content_shows_its_error(spark):
     df = spark.createDataFrame([("r", "a", None, "denied")], "repo string, path string, content string, error string")
     sections = packs.pack_v1(df, df.select("repo").limit(0), df.select("repo"), include_header=False)

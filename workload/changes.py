@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
@@ -452,6 +454,26 @@ def docs_prompts_diff(spark, sf_dir):
     )
 
 
+# The prompts of docs_prompts with every text once: rows of references, and the texts by hash.
+DOCS_PIECES = [t.replace("'", "''") for t in re.split(
+    r"\{context\}|\{target\}", P.DOCS_PROMPT.replace("{marker}", C.MARKER).replace("{goal}", P.DEFAULT_DOCS_GOAL))]
+
+
+@query("docs_prompt_refs", V.with_ctes(f"""
+SELECT 'doc/' || doc_id AS owner, CAST(seq AS INTEGER) AS seq, '' AS key, CASE seq WHEN 1 THEN 'diff/' || repo WHEN 3 THEN sha256(content)
+  ELSE sha256(fixed) END AS part, NULL AS text FROM targets, (VALUES (0, '{DOCS_PIECES[0]}'), (1, ''), (2, '{DOCS_PIECES[1]}'), (3, ''), (4, '{DOCS_PIECES[2]}')) f(seq, fixed)
+UNION ALL SELECT 'diff/' || repo, 0, path, sha256(text), NULL FROM file_texts
+UNION ALL SELECT DISTINCT NULL, CAST(NULL AS INTEGER), NULL, sha256(text), text FROM (
+  SELECT content AS text FROM targets UNION SELECT text FROM file_texts
+  UNION SELECT unnest(['{DOCS_PIECES[0]}', '{DOCS_PIECES[1]}', '{DOCS_PIECES[2]}'])) t""",
+    *DOCS_DIFF_CTES, "targets AS (SELECT doc_id, repo, content FROM langs WHERE lang = 'markdown')"))
+def docs_prompt_refs(spark, sf_dir):
+    docs = V.corpus(spark, sf_dir).where(paths.language("path") == "markdown")
+    old, new = V.snapshots(spark, sf_dir)
+    refs, parts = prompts.docs_prompt_refs(docs, commit_plan.file_diffs(old, new, diffs.snapshot_diff(old, new)))
+    return refs.unionByName(parts, allowMissingColumns=True)
+
+
 GOAL = "Convert to functional style"
 IMPORT_TEXT = f"""imports AS (
 SELECT d.doc_id, d.code, COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE starts_with({V.trim_sql('line')}, 'import ')

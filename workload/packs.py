@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions import paths, text
-from corpusloom.operators import budget, crawl, ignore, trees
+from corpusloom.operators import budget, crawl, ignore, joins, trees
 from corpusloom.operators.crawl import CrawlOptions
 from corpusloom.plans import packing
+from corpusloom.session import ensure_checkpoint_dir
+from corpusloom.sources import sinks
 from workload import files as Q
 from workload import views as V
 from workload.registry import query
@@ -113,6 +117,20 @@ def pack_v1(spark, sf_dir):
     return packing.pack_v1(V.entries(spark, sf_dir)).sections
 
 
+# The packs as texts, written and read again.
+@query("pack_text", V.with_ctes(r"""
+SELECT repo, string_agg(text, '' ORDER BY section, key) AS text FROM (
+SELECT repo, 0 AS section, '' AS key, '# Project Structure' || chr(10) || chr(10) AS text FROM repos
+UNION ALL SELECT repo, 1, key, text || chr(10) FROM tree
+UNION ALL SELECT repo, 2, '', chr(10) || chr(10) || '# File Contents' || chr(10) || chr(10) FROM repos
+UNION ALL SELECT repo, 3, replace(path, '/', chr(0)), '## ' || path || chr(10) || chr(10) || content || chr(10) || chr(10) FROM files) s
+GROUP BY repo""", *PACK_V1_CTES))
+def pack_text(spark, sf_dir):
+    folder = f"{ensure_checkpoint_dir(spark)}/packs-{uuid.uuid4().hex}"
+    sinks.replace_pack_text(packing.pack_v1(V.entries(spark, sf_dir)).sections, folder)
+    return joins.assemble(sinks.read_pack_text(spark, folder), ["repo"], ["part"])
+
+
 @query("pack_sections", V.with_ctes(
     "SELECT repo, count(*) AS files, sum(strlen('## ' || path) + strlen(content) + 4) AS bytes FROM files GROUP BY repo",
     *PACK_V1_CTES))
