@@ -21,7 +21,7 @@ from corpusloom.llm.common import arrow_schema, text_batches
 
 #: Distinct texts of each language that the classifiers are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 500
-BUCKETS, PARTS = 8192, 64
+BUCKETS, PARTS = 8192, (64, 8, 1)
 AMBIGUOUS_GAP = 0.2
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -83,11 +83,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CodeModel |
     known = known.withColumns({"draw": F.xxhash64("text", F.lit(7)), "body": F.xxhash64("text", F.lit(8))})
     texts = known.groupBy("lang", "draw", "body").agg(F.min("doc_id").alias("doc_id"))
     # A language's texts are cut to the limit in parts before they meet, so none has to go to one task.
-    least = texts.withColumn("part", F.pmod("body", F.lit(PARTS)))
-    for keys in (["lang", "part"], ["lang"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "body"))
+    least = texts
+    for parts in PARTS:
+        part = F.pmod("body", F.lit(parts))
+        place = F.row_number().over(Window.partitionBy("lang", part).orderBy("draw", "body"))
         least = least.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
-    least = least.drop("part")
     chosen = known.join(F.broadcast(least), ["lang", "draw", "body", "doc_id"]).select("text", "lang", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
