@@ -5,11 +5,16 @@ from __future__ import annotations
 import queue
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as files
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
@@ -18,6 +23,10 @@ from corpusloom.schemas import RESPONSES
 
 #: Requests whose replies are handed on together.
 CHUNK = 64
+#: File in a store of replies that ends the runs that fill it; Spark's readers skip it.
+STOP = "_STOP"
+#: Seconds between two looks for it.
+STOP_POLL = 1.0
 
 
 class Cancelled(Exception):
@@ -105,6 +114,94 @@ def generate(
     return requests.repartition(parallelism, "request_id").mapInPandas(run, RESPONSES)
 
 
+def _replies_written(store: str, prefix: str) -> set[int]:
+    """Requests that an earlier attempt of a task has answered in this run."""
+    system, root = files.FileSystem.from_uri(store)
+    found = system.get_file_info(files.FileSelector(root, allow_not_found=True))
+    names = [f.path for f in found if f.base_name.startswith(prefix)]
+    return {i for name in names for i in pq.read_table(name, ["request_id"], filesystem=system)["request_id"].to_pylist()}
+
+
+def generate_stored(
+    requests: DataFrame, call: Callable[[dict], str | None], store: str, tries: int = C.GENERATE_TRIES,
+    waits: Sequence[float] = C.GENERATE_WAITS, parallelism: int | None = None,
+    timeout: float | None = C.GENERATE_TIMEOUT, deadline: float | None = None, only_timeouts: bool = False,
+    calls: int = 1, chunk: int = CHUNK, again: bool = False,
+) -> DataFrame:
+    """``generate``, with replies kept in the folder ``store`` as they come; see there for the rest.
+
+    Runs at once and returns the replies in the store. A run asks only for what the store
+    lacks, and with ``again`` for what ended in an error there. Every task writes its
+    replies in files of up to ``chunk``, which appear in one step; an attempt that follows
+    a lost one reads what that one wrote, so a lost executor costs at most a chunk for
+    each of its tasks. ``stop`` ends the run in all tasks: calls under way come to their
+    end and are stored, and no other starts. ``store`` is a path or URI that driver and
+    executors share.
+    """
+    spark = requests.sparkSession
+    system, root = files.FileSystem.from_uri(store)
+    system.create_dir(root)
+    if system.get_file_info(f"{root}/{STOP}").type != files.FileType.NotFound:
+        system.delete_file(f"{root}/{STOP}")
+    done = stored_replies(spark, store)
+    todo = requests.join((done.where("error IS NULL") if again else done).select("request_id"), "request_id", "left_anti")
+    run_id = uuid.uuid4().hex
+    columns = [f.name for f in RESPONSES.fields]
+    schema = pa.schema([("request_id", pa.int64()), ("response", pa.string()), ("error", pa.string()), ("attempts", pa.int32())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = files.FileSystem.from_uri(store)
+        context = TaskContext.get()
+        prefix = f"run-{run_id}-{context.partitionId()}-"
+        written = _replies_written(store, prefix) if context.attemptNumber() else set()
+        seen, ended = -STOP_POLL, False
+
+        def stopped() -> bool:
+            nonlocal seen, ended
+            if not ended and time.monotonic() - seen >= STOP_POLL:
+                seen = time.monotonic()
+                ended = system.get_file_info(f"{root}/{STOP}").type != files.FileType.NotFound
+            return ended
+
+        def one(request: dict) -> tuple | None:
+            if request["request_id"] in written or stopped():
+                return None
+            return request["request_id"], *_generate(call, request, tries, waits, timeout, deadline, only_timeouts)
+
+        with ThreadPoolExecutor(calls) as pool:
+            for batch in batches:
+                for start in range(0, len(batch), chunk):
+                    got = pool.map(one, batch.iloc[start:start + chunk].to_dict("records"))
+                    rows = [row for row in got if row is not None]
+                    if rows:
+                        name = f"{prefix}{uuid.uuid4().hex}.parquet"
+                        table = pa.Table.from_pylist([dict(zip(columns, row)) for row in rows], schema)
+                        pq.write_table(table, f"{root}/_{name}", filesystem=system)
+                        system.move(f"{root}/_{name}", f"{root}/{name}")
+                    yield pd.DataFrame({"n": [len(rows)]})
+
+    parallelism = parallelism or spark.sparkContext.defaultParallelism
+    todo.repartition(parallelism, "request_id").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    return stored_replies(spark, store)
+
+
+def stop(store: str) -> None:
+    """End the runs of ``generate_stored`` on this store, from any process; the next one goes on."""
+    system, root = files.FileSystem.from_uri(store)
+    system.open_output_stream(f"{root}/{STOP}").close()
+
+
+def stored_replies(spark: SparkSession, store: str) -> DataFrame:
+    """(request_id, response, error, attempts) of a store, one row per request.
+
+    A request may have two where a task ran twice at a time, or was asked again after an
+    error: a reply goes before an error, else the first by file name.
+    """
+    replies = spark.read.schema(RESPONSES).parquet(store).withColumn("file", F.col("_metadata.file_name"))
+    best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "file", "response", "error", "attempts")).alias("best")
+    return replies.groupBy("request_id").agg(best).select("request_id", "best.response", "best.error", "best.attempts")
+
+
 def map_files(
     files: DataFrame, callback: Callable[[str, str, str, str], str | None], schema: str = "result string"
 ) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +29,8 @@ def taken_files(files: DataFrame, budget: int, parts: int) -> DataFrame:
     remains per repository is bounded by parts x budget, however large it is.
     """
     live = files.where(F.col("state") == "live").select(
-        "repo", "path",
-        F.octet_length(header()).cast("long").alias("header_bytes"),
-        F.col("size").cast("long").alias("size"),
-    ).withColumn("cost", F.col("header_bytes") + F.col("size"))
+        "repo", "path", (F.octet_length(header()) + F.col("size")).cast("long").alias("cost")
+    )
     near = (
         live.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)))
         .withColumn("used", _used_before(Window.partitionBy("repo", "part").orderBy("path")))
@@ -46,6 +43,8 @@ def taken_files(files: DataFrame, budget: int, parts: int) -> DataFrame:
         near.withColumn("used_before", _used_before(Window.partitionBy("repo").orderBy("path")))
         .where(F.col("used_before") <= budget)
         .withColumn("over", F.col("used_before") + F.col("cost") > budget)
+        .withColumn("header_bytes", F.octet_length(header()).cast("long"))
+        .withColumn("size", F.col("cost") - F.col("header_bytes"))
     )
 
 
@@ -94,16 +93,18 @@ def budgeted_context(
     """Ordered context rows (repo, path, action, used_before, content_bytes, text).
 
     ``entries`` has repo, path, state and text content (optionally ``size`` and
-    ``error``). The files taken are persisted: they are few, and deciding on them is the
-    expensive part. Contents behind the end of their repository are then filtered out in
-    the scan, before anything with content is shuffled.
+    ``error``). Contents behind the end of their repository are filtered out in the scan,
+    before anything with content is shuffled. Nothing is cached: the decision on what is
+    taken moves the same three columns for each of its uses, so Spark shuffles them once.
     """
     size = F.col("size") if "size" in entries.columns else n_bytes("content")
     error = F.col("error") if "error" in entries.columns else F.lit("")
     files = entries.select("repo", "path", "state", size.alias("size"))
-    taken = taken_files(files, budget, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    taken = taken_files(files, budget, parts)
     plan = _plan(files, taken, budget)
-    contents = lookup(_ends(taken), ["repo"], ["path"])(
+    # One end a repository, so its longest path bounds what the ends can take.
+    longest = files.groupBy("repo").agg(F.max_by("path", F.octet_length("path")).alias("end"))
+    contents = lookup(_ends(taken), ["repo"], ["path"], bound=longest)(
         entries.select("repo", "path", "content", error.alias("error"))
     ).where(F.col("end").isNull() | (F.col("path") <= F.col("end"))).drop("end")
     path = F.col("path")

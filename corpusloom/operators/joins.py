@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.session import ensure_checkpoint_dir
 
 _SALT = "__salt"
+_PARTS = "__parts"
+#: Pieces of a hot key for each share of all rows that it has.
+PIECES = 4
 #: The largest value that Spark can hold, about.
 MAX_TEXT_BYTES = 2_000_000_000
 
@@ -34,19 +37,53 @@ def spread_join(
     return salted.join(repeated, [*keys, _SALT], how).drop(_SALT)
 
 
+def balanced_join(
+    many: DataFrame, one: DataFrame, keys: list[str], spread_on: list[str],
+    how: str = "left", parts: int | None = None, sized_by: DataFrame | None = None,
+) -> DataFrame:
+    """Join ``many`` to ``one`` (at most one row per key), splitting only keys that are hot.
+
+    Keys are counted first, with partial counts before the shuffle. One that has more than
+    the ``parts``-th share of all rows is split into pieces of a quarter of such a share by
+    a hash of ``spread_on``, and its row of ``one`` is repeated for each piece. Pieces fall
+    to partitions by hash too; whole shares would now and then meet in one. There are fewer
+    than ``parts`` such keys, whatever the size of the data, so their list is broadcast,
+    and ``one`` grows by less than ``5 * parts`` rows. Rows with a null key match nothing
+    and are spread as well. ``sized_by`` has the keys of ``many`` where that is costly to
+    compute twice; ``how`` is inner, left, left_semi or left_anti.
+    """
+    n = parts or int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = (many if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("__n"))
+    share = counts.agg((F.sum("__n") / n).alias("share")).scalar()
+    hot = F.broadcast(
+        counts.where(F.col("__n") > share).select(*keys, F.ceil(PIECES * F.col("__n") / share).cast("int").alias(_PARTS))
+    )
+    no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    pieces = F.when(no_key, F.lit(n)).otherwise(F.coalesce(_PARTS, F.lit(1)))
+    salted = many.join(hot, keys, "left").withColumn(
+        _SALT, F.pmod(F.xxhash64(*spread_on), pieces).cast("int")
+    ).drop(_PARTS)
+    repeated = one.join(hot, keys, "left").withColumn(
+        _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1))
+    ).drop(_PARTS)
+    return salted.join(repeated, [*keys, _SALT], how).drop(_SALT)
+
+
 def lookup(
     one: DataFrame, keys: list[str], spread_on: list[str], how: str = "left",
-    max_broadcast_bytes: int = 256 * 1024 * 1024,
+    max_broadcast_bytes: int = 256 * 1024 * 1024, bound: DataFrame | None = None,
 ) -> Callable[[DataFrame], DataFrame]:
     """A function that joins wide rows to a lookup table, without moving them if possible.
 
     For rows with file contents a shuffle is the cost to avoid, and adaptive execution
     would only find out after having written it. The lookup table is measured once (one
     aggregated number comes back) and broadcast only within the bound; beyond it the
-    spread shuffle join takes over.
+    spread shuffle join takes over. ``bound`` is measured in its place, where a table that
+    is surely no smaller costs less to compute.
     """
-    size = F.sum(F.octet_length(F.to_json(F.struct(*one.columns))))
-    measured = one.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+    sized = one if bound is None else bound
+    size = F.sum(F.octet_length(F.to_json(F.struct(*sized.columns))))
+    measured = sized.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
     if measured <= max_broadcast_bytes:
         return lambda many: many.join(F.broadcast(one), keys, how)
     return lambda many: spread_join(many, one, keys, spread_on, how)

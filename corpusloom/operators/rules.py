@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import globs, paths
 from corpusloom.operators.crawl import directories
-from corpusloom.operators.joins import spread_join
+from corpusloom.operators.joins import balanced_join, spread_join
 
 RULE_FIELDS = ["id", "description", "prompt", "language", "applies_to"]
 
@@ -162,7 +162,8 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     """Every file with ``config``: the config file in its directory or the closest above.
 
     ``configs`` are the (repo, path) of config files. The search runs once per
-    directory; files then look their directory up.
+    directory; files then look their directory up. Both joins split a directory that has a
+    large share of all directories below it, or of all files in it.
     """
     found = configs.select("repo", paths.dir_name("path").alias("folder"), F.col("path").alias("config"))
     tree = directories(files).select(
@@ -177,11 +178,9 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
         F.posexplode(F.concat(F.array(F.lit(".")), F.col("chain"))).alias("level", "folder"),
     )
     nearest = (
-        spread_join(levels, found, ["repo", "folder"], ["dir"], "inner")
+        balanced_join(levels, found, ["repo", "folder"], ["dir"], "inner")
         .groupBy("repo", "dir")
         .agg(F.max_by("config", "level").alias("config"))
     )
-    # One directory may hold a large share of all files: adaptive execution splits it.
-    return files.withColumn("dir", paths.dir_name("path")).join(
-        nearest, ["repo", "dir"], "left"
-    ).drop("dir")
+    placed = files.withColumn("dir", paths.dir_name("path"))
+    return balanced_join(placed, nearest, ["repo", "dir"], ["path"]).drop("dir")

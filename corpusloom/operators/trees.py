@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
 from corpusloom.operators import crawl, ignore
+from corpusloom.operators.joins import balanced_join
 
 
 def _root_rows(entries: DataFrame, suffix: str = "", target: str = "") -> DataFrame:
@@ -69,9 +70,7 @@ def file_tree_v2(nodes: DataFrame, repos: DataFrame) -> DataFrame:
     get a root line. A node is shown only if all directories above it are. The last child of every
     directory is one partial aggregation. Branch prefixes are built for directories
     only and then joined to the children. One directory may hold a large share of all
-    files or directories; there are too many directories to repeat them for every part of
-    a spread join, so these joins are left for adaptive execution to split, which it can,
-    since what follows them shuffles anew or not at all.
+    files or directories, directly or further below: both joins split such a directory.
     """
     nodes = nodes.select(
         "repo", "path", "is_dir",
@@ -86,19 +85,22 @@ def file_tree_v2(nodes: DataFrame, repos: DataFrame) -> DataFrame:
     )
     folders = marked.where("is_dir").select("repo", "path", "is_last")
     bar = F.when(F.col("is_last"), F.lit("    ")).otherwise(F.lit("│   "))
-    chains = folders.select(
+    # From the nodes, since the chains need no marks.
+    chains = nodes.where("is_dir").select(
         "repo", F.col("path").alias("parent"),
         F.posexplode(F.array_append(paths.ancestors("path"), F.col("path"))).alias("pos", "path"),
     )
     prefixes = (
-        chains.join(folders.select("repo", "path", bar.alias("bar")), ["repo", "path"])
+        balanced_join(
+            chains, folders.select("repo", "path", bar.alias("bar")), ["repo", "path"], ["parent"], "inner"
+        )
         .groupBy("repo", "parent")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "bar"))).alias("bars"))
         .where(F.size("bars") == F.size(paths.parts("parent")))
         .select("repo", "parent", F.array_join("bars.bar", "").alias("prefix"))
     )
     branch = F.when(F.col("is_last"), F.lit("└── ")).otherwise(F.lit("├── "))
-    rows = marked.join(prefixes, ["repo", "parent"], "left").where(
+    rows = balanced_join(marked, prefixes, ["repo", "parent"], ["path"], sized_by=nodes).where(
         (F.col("parent") == ".") | F.col("prefix").isNotNull()
     ).select(
         "repo", "key",

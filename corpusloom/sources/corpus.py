@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -23,47 +24,79 @@ def corpus_scan(entries: DataFrame) -> DataFrame:
     return entries.withColumn("walk_key", paths.walk_key("path"))
 
 
+#: Directory levels that are dealt to tasks anew; what lies deeper is walked where it is met.
+LISTED_LEVELS = 6
+#: Rows of a listing, and bytes of contents, that are handed on together.
+BATCH_ROWS = 10_000
+BATCH_BYTES = 16 * 1024 * 1024
+_LISTING = "repo string, root string, path string, is_dir boolean, error string, open boolean"
+_LISTING_NAMES = ["repo", "root", "path", "is_dir", "error", "open"]
+
+
+def _scan(root: str, below: str) -> Iterator[tuple[str, bool, str | None, bool]]:
+    """(path, is_dir, error, open) of what one directory holds; of itself where it can't be read."""
+    try:
+        with os.scandir(os.path.join(root, below)) as found:
+            for entry in found:
+                is_dir = entry.is_dir(follow_symlinks=False)
+                yield (f"{below}/{entry.name}" if below else entry.name), is_dir, None, is_dir
+    except OSError as failure:
+        yield below, True, str(failure), False
+
+
+def _listed(rows: Iterator[tuple], whole: bool) -> Iterator[tuple]:
+    """Listing rows, those of open directories followed by what they hold: one level, or all of it."""
+    for repo, root, path, is_dir, error, is_open in rows:
+        if not is_open:
+            yield repo, root, path, is_dir, error, False
+            continue
+        if path:  # the root itself is no entry
+            waiting = [(path, True, None, True)]
+        else:
+            waiting = list(_scan(root, path))
+            if not whole:
+                yield from ((repo, root, *found) for found in waiting)
+                continue
+        while waiting:
+            below, is_dir, error, is_open = waiting.pop()
+            held = _scan(root, below) if is_open else iter(())
+            first = next(held, None)
+            if first and first[2]:  # it could not be read
+                yield repo, root, *first
+                continue
+            yield repo, root, below, is_dir, error, False
+            for found in itertools.chain([first] if first else [], held):
+                if found[3] and whole:
+                    waiting.append(found)
+                else:
+                    yield repo, root, *found
+
+
+def _in_batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while batch := list(itertools.islice(rows, BATCH_ROWS)):
+        yield pd.DataFrame(batch, columns=columns)
+
+
 def read_directories(roots: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Entries of directory trees, with ``error`` for what could not be read.
 
-    ``roots`` has repo and root, a directory that every executor can see. The trees are
-    listed level by level by Spark tasks and file bytes are read in Arrow batches; dot
-    files, empty files and ``_`` names are kept, which Spark's own binary file source
-    would drop. A tree may be one repository: its top level is spread over tasks.
+    ``roots`` has repo and root, a directory that every executor can see. Directories are
+    listed level by level, and those found are dealt to the tasks anew at each of the first
+    ``LISTED_LEVELS``, so that one folder that holds everything does not keep one task busy.
+    File bytes are read where their row was dealt to, in Arrow batches of bounded bytes.
+    Dot files, empty files and ``_`` names are kept, which Spark's own binary file source
+    would drop. A directory that can't be read is a row with its error, at any level.
     """
 
-    def list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for repo, root, below in batch.itertuples(index=False, name=None):
-                rows = []
-                try:
-                    with os.scandir(os.path.join(root, below)) as found:
-                        for entry in found:
-                            name = f"{below}/{entry.name}" if below else entry.name
-                            rows.append((repo, root, name, entry.is_dir(follow_symlinks=False), None))
-                except OSError as failure:
-                    rows.append((repo, root, below, True, str(failure)))
-                yield pd.DataFrame(rows, columns=["repo", "root", "path", "is_dir", "error"])
-
-    def list_tree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for repo, root, top, is_dir, error in batch.itertuples(index=False, name=None):
-                rows = [(repo, root, top, is_dir, error)]
-                if is_dir and not error:
-                    base = os.path.join(root, top)
-                    failed = []
-                    for folder, folders, files in os.walk(base, onerror=failed.append, followlinks=False):
-                        inside = os.path.relpath(folder, root).replace(os.sep, "/")
-                        rows += [(repo, root, f"{inside}/{d}", True, None) for d in folders]
-                        rows += [(repo, root, f"{inside}/{f}", False, None) for f in files]
-                        rows += [(repo, root, os.path.relpath(e.filename, root).replace(os.sep, "/"), True, str(e)) for e in failed]
-                        failed.clear()
-                        if len(rows) > 10_000:
-                            yield pd.DataFrame(rows, columns=["repo", "root", "path", "is_dir", "error"])
-                            rows = []
-                yield pd.DataFrame(rows, columns=["repo", "root", "path", "is_dir", "error"])
+    def listing(whole: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+            yield from _in_batches(_listed(rows, whole), _LISTING_NAMES)
+
+        return run
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, rows, held = ["repo", "path", "is_dir", "content", "error"], [], 0
         for batch in batches:
             for repo, root, path, is_dir, error in batch.itertuples(index=False, name=None):
                 content = None
@@ -73,16 +106,22 @@ def read_directories(roots: DataFrame, parallelism: int | None = None) -> DataFr
                             content = source.read()
                     except OSError as failure:
                         error = str(failure)
-                yield pd.DataFrame(
-                    [(repo, path, is_dir, content, error)],
-                    columns=["repo", "path", "is_dir", "content", "error"],
-                )
+                rows.append((repo, path, is_dir, content, error))
+                held += len(content or b"")
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     n = parallelism or roots.sparkSession.sparkContext.defaultParallelism
-    listing = "repo string, root string, path string, is_dir boolean, error string"
-    top = roots.select("repo", "root", F.lit("").alias("below")).mapInPandas(list_level, listing)
-    everything = top.repartition(n, "repo", "path").mapInPandas(list_tree, listing)
-    return everything.repartition(n, "repo", "path").mapInPandas(
+    found = roots.select(
+        "repo", "root", F.lit("").alias("path"), F.lit(True).alias("is_dir"),
+        F.lit(None).cast("string").alias("error"), F.lit(True).alias("open"),
+    )
+    for level in range(LISTED_LEVELS + 1):
+        found = found.mapInPandas(listing(level == LISTED_LEVELS), _LISTING).repartition(n, "repo", "path")
+    return found.select("repo", "root", "path", "is_dir", "error").mapInPandas(
         read, "repo string, path string, is_dir boolean, content binary, error string"
     )
 

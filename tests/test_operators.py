@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
-from corpusloom.operators import batch, crawl, diffs, history, outcomes, prompts, rules
+from corpusloom.operators import batch, crawl, diffs, history, joins, outcomes, prompts, rules, trees
 from corpusloom.plans import commits, replies
 from corpusloom.sources import corpus, ignore_files, sinks, standards
 
@@ -291,6 +291,114 @@ def test_generate_ends_hanging_calls(spark):
     assert time.monotonic() - start < 50
 
 
+def _stored_requests(spark, n):
+    return prompts.chat_requests(spark.range(n).select(F.col("id").alias("request_id"), F.lit("p").alias("prompt")))
+
+
+def _calls(folder):
+    """How often each request was asked."""
+    return {int(name): os.path.getsize(os.path.join(folder, name)) for name in os.listdir(folder)}
+
+
+def test_generate_stored_stops_and_goes_on(spark, tmp_path):
+    asked, store = str(tmp_path / "asked"), str(tmp_path / "store")
+    os.mkdir(asked)
+    requests = _stored_requests(spark, 60)
+
+    def call(request):
+        with open(os.path.join(asked, str(request["request_id"])), "a") as f:
+            f.write("x")
+        if len(os.listdir(asked)) >= 10:
+            batch.stop(store)
+        time.sleep(0.15)
+        return f"ok {request['request_id']}"
+
+    first = {r["request_id"] for r in batch.generate_stored(requests, call, store, parallelism=3, chunk=4).collect()}
+    assert 10 <= len(first) < 60
+    assert first == set(_calls(asked))  # every call that began was stored
+
+    def plain(request):
+        with open(os.path.join(asked, str(request["request_id"])), "a") as f:
+            f.write("x")
+        return f"ok {request['request_id']}"
+
+    rows = batch.generate_stored(requests, plain, store, parallelism=3).collect()
+    assert {r["request_id"]: r["response"] for r in rows} == {i: f"ok {i}" for i in range(60)}
+    assert set(_calls(asked).values()) == {1}  # none was asked twice
+    assert len(batch.generate_stored(requests, plain, store).collect()) == 60
+    assert set(_calls(asked).values()) == {1}
+
+
+def test_generate_stored_errors_again(spark, tmp_path):
+    store = str(tmp_path / "store")
+    requests = _stored_requests(spark, 4)
+    empty = batch.generate_stored(requests.where("false"), lambda request: "ok", store)
+    assert empty.count() == 0
+    once = batch.generate_stored(requests, lambda request: "ok" if request["request_id"] else None, store)
+    assert {r["request_id"]: r["error"] for r in once.collect()} == {0: "no choices", 1: None, 2: None, 3: None}
+    kept = batch.generate_stored(requests, lambda request: "new", store).collect()
+    assert {r["request_id"]: r["response"] for r in kept} == {0: None, 1: "ok", 2: "ok", 3: "ok"}
+    again = batch.generate_stored(requests, lambda request: "new", store, again=True).collect()
+    assert {r["request_id"]: (r["response"], r["error"]) for r in again} == {
+        0: ("new", None), 1: ("ok", None), 2: ("ok", None), 3: ("ok", None)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_balanced_join_is_a_join(spark, how):
+    many = spark.range(2000).select(
+        F.when(F.col("id") % 10 < 6, F.lit("hot")).when(F.col("id") % 10 == 6, F.lit(None)).when(F.col("id") % 10 == 7, F.lit("warm"))
+        .otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"), F.col("id").alias("row"),
+    )
+    one = spark.createDataFrame([("hot", 1), ("k5", 2), (None, 3), ("none", 4), ("warm", 5)], "k string, v int")
+    got = joins.balanced_join(many, one, ["k"], ["row"], how, parts=5)
+    expected = many.join(one, ["k"], how)
+    assert got.columns == expected.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+    assert joins.balanced_join(many.where("false"), one, ["k"], ["row"], how).count() == 0
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """Joins as they are on tables too large to broadcast, with partitions left as they fall."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_balanced_join_splits_a_hot_key(spark, shuffled_joins):
+    many = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("row"))
+    one = spark.range(40_000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    assert _largest_share(many.join(one, ["k"])) > 0.9
+    assert _largest_share(joins.balanced_join(many, one, ["k"], ["row"])) < 0.25
+
+
+def test_nearest_config_and_tree_with_a_hot_folder(spark, shuffled_joins):
+    where = F.when(F.col("id") % 10 < 9, F.concat(F.lit("src/d"), (F.col("id") % 500).cast("string"))).otherwise(F.lit("lib"))
+    files = spark.range(5000).select(
+        F.lit("r").alias("repo"), F.concat(where, F.lit("/f"), F.col("id").cast("string")).alias("path"))
+    configs = spark.createDataFrame([("r", "src/tsconfig.json"), ("r", "src/d7/tsconfig.json")], "repo string, path string")
+    got = rules.nearest_config(files, configs)
+    assert {(r["folder"], r["config"]) for r in got.select(F.substring_index("path", "/f", 1).alias("folder"), "config").distinct().collect()} == (
+        {("lib", None), ("src/d7", "src/d7/tsconfig.json")}
+        | {(f"src/d{i}", "src/tsconfig.json") for i in range(500) if i % 10 < 9 and i != 7})
+    flat = spark.range(20_000).select(
+        F.lit("r").alias("repo"), F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"))
+    assert _largest_share(rules.nearest_config(flat, configs)) < 0.25
+    nodes = crawl.directories(files).withColumn("is_dir", F.lit(True)).unionByName(files.withColumn("is_dir", F.lit(False)))
+    rows = {r["key"]: r["text"] for r in trees.file_tree_v2(nodes, files).collect()}
+    assert len(rows) == 5000 + 452 + 1
+    assert rows[max(rows)].startswith("    ") and sum("└── " in text for text in rows.values()) == 1 + 450 + 1 + 1
+
+
 def test_net_change_by_commits(spark):
     rows = [
         ("r", 5, "a", "1", False), ("r", 1, "a", "2", False),  # changed
@@ -417,6 +525,39 @@ def test_read_directories_keeps_everything(spark, folder):
     assert all(r["error"] for r in rows if r["repo"] == "gone")
 
 
+def test_read_directories_deals_one_deep_folder(spark, tmp_path):
+    expected, folders = {}, set()
+    for i in range(40):
+        below = "/".join(["all", "in", "here", f"d{i}", *(f"e{k}" for k in range(i % 7))])
+        os.makedirs(tmp_path / below)
+        folders |= {"/".join(below.split("/")[:k + 1]) for k in range(below.count("/") + 1)}
+        for name in ("x", ".y"):
+            (tmp_path / below / name).write_bytes(b"%d" % i)
+            expected[f"{below}/{name}"] = b"%d" % i
+    roots = spark.createDataFrame([("r", str(tmp_path))], "repo string, root string")
+    found = corpus.read_directories(roots, 4).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["path"]: bytes(r["content"]) for r in found if not r["is_dir"]} == expected
+    assert len(found) == len(expected) + len(folders) and {r["path"] for r in found if r["is_dir"]} == folders
+    assert len({r["task"] for r in found}) == 4
+
+
+def test_read_directories_reports_what_it_cannot_read(spark, folder, monkeypatch, tmp_path):
+    paths = ["a", "a/b", "a/b/c"]
+    rows = list(corpus._listed(iter([("r", str(tmp_path), "none", True, None, True)]), True))
+    assert len(rows) == 1 and rows[0][2] == "none" and rows[0][4] and not rows[0][5]
+    os.makedirs(tmp_path / paths[-1])
+    real = os.scandir
+
+    def scandir(path):
+        if str(path).endswith("a/b"):
+            raise PermissionError("closed")
+        return real(path)
+
+    monkeypatch.setattr(corpus.os, "scandir", scandir)
+    rows = list(corpus._listed(iter([("r", str(tmp_path), "a", True, None, True)]), True))
+    assert [(r[2], r[4]) for r in rows] == [("a", None), ("a/b", "closed")]
+
+
 def test_read_binary_files(spark, folder):
     rows = {r["path"] for r in corpus.read_binary_files(spark, folder, "r").collect()}
     assert rows == {"a/b/c.txt", "z"}  # what Spark's own source leaves

@@ -218,6 +218,24 @@ def test_budget_hand_case(spark):
     assert rows["c"]["text"] == "\n--- File: c ---\n" + "é" * 18 + "\n... (file truncated)\n"
 
 
+def test_budgeted_context_caches_nothing(spark):
+    rows = [("hot", f"p{i:04d}", "live", "x" * (i % 50)) for i in range(900)] + [(f"r{i}", "p", "live", "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "repo string, path string, state string, content string")
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    got = budget.budgeted_context(df, 5000)
+    assert "InMemory" not in got._jdf.queryExecution().executedPlan().toString()
+    taken, used = {}, 0
+    for _, path, _, content in rows[:900]:
+        cost = len(f"\n--- File: {path} ---\n") + len(content)
+        if used + cost > 5000:
+            break
+        taken[path] = used
+        used += cost
+    full = {r["path"]: r["used_before"] for r in got.where("repo = 'hot' AND action = 'full'").collect()}
+    assert full == taken
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
 @pytest.mark.parametrize("parts", [1, 7, 64])
 def test_budget_against_brute_force_with_a_hot_repository(spark, parts):
     dice = random.Random(parts)

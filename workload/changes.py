@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from corpusloom.functions import paths, text
 from corpusloom.operators import batch, diffs, edits, history, outcomes, prompts, rules
 from corpusloom.plans import commits as commit_plan
 from corpusloom.plans import replies as reply_plan
+from corpusloom.session import ensure_checkpoint_dir
 from corpusloom.sources.standards import parse_standards
 from workload import files as Q
 from workload import views as V
@@ -557,6 +559,21 @@ def batch_generate(spark, sf_dir):
     return batch.generate(_requests(spark, sf_dir), local_reply, waits=(), only_timeouts=True)
 
 
+# The same, kept in a store: the first half of the requests, then all of them, which asks only for the rest.
+@query("batch_generate_stored", V.with_ctes(f"""
+SELECT request_id, CASE WHEN request_id % 7 NOT IN (3, 4, 5) THEN {MODEL_SQL} || ': ' || prompt END AS response,
+  CASE request_id % 7 WHEN 3 THEN 'failed after 3 attempts: TimeoutError: busy' WHEN 4 THEN 'failed after 1 attempts: ValueError: bad request'
+    WHEN 5 THEN 'no choices' END AS error,
+  CASE WHEN request_id % 7 = 3 THEN 3 ELSE 1 END AS attempts FROM turns""", TURNS))
+def batch_generate_stored(spark, sf_dir):
+    store = f"{ensure_checkpoint_dir(spark)}/replies-{uuid.uuid4().hex}"
+    requests = _requests(spark, sf_dir)
+    middle = requests.agg(F.avg("request_id").alias("middle")).scalar()
+    for some in (requests.where(F.col("request_id") < middle), requests):
+        replies = batch.generate_stored(some, local_reply, store, waits=(), only_timeouts=True)
+    return replies
+
+
 def describe(repo: str, path: str, lang: str, content: str) -> str:
     return f"{repo}/{path}:{lang}:{len(content)}"
 
