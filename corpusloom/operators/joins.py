@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.session import ensure_checkpoint_dir
 
@@ -13,6 +15,8 @@ _SALT = "__salt"
 _PARTS = "__parts"
 #: Pieces of a hot key for each share of all rows that it has.
 PIECES = 4
+#: A key with fewer rows keeps no task busy, whatever its share, and stays whole.
+HOT_ROWS = 100_000
 #: The largest value that Spark can hold, about.
 MAX_TEXT_BYTES = 2_000_000_000
 
@@ -43,25 +47,31 @@ def balanced_join(
 ) -> DataFrame:
     """Join ``many`` to ``one`` (at most one row per key), splitting only keys that are hot.
 
-    Keys are counted first, with partial counts before the shuffle. One that has more than
-    the ``parts``-th share of all rows is split into pieces of a quarter of such a share by
-    a hash of ``spread_on``, and its row of ``one`` is repeated for each piece. Pieces fall
-    to partitions by hash too; whole shares would now and then meet in one. There are fewer
-    than ``parts`` such keys, whatever the size of the data, so their list is broadcast,
-    and ``one`` grows by less than ``5 * parts`` rows. Rows with a null key match nothing
-    and are spread as well. ``sized_by`` has the keys of ``many`` where that is costly to
-    compute twice; ``how`` is inner, left, left_semi or left_anti.
+    Keys are counted at once, in one job with partial counts before its shuffle. One that
+    has more than the ``parts``-th share of all rows, and ``HOT_ROWS``, is split into pieces of a quarter of
+    such a share by a hash of ``spread_on``, and its row of ``one`` is repeated for each
+    piece. Pieces fall to partitions by hash too; whole shares would now and then meet in
+    one. There are fewer than ``parts`` such keys, whatever the size of the data, so they
+    come to the driver and are broadcast, and ``one`` grows by less than ``5 * parts``
+    rows. Without such a key this is a plain join. Rows with a null key match nothing and
+    are spread as well, if they are many. ``sized_by`` has the keys of ``many`` where that
+    is costly to compute twice; ``how`` is inner, left, left_semi or left_anti.
     """
-    n = parts or int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = many.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = (many if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("__n"))
-    share = counts.agg((F.sum("__n") / n).alias("share")).scalar()
-    hot = F.broadcast(
-        counts.where(F.col("__n") > share).select(*keys, F.ceil(PIECES * F.col("__n") / share).cast("int").alias(_PARTS))
-    )
+    seen = Observation()
+    most = counts.observe(seen, F.sum("__n").alias("total")).orderBy(F.desc("__n")).limit(n).collect()
+    share = (seen.get["total"] or 0) / n
+    pieces = [(*row[:-1], math.ceil(PIECES * row["__n"] / share)) for row in most if row["__n"] > max(share, HOT_ROWS)]
+    if not pieces:
+        return many.join(one, keys, how)
+    schema = T.StructType([*counts.select(*keys).schema.fields, T.StructField(_PARTS, T.IntegerType())])
+    hot = F.broadcast(spark.createDataFrame(pieces, schema))
     no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    pieces = F.when(no_key, F.lit(n)).otherwise(F.coalesce(_PARTS, F.lit(1)))
+    spread = F.when(no_key, F.lit(PIECES * n)).otherwise(F.coalesce(_PARTS, F.lit(1)))
     salted = many.join(hot, keys, "left").withColumn(
-        _SALT, F.pmod(F.xxhash64(*spread_on), pieces).cast("int")
+        _SALT, F.pmod(F.xxhash64(*spread_on), spread).cast("int")
     ).drop(_PARTS)
     repeated = one.join(hot, keys, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1))

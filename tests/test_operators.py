@@ -344,7 +344,8 @@ def test_generate_stored_errors_again(spark, tmp_path):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_balanced_join_is_a_join(spark, how):
+def test_balanced_join_is_a_join(spark, how, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 0)
     many = spark.range(2000).select(
         F.when(F.col("id") % 10 < 6, F.lit("hot")).when(F.col("id") % 10 == 6, F.lit(None)).when(F.col("id") % 10 == 7, F.lit("warm"))
         .otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"), F.col("id").alias("row"),
@@ -358,8 +359,9 @@ def test_balanced_join_is_a_join(spark, how):
 
 
 @pytest.fixture
-def shuffled_joins(spark):
+def shuffled_joins(spark, monkeypatch):
     """Joins as they are on tables too large to broadcast, with partitions left as they fall."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 1000)
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
