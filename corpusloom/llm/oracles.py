@@ -37,9 +37,13 @@ FROM f"""
 
 
 def op10_license_scan() -> str:
-    from corpusloom.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, template_words
+    from math import ceil
 
-    values = ", ".join(f"('{label}', {words!r})" for label, words in template_words(TEMPLATES).items())
+    from corpusloom.llm.licenses import CONTAINMENT, PHRASES, STRETCH, TEMPLATES, _text_words, template_words
+
+    values = ", ".join(
+        f"('{label}', {words!r}, {STRETCH * len(_text_words(TEMPLATES[label]))}, {ceil(CONTAINMENT * len(words) - 1e-9)})"
+        for label, words in template_words(TEMPLATES).items())
     place = {
         label: f"list_filter(generate_series(1, len(ws) - {phrase.count(' ')}), lambda i: "
         + " AND ".join(f"ws[i + {k}] = '{part}'" for k, part in enumerate(phrase.split())) + ")"
@@ -48,19 +52,22 @@ def op10_license_scan() -> str:
     every = "list_concat(" * 2 + "mit, apache), gpl)"
     base = ", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in sorted(place))
     return rf"""
-WITH t(label, tokens) AS (VALUES {values}), d AS (
+WITH t(label, tokens, span, need) AS (VALUES {values}), d AS (
   SELECT row_number() OVER () AS r, doc_id,
-    regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, coalesce(text, '') AS text
+    regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
   FROM documents
 ), p AS (
   SELECT r, doc_id, len(ws) AS n, {", ".join(f"{sql} AS {label}" for label, sql in place.items())} FROM d
 ), b AS (
-  SELECT r, regexp_extract_all(lower(line), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS bs
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) x
+  SELECT r, label, span, need, tokens, ws FROM d, t WHERE len(list_intersect(tokens, ws)) >= need
+), w AS (
+  SELECT r, label, span, need, len(tokens) AS size, i, ws[i] AS word
+  FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM b) x WHERE list_contains(tokens, ws[i])
 ), s AS (
-  SELECT r, label, len(list_intersect(tokens, bs)) / len(tokens) AS share FROM b, t
+  SELECT a.r, a.label, a.i, any_value(a.need) AS need, count(DISTINCT z.word) / any_value(a.size) AS share, count(DISTINCT z.word) AS got
+  FROM w a JOIN w z ON a.r = z.r AND a.label = z.label AND z.i >= a.i AND z.i < a.i + a.span GROUP BY a.r, a.label, a.i
 ), h AS (
-  SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM s WHERE share >= {CONTAINMENT} - 1e-9 GROUP BY r
+  SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM s WHERE got >= need GROUP BY r
 ), f AS (
   SELECT *, {every} AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM p LEFT JOIN h USING (r)
 )

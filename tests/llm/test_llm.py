@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
@@ -385,6 +386,28 @@ def test_blocks_against_plain_search(spark):
     assert got == want and len(want) > 50
 
 
+def test_notices_against_sql(spark, tmp_path):
+    notice = licenses.TEMPLATES["mit-full"].split()
+    draw = random.Random(3)
+    wrapped = "".join(w + ("\n" if k % 9 == 8 else " ") for k, w in enumerate(notice))
+    changed = " ".join(w if k % 25 else "other" for k, w in enumerate(notice))
+    half = " ".join(notice[:80])
+    spread = " ".join(x for w in notice for x in (w, "and", "then"))
+    texts = [wrapped, changed, half, spread, "MIT Key APACHE LICENSE İ mit\nlicense", None, "", "All\n\nrights -- reserved",
+             licenses.TEMPLATES["isc"].upper(), licenses.TEMPLATES["zlib"] + " " + wrapped]
+    vocabulary = sorted({w for ws in licenses.template_words(licenses.TEMPLATES).values() for w in ws})
+    texts += [" ".join(draw.choices(vocabulary, k=draw.randint(1, 400))) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    got = [tuple(r) for r in licenses.scan_licenses(spark.read.parquet(str(tmp_path / "documents"))).orderBy("doc_id").collect()]
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        want = con.sql(ORACLES["op10_license_scan"]).order("doc_id").fetchall()
+    assert got == want
+    labels = {r[0]: r[6] for r in got}
+    assert {k: labels[k] for k in (2, 3, 4, 7, 8)} == {2: "mit-notice", 3: "", 4: "apache,mit", 7: "all-rights-reserved", 8: "isc"}
+    assert labels[0] == "mit-full,mit-notice" and "mit-full" in labels[1] and labels[9] == "mit-full,mit-notice,zlib"
+
+
 def test_short_letter_only_and_long_tokens_are_scored():
     text = "pwd=Xk29fLq81Zt0Ab key qwertzuiopasdfgh end. " + "x" * 60 + "Q7x9Kd82Lm40Zp31Vb65Rt"
     assert secrets.candidates(text, []) == [(0, 18), (23, 39), (45, len(text))]
