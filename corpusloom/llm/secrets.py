@@ -1,9 +1,13 @@
 """Secret scans: patterns, and a small character convolutional network for what they miss.
 
 Every token as long as the shortest finding is a candidate. The network sees the token
-with its surroundings, a long one in overlapping windows; it is fitted on findings of the
-patterns (labelled 1) and on other candidates (labelled 0), its output is calibrated on
-findings held back, and the threshold keeps a stated share of those.
+with its surroundings, a long one in overlapping windows. It is fitted on the values of
+findings (labelled 1) and on other candidates (labelled 0). A candidate never has what the
+patterns look for, so the key word and the fixed prefix of a finding are cut out, and its
+value also appears in other alphabets, behind other names and in other surroundings, as
+ordinary words do in the forms that identifiers, paths and dates have. The output is
+calibrated on tokens held back, and the threshold keeps a stated share of those; what is
+found of a kind that was not learned is measured by ``unseen_kinds``.
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]"
 BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
 #: Labelled tokens of each label, and windows of each of them, that the network learns from, at most.
-SAMPLE_FINDINGS, LEARNED_WINDOWS = 1500, 8
+SAMPLE_FINDINGS, LEARNED_WINDOWS = 1500, 3
+#: Forms in which each labelled token is learned.
+FORMS = 4
 RECALL = 0.98
 FILTERS, REACH, EMBEDDING = 16, 5, 8
 MASK = "[SECRET]"
@@ -78,11 +84,18 @@ def windows_of(text: str, start: int, end: int, most: int | None = None) -> list
 
 
 def window(text: str, start: int, end: int) -> bytes:
-    """A token with its surroundings, of fixed width; other characters than ASCII are 0x7f."""
-    before = text[max(0, start - BEFORE):start].rjust(BEFORE)
-    inside = text[start:min(end, start + INSIDE)].ljust(INSIDE)
-    after = text[end:end + AFTER].ljust(AFTER)
-    return (before + inside + after).translate(_PLAIN).encode("ascii", "replace")
+    """A token with its surroundings, of fixed width; other characters than ASCII are 0x7f.
+
+    Surroundings have the high bit set, so that the network can tell them from the token.
+    """
+    before, inside, after = _parts(text, start, end)
+    return before.translate(_OUTSIDE) + inside[:INSIDE].ljust(INSIDE) + after.translate(_OUTSIDE)
+
+
+def _parts(text: str, start: int, end: int) -> tuple[bytes, bytes, bytes]:
+    """What stands before a token, the token, and what stands after it, in the network's characters."""
+    around = text[max(0, start - BEFORE):start].rjust(BEFORE), text[start:end], text[end:end + AFTER].ljust(AFTER)
+    return tuple(part.translate(_PLAIN).encode("ascii", "replace") for part in around)
 
 
 class _Plain(dict):
@@ -91,11 +104,12 @@ class _Plain(dict):
 
 
 _PLAIN = _Plain()
+_OUTSIDE = bytes(c | 128 for c in range(256))
 
 
 @dataclass
 class SecretNet:
-    embedding: np.ndarray  # characters x EMBEDDING
+    embedding: np.ndarray  # characters, inside and outside, x EMBEDDING
     kernel: np.ndarray  # REACH * EMBEDDING x FILTERS
     offset: np.ndarray  # FILTERS
     out: np.ndarray  # FILTERS
@@ -127,10 +141,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(windows: list[bytes], labels: np.ndarray, epochs: int = 30, batch: int = 100, rate: float = 0.01) -> SecretNet:
+def train(windows: list[bytes], labels: np.ndarray, epochs: int = 15, batch: int = 100, rate: float = 0.01) -> SecretNet:
     """A network by Adam on the log loss; the same rows give the same network."""
     draw = np.random.default_rng(7)
-    net = SecretNet(draw.normal(0, 0.3, (128, EMBEDDING)), draw.normal(0, 0.2, (REACH * EMBEDDING, FILTERS)),
+    net = SecretNet(draw.normal(0, 0.3, (256, EMBEDDING)), draw.normal(0, 0.2, (REACH * EMBEDDING, FILTERS)),
                     np.zeros(FILTERS), draw.normal(0, 0.3, FILTERS))
     codes, names = _codes(windows), ("embedding", "kernel", "offset", "out")
     state = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in names}
@@ -211,50 +225,144 @@ class _Least(dict):
             self.bound = least[-1][1]
 
 
-def fit(docs: DataFrame, findings: int = SAMPLE_FINDINGS) -> SecretNet | None:
-    """A network of the labelled tokens of all rows; None without a token of either label.
+def _finding_parts(text: str, span: tuple[int, int, str]) -> tuple[bytes, bytes, bytes]:
+    """A finding without what its pattern looks for: before, value, after."""
+    start, end, kind = span
+    value = ASSIGN.match(text, start).start(2) if kind == "assign" else start + 4 if kind == "access" else start
+    before, _, _ = _parts(text, start, start)
+    _, inside, after = _parts(text, value, end)
+    return before, inside, after
+
 
-    Every row is searched; of each label the ``findings`` tokens with the least hash of
-    their windows are used. Without a finding there is nothing to learn from, and without
-    another token nothing to score.
+def _sample(docs: DataFrame, findings: int) -> dict[str, list[tuple[bytes, bytes, bytes]]]:
+    """Distinct labelled tokens of all rows by kind (``net``: other candidates), those with the least hashes.
+
+    At most ``findings`` other candidates, and a third as many of each kind of pattern.
     """
     texts = docs.select(F.col("text").cast("string")).where("text IS NOT NULL")
+    most = [max(1, findings // 3)] * 3 + [findings]
+    longest = LEARNED_WINDOWS * INSIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = (_Least(findings), _Least(findings))
+        least = [_Least(n) for n in most]
+
+        def add(kind: int, parts: tuple[bytes, bytes, bytes]) -> None:
+            before, inside, after = parts
+            least[kind].add(before + after + inside[:longest])
+
         for batch in text_batches(batches):
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
-                for start, end, touched in _tokens(text, base):
-                    # The last characters of a finding are its value, whatever the pattern.
-                    if touched and not any(e - ASSIGN_VALUE < end and start < e for _, e, _ in base):
-                        continue
-                    least[touched].add(b"".join(windows_of(text, start, end, LEARNED_WINDOWS)))
-        for label, own in enumerate(least):
+                for span in base:
+                    add(KINDS.index(span[2]), _finding_parts(text, span))
+                for start, end in candidates(text, base):
+                    add(3, _parts(text, start, end))
+        for kind, own in enumerate(least):
             own.cut()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label] * len(own), pa.int64()), pa.array(list(own), pa.binary()),
+                [pa.array([kind] * len(own), pa.int64()), pa.array(list(own), pa.binary()),
                  pa.array([rank - (1 << 63) for rank in own.values()], pa.int64())],
-                schema=arrow_schema("label long, windows binary, rank long"))
-
-    found = written(texts.mapInArrow(run, "label long, windows binary, rank long"), "secret-tokens")
-    picked = []
-    for label in (0, 1):
-        own = found.where(F.col("label") == label).select("rank", "windows").distinct()
-        picked.append([bytes(r["windows"]) for r in own.orderBy("rank", "windows").limit(findings).collect()])
-    if not min(map(len, picked)):
+                schema=arrow_schema("kind long, token binary, rank long"))
+
+    found = written(texts.mapInArrow(run, "kind long, token binary, rank long"), "secret-tokens")
+    picked = {}
+    for kind, n in enumerate(most):
+        own = found.where(F.col("kind") == kind).select("rank", "token").distinct()
+        tokens = [bytes(r["token"]) for r in own.orderBy("rank", "token").limit(n).collect()]
+        picked[KINDS[kind]] = [(t[:BEFORE], t[BEFORE + AFTER:], t[BEFORE:BEFORE + AFTER]) for t in tokens]
+    return picked
+
+
+_ALPHABETS = (
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"abcdefghijklmnopqrstuvwxyz0123456789", b"0123456789ABCDEF",
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+)
+
+
+def _secret_form(parts, k: int, names: list[bytes], draw: np.random.Generator):
+    """The k-th form of a value: as it is, then in other alphabets and lengths, behind names, in other surroundings."""
+    before, inside, after = parts
+    if k == 0:
+        return parts
+    if k > 1:
+        letters = np.frombuffer(_ALPHABETS[draw.integers(len(_ALPHABETS))], np.uint8)
+        codes = np.frombuffer(inside, np.uint8).astype(int)
+        # The place counts as well, so that 16 characters become those of the whole alphabet.
+        inside = letters[(codes * 7 + draw.integers(0, 1 << 16, len(codes))) % len(letters)].tobytes()
+        inside = inside[:int(draw.integers(min(ASSIGN_VALUE, len(inside)), len(inside) + 1))]
+    name = names[draw.integers(len(names))].lower()[:int(draw.integers(2, 9))]
+    lead = (b"", b"", name + b"=", name + b"_", name + b"-", name[:3] + b"_" + name[3:] + b"=")[draw.integers(6)]
+    around = (before, b" " * BEFORE, name + b": ", name + b' = "')[draw.integers(4)]
+    return around.rjust(BEFORE)[-BEFORE:], lead + inside, after
+
+
+def _ordinary_form(parts, k: int, names: list[bytes], draw: np.random.Generator):
+    """The k-th form of an ordinary token: as it is, then joined with others as identifiers, paths, names and dates are."""
+    before, inside, after = parts
+    if k == 0:
+        return parts
+    one, two, three = (names[i].lower() for i in draw.integers(len(names), size=3))
+    year, part = b"%d" % draw.integers(1950, 2050), b"%d" % draw.integers(100)
+    inside = (
+        one + b"_" + two, one + b"-" + two + b"-" + three, one + b"/" + two + b"." + three[:4], one.title() + two.title(),
+        one + two.title() + part, one.upper() + b"_" + two.upper(), one + b"=" + two, year + b"-" + part + b"-" + one,
+        one + b"_" + part, b"/".join((one, year, part, two)), inside.upper(), inside.title(), one + b"-" + year,
+    )[draw.integers(13)]
+    around = (before, b" " * BEFORE, one + b": ", two + b' = "')[draw.integers(4)]
+    return around.rjust(BEFORE)[-BEFORE:], inside, after
+
+
+def _cut_up(parts) -> bytes:
+    """The windows of a token, one after the other."""
+    text = b"".join(parts).decode("latin-1")
+    return b"".join(windows_of(text, len(parts[0]), len(parts[0]) + len(parts[1]), LEARNED_WINDOWS))
+
+
+def _learn(picked: dict[str, list], recall: float = RECALL) -> SecretNet | None:
+    secret = [p for kind in KINDS[:3] for p in picked[kind]]
+    if not secret or not picked["net"]:
         return None
-    tokens = picked[0] + picked[1]
-    labels = np.repeat([0.0, 1.0], [len(picked[0]), len(picked[1])])
-    place = np.concatenate([np.arange(len(own)) for own in picked])
-    held = place % 10 < 3  # some of each label; a single token is learned from and held back
-    learned = ~held | (np.array([len(p) for p in picked])[labels.astype(int)] == 1)
-    counts = np.array([len(t) // WIDTH for t in tokens])
+    draw = np.random.default_rng(11)
+    names = [p[1].strip(b"_-=+/.") or b"name" for p in picked["net"]]
+    tokens, labels, held, learned = [], [], [], []
+    for label, own, form in ((0.0, picked["net"], _ordinary_form), (1.0, secret, _secret_form)):
+        for i, parts in enumerate(own):
+            for k in range(FORMS):
+                tokens.append(_cut_up(form(parts, k, names, draw)))
+                labels.append(label)
+                held.append(i % 10 < 3)  # some of each label; a single token is learned from and held back
+                learned.append(not held[-1] or len(own) == 1)
+    labels, counts = np.array(labels), np.array([len(t) // WIDTH for t in tokens])
     net = train(_apart([t for t, x in zip(tokens, learned) if x]), np.repeat(labels[learned], counts[learned]))
-    calibrate(net, [t for t, h in zip(tokens, held) if h], labels[held])
+    calibrate(net, [t for t, h in zip(tokens, held) if h], labels[held], recall)
     return net
 
 
+def fit(docs: DataFrame, findings: int = SAMPLE_FINDINGS) -> SecretNet | None:
+    """A network of the labelled tokens of all rows; None without a token of either label.
+
+    Every row is searched; of each label at most ``findings`` tokens with the least hash
+    are used. Without a finding there is nothing to learn from, and without another token
+    nothing to score.
+    """
+    return _learn(_sample(docs, findings))
+
+
+def unseen_kinds(docs: DataFrame, findings: int = SAMPLE_FINDINGS) -> dict[str, tuple[int, float, float]]:
+    """For each kind of pattern with findings: their number, the share that a network of the other
+    kinds finds, and the share of other candidates that it takes for secrets."""
+    picked, out = _sample(docs, findings), {}
+    for kind in KINDS[:3]:
+        net = _learn({**picked, kind: []})
+        if picked[kind] and net is not None:
+            found, taken = (
+                float((_largest(net.probability(_apart(cut)), [len(t) // WIDTH for t in cut]) >= net.threshold).mean())
+                for cut in ([_cut_up(p) for p in picked[k]] for k in (kind, "net")))
+            out[kind] = (len(picked[kind]), found, taken)
+    return out
+
+
 def spans_of(texts: list[str], net: SecretNet | None) -> list[list[tuple[int, int, str]]]:
     """All spans of each text: those of the patterns, and candidates the network takes."""
     spans = [base_spans(t) for t in texts]
