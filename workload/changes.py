@@ -195,6 +195,48 @@ def apply_edits(spark, sf_dir):
     return reply_plan.with_proposals(V.replies(spark, sf_dir)).select("doc_id", F.col("proposal").alias("new_text"))
 
 
+# Several edits in one reply, as the format promises: blocks of lines, indented ones, none tried on what another made.
+def _edge_newlines_sql(field: str) -> str:
+    return f"trim({field}, chr(10))"
+
+
+LONG_CTES = (V.CORPUS, V.LONG_REPLIES)
+
+
+@query("parse_edits_intended", V.with_ctes(f"""
+SELECT doc_id, 0 AS edit_no, 'REPLACE' AS type, {_edge_newlines_sql('head')} AS original, replacement,
+  NULL AS context_line, NULL AS insertion, NULL AS content FROM long_replies
+UNION ALL SELECT doc_id, 1, 'INSERT_AFTER', NULL, NULL, last, insertion, NULL FROM long_replies
+UNION ALL SELECT doc_id, 2, 'INSERT_AFTER', NULL, NULL, chained, 'never', NULL FROM long_replies
+UNION ALL SELECT doc_id, 3, 'DELETE', NULL, NULL, NULL, NULL, middle FROM long_replies""", *LONG_CTES))
+def parse_edits_intended(spark, sf_dir):
+    return V.long_replies(spark, sf_dir).select(
+        "doc_id", F.posexplode(edits.parse_edits("response", compat="intended")).alias("edit_no", "edit")
+    ).select("doc_id", "edit_no", "edit.*")
+
+
+# One step for each place that no earlier edit took: which edit applies there, and where the next place is.
+STEPS = f"""blocks AS (
+SELECT doc_id, ls, replacement, insertion, last, middle, string_split({_edge_newlines_sql('head')}, chr(10)) AS head FROM long_replies),
+steps AS (
+SELECT doc_id, 0 AS pos, 1 AS next, '' AS made, FALSE AS kept FROM blocks
+UNION ALL
+SELECT doc_id, pos, pos + CASE hit WHEN 'r' THEN len(head) ELSE 1 END,
+  CASE hit WHEN 'r' THEN replacement WHEN 'i' THEN ls[pos] || chr(10) || insertion ELSE ls[pos] END, hit <> 'd'
+FROM (
+  SELECT b.*, s.next AS pos, CASE WHEN head <> [''] AND ls[s.next:s.next + len(head) - 1] = head THEN 'r'
+    WHEN last <> '' AND ls[s.next] = last THEN 'i' WHEN middle <> '' AND ls[s.next] = middle THEN 'd' ELSE 'n' END AS hit
+  FROM steps s JOIN blocks b ON b.doc_id = s.doc_id WHERE s.next <= len(b.ls)) t)"""
+
+
+@query("apply_edits_multi", "WITH RECURSIVE " + ",\n".join((*LONG_CTES, STEPS)) + """
+SELECT doc_id, coalesce(string_agg(made, chr(10) ORDER BY pos) FILTER (WHERE kept), '') AS new_text FROM steps GROUP BY doc_id""")
+def apply_edits_multi(spark, sf_dir):
+    found = edits.parse_edits("response", compat="intended")
+    return V.long_replies(spark, sf_dir).withColumn("edits", found).select(
+        "doc_id", edits.apply_edits("content", "edits", compat="intended").alias("new_text"))
+
+
 @query("outcome_status", V.with_ctes(f"""
 SELECT doc_id, {V.trim_sql('response')} = 'NO_UPDATE_NEEDED' AS no_update,
   {V.trim_sql('response')} NOT IN ('', 'NO_UPDATE_NEEDED') AS needs_update,

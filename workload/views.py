@@ -192,28 +192,69 @@ SELECT repo, doc_id, path, content, f, CASE doc_id % 6
 FROM (SELECT *, split_part(content, chr(10), 1) AS f, chr(10) AS nl FROM corpus) c)"""
 
 
+def edit_block(kind: str, *fields: tuple[str, Column]) -> Column:
+    pieces = [F.lit(f"--- EDIT {kind} START ---\n")]
+    for name, value in fields:
+        pieces += [F.lit(f"<<< {name} >>>\n"), value, F.lit("\n")]
+    return F.concat(*pieces, F.lit(f"--- EDIT {kind} END ---"))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, doc_id, path, content, response)."""
     f, doc_id = F.substring_index("content", "\n", 1), F.col("doc_id").cast("string")
 
-    def block(kind: str, *fields) -> Column:
-        pieces = [F.lit(f"--- EDIT {kind} START ---\n")]
-        for name, value in fields:
-            pieces += [F.lit(f"<<< {name} >>>\n"), value, F.lit("\n")]
-        return F.concat(*pieces, F.lit(f"--- EDIT {kind} END ---"))
-
     kind = F.col("doc_id") % 6
     response = (
         F.when(kind == 0, F.lit(" NO_UPDATE_NEEDED "))
         .when(kind == 1, F.concat(F.lit("```markdown\n"), F.col("content"), F.lit("\n```")))
-        .when(kind == 2, block("REPLACE", ("ORIGINAL", f), ("REPLACEMENT", F.concat(F.lit("replaced "), doc_id))))
-        .when(kind == 3, block("INSERT_AFTER", ("CONTEXT_LINE", f), ("INSERTION", F.concat(F.lit("inserted "), doc_id))))
-        .when(kind == 4, block("DELETE", ("CONTENT", f)))
+        .when(kind == 2, edit_block("REPLACE", ("ORIGINAL", f), ("REPLACEMENT", F.concat(F.lit("replaced "), doc_id))))
+        .when(kind == 3, edit_block("INSERT_AFTER", ("CONTEXT_LINE", f), ("INSERTION", F.concat(F.lit("inserted "), doc_id))))
+        .when(kind == 4, edit_block("DELETE", ("CONTENT", f)))
         .otherwise(F.col("content"))
     )
     return corpus(spark, sf_dir).withColumn("response", response)
 
 
+# --- long replies: four edits of each document, blocks of several lines, out of order ------
+
+LONG_REPLIES = """long_replies AS (
+SELECT doc_id, ls, array_to_string(ls, chr(10)) AS content, ls[1] || nl || ls[2] AS head, ls[len(ls)] AS last, ls[len(ls) // 2 + 1] AS middle,
+  'chained ' || doc_id AS chained, 'chained ' || doc_id || nl || '  indented ' || doc_id AS replacement,
+  'inserted ' || doc_id || nl || 'and more' AS insertion
+FROM (SELECT doc_id, chr(10) AS nl, list_concat(
+    list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN i % 2 = 0 THEN '  ' || x ELSE x END),
+    [string_split(content, chr(10))[1]]) AS ls
+  FROM corpus WHERE content IS NOT NULL) c)"""
+
+
+def long_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content, response): every second line is indented, and the first comes again as the last.
+
+    The reply deletes the middle line, inserts behind the last line and behind one that only
+    a replacement makes, and replaces the first two lines together.
+    """
+    own, doc_id = F.split("content", "\n", -1), F.col("doc_id").cast("string")
+    indented = F.transform(own, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("  "), x)).otherwise(x))
+    ls = F.col("ls")
+    chained = F.concat(F.lit("chained "), doc_id)
+    response = F.concat_ws(
+        "\n",
+        F.lit("These edits bring the file up to date."),
+        edit_block("DELETE", ("CONTENT", F.get(ls, F.floor(F.size(ls) / 2).cast("int")))),
+        edit_block("INSERT_AFTER", ("CONTEXT_LINE", F.element_at(ls, -1)),
+                   ("INSERTION", F.concat(F.lit("inserted "), doc_id, F.lit("\nand more")))),
+        F.lit("The first lines:"),
+        edit_block("INSERT_AFTER", ("CONTEXT_LINE", chained), ("INSERTION", F.lit("never"))),
+        edit_block("REPLACE", ("ORIGINAL", F.concat_ws("\n", F.get(ls, F.lit(0)), F.get(ls, F.lit(1)))),
+                   ("REPLACEMENT", F.concat(chained, F.lit("\n  indented "), doc_id))),
+    )
+    return (
+        corpus(spark, sf_dir).where("content IS NOT NULL")
+        .select("doc_id", F.array_append(indented, F.get(own, F.lit(0))).alias("ls"))
+        .select("doc_id", F.array_join("ls", "\n").alias("content"), response.alias("response"))
+    )
+
+
 # --- commits: the event log as a history -------------------------------------------------
 
 COMMITS = """commits AS (
