@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 
-def op4_quality_rules() -> str:
-    from corpusloom.llm.quality_rules import CURRENT, RULES, mask
+def _ledger() -> str:
+    from corpusloom.llm.quality_rules import BULLET, ELLIPSIS, LETTER, RULES, STOP_WORDS
 
     failed = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(RULES))
     return rf"""
@@ -26,16 +26,37 @@ WITH d AS (
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(len(list_filter(ws, lambda x: list_contains({list(STOP_WORDS)!r}, x))) AS BIGINT) AS n_stop_words,
+    CAST(len(list_filter(ws, lambda x: regexp_matches(x, '{LETTER}'))) AS BIGINT) AS n_letter_words,
+    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '{BULLET}'))) AS BIGINT) AS n_bullet_lines,
+    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '{ELLIPSIS}'))) AS BIGINT) AS n_ellipsis_lines,
+    CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct_words,
     CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered USING (r)
 ), f AS (
   SELECT *, CAST({failed} AS BIGINT) AS failed, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m
-)
+)"""
+
+
+def op4_quality_rules() -> str:
+    from corpusloom.llm.quality_rules import CURRENT, mask
+
+    return f"""{_ledger()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND (failed & {mask(CURRENT)}) = 0) AS kept, failed
+  (NOT base_failed AND (failed & {mask(CURRENT)}) = 0) AS kept, failed, '{CURRENT}' AS policy
 FROM f"""
 
 
+def quality_ablations() -> str:
+    from corpusloom.llm.quality_rules import POLICIES, bit, mask
+
+    rules = ", ".join(f"('{v}', '{r}', {bit(r)}, {mask(v)})" for v, own in POLICIES.items() for r in own)
+    return f"""{_ledger()}
+SELECT policy, rule, count(*) FILTER ((failed & b) <> 0) AS n_failed, count(*) FILTER ((failed & m) = b) AS n_only,
+  count(*) FILTER ((failed & m & ~b) = 0) AS n_kept_without
+FROM f, (VALUES {rules}) r(policy, rule, b, m) GROUP BY policy, rule"""
+
+
 def op10_license_scan() -> str:
     from math import ceil
 

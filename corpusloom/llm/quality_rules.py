@@ -20,12 +20,36 @@ RULES: list[tuple[str, str]] = [
     ("symbols", "100 * n_symbols > 25 * word_chars"),
     ("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
     ("long_words", "word_chars > 40 * n_words"),
+    ("under_50_words", "n_words < 50"),
+    ("over_100000_words", "n_words > 100000"),
+    ("short_mean_word", "word_chars < 3 * n_words"),
+    ("long_mean_word", "word_chars > 10 * n_words"),
+    ("words_without_letters", "10 * n_letter_words < 8 * n_words"),
+    ("few_stop_words", "n_stop_words < 2"),
+    ("bullet_lines", "10 * n_bullet_lines > 9 * n_lines"),
+    ("ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_lines"),
+    ("some_symbols", "10 * n_symbols > word_chars"),
+    ("some_repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("few_distinct_words", "n_words >= 100 AND 10 * n_distinct_words < n_words"),
 ]
+#: The usual English stop words, and the starts of bullet lines and ends of cut ones (of whole lines).
+STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
+BULLET = "^[\\x20\\x09]*[-*\u2022]"
+ELLIPSIS = "(\\.\\.\\.|\u2026)[\\x20\\x09\\x0D]*\\z"
+LETTER = "\\p{L}"
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_letter_words", "n_bullet_lines",
+    "n_ellipsis_lines", "n_distinct_words", "n_repeat_words",
+)
 BASE = ("few_words", "repeated_words")
 #: Rules of each version of the policy.
 POLICIES: dict[str, tuple[str, ...]] = {
     "1": BASE,
     "2": (*BASE, "symbols", "repeated_lines", "long_words"),
+    # For English prose; the stop words reject other languages.
+    "3": (
+        *BASE, "under_50_words", "over_100000_words", "short_mean_word", "long_mean_word", "words_without_letters",
+        "few_stop_words", "bullet_lines", "ellipsis_lines", "some_symbols", "some_repeated_lines", "few_distinct_words"),
 }
 CURRENT = "2"
 
@@ -39,7 +63,7 @@ def mask(version: str) -> int:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+    """``docs`` with the columns of ``MEASURES``. Words, lines and windows are told apart by 64-bit hashes or whole."""
     keep = [F.col(f"d.{c}") for c in docs.columns]
     whole = F.coalesce(F.col(f"d.{text}").cast("string"), F.lit(""))
     # All measures travel in one struct, so that no column of the input can clash.
@@ -55,9 +79,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size(F.split(m("text"), SYMBOLS)) - 1).cast("long").alias("n_symbols"),
         F.size(m("lines")).cast("long").alias("n_lines"),
         (F.size(m("lines")) - F.size(F.array_distinct(m("lines")))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter(m("words"), lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(m("words"), lambda w: w.rlike(LETTER))).cast("long").alias("n_letter_words"),
+        F.size(F.filter(m("lines"), lambda line: line.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter(m("lines"), lambda line: line.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.array_distinct(m("words"))).cast("long").alias("n_distinct_words"),
         F.transform(m("words"), lambda w: F.xxhash64(w)).alias("hashes"),
     ).alias("__m"))
-    kept = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
+    kept = [name for name in MEASURES if name != "n_repeat_words"]
     starts = F.sequence(F.lit(0), F.size(m("hashes")) - WINDOW)
     windows = F.when(
         F.size(m("hashes")) > WINDOW,
@@ -89,9 +118,6 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-
-
 def failed_bits() -> Column:
     """The bits of all rules, from the columns of ``measured``."""
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)]

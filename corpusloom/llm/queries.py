@@ -57,10 +57,20 @@ def op9_language_id(spark, sf_dir):
 
 @query
 def op4_quality_rules(spark, sf_dir):
-    from corpusloom.llm.quality_rules import judged
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.quality_rules import CURRENT, judged
 
     return judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed",
+        F.lit(CURRENT).alias("policy"))
+
+
+@query
+def quality_ablations(spark, sf_dir):
+    from corpusloom.llm.quality_rules import ablations, ledger
+
+    return ablations(ledger(table(spark, sf_dir, "documents")))
 
 
 @query

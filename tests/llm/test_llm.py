@@ -324,7 +324,35 @@ def test_ablations_add_up(spark):
         assert r["n_kept_without"] == sum(b & mask & ~one == 0 for b in bits)
 
 
-@pytest.mark.parametrize("name", ["op4_quality_rules", "op10_license_scan"])
+def test_rules_by_hand(spark, tmp_path):
+    prose = "the cat and the dog have to be seen with that of others today " * 5
+    distinct = " ".join(f"the{i} or word{i}" for i in range(40))
+    texts = [
+        (prose, None),
+        ("- a\n* b\n \u2022 c", {"few_words", "under_50_words", "short_mean_word", "words_without_letters", "few_stop_words",
+                                "bullet_lines", "some_symbols"}),
+        (distinct, {"few_stop_words"}), ("1 2 3 " * 20 + "...", None),
+        ("und so weiter...\nmehr \u2026 \nende", None), (None, {"few_words", "under_50_words", "few_stop_words"}),
+    ]
+    names = [name for name, _ in quality_rules.RULES]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    got = {r["doc_id"]: {n for k, n in enumerate(names) if r["failed"] >> k & 1}
+           for r in quality_rules.ledger(spark.read.parquet(str(tmp_path / "documents"))).collect()}
+    assert got[2] == {"few_stop_words"} and "repeated_words" in got[0] and got[5] == texts[5][1]
+    assert got[1] == texts[1][1]
+    assert {"words_without_letters", "repeated_words"} <= got[3] and "ellipsis_lines" in got[4]
+    for name in ("op4_quality_rules", "quality_ablations"):
+        df = quality_rules.judged if name == "op4_quality_rules" else (lambda d: quality_rules.ablations(quality_rules.ledger(d)))
+        out = df(spark.read.parquet(str(tmp_path / "documents")))
+        with duckdb.connect() as con:
+            con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+            result = con.execute(ORACLES[name])
+            columns = [c[0] for c in result.description if c[0] != "policy" or name != "op4_quality_rules"]
+            want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+        assert rows_of(columns, out.select(*columns).collect()) == rows_of(columns, want)
+
+
+@pytest.mark.parametrize("name", ["op4_quality_rules", "quality_ablations", "op10_license_scan"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
