@@ -346,8 +346,7 @@ def test_rules_by_hand(spark, tmp_path):
         out = df(spark.read.parquet(str(tmp_path / "documents")))
         with duckdb.connect() as con:
             con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
-            result = con.execute(ORACLES[name])
-            columns = [c[0] for c in result.description if c[0] != "policy" or name != "op4_quality_rules"]
+            columns = [c for c in con.sql(ORACLES[name]).columns if c != "policy" or name != "op4_quality_rules"]
             want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
         assert rows_of(columns, out.select(*columns).collect()) == rows_of(columns, want)
 
