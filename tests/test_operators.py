@@ -383,6 +383,31 @@ def test_balanced_join_splits_a_hot_key(spark, shuffled_joins):
     assert _largest_share(joins.balanced_join(many, one, ["k"], ["row"])) < 0.25
 
 
+def test_attach_diff_splits_a_repository_with_few_documents(spark, shuffled_joins):
+    docs = spark.range(600).select(
+        F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id") % 7)).alias("repo"),
+        F.concat(F.lit("d"), F.col("id").cast("string")).alias("path"))
+    diffs_of = docs.select("repo").distinct().select("repo", F.concat(F.lit("diff of "), F.col("repo")).alias("diff"))
+    got = prompts.attach_diff(docs, diffs_of)
+    assert _largest_share(got) < 0.25
+    rows = [tuple(r) for r in got.select("repo", "path", "diff").collect()]
+    assert len(rows) == len(set(rows)) == 600 and all(d == f"diff of {r}" for r, _, d in rows)
+
+
+@pytest.mark.parametrize("name", ["docs_prompts"])
+def test_writers_look_at_wide_prompts_before_a_hundred_rows(spark, tmp_path, name):
+    import pyarrow.parquet as pq
+
+    from workload import QUERIES
+
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    wide = spark.range(40).repartition(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.sha2(F.concat(F.col("id"), i), 256)), "").alias("text"))
+    wide.write.option("parquet.block.size", 1 << 20).parquet(str(tmp_path / "wide"))
+    part, = (tmp_path / "wide").glob("*.parquet")
+    assert pq.ParquetFile(part).num_row_groups > 1
+    spark.conf.unset("parquet.page.size.row.check.min")
+
+
 def test_nearest_config_and_tree_with_a_hot_folder(spark, shuffled_joins):
     where = F.when(F.col("id") % 10 < 9, F.concat(F.lit("src/d"), (F.col("id") % 500).cast("string"))).otherwise(F.lit("lib"))
     files = spark.range(5000).select(
