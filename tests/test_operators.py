@@ -394,7 +394,7 @@ def test_attach_diff_splits_a_repository_with_few_documents(spark, shuffled_join
     assert len(rows) == len(set(rows)) == 600 and all(d == f"diff of {r}" for r, _, d in rows)
 
 
-@pytest.mark.parametrize("name", ["docs_prompts"])
+@pytest.mark.parametrize("name", ["docs_prompts", "docs_prompts_diff"])
 def test_writers_look_at_wide_prompts_before_a_hundred_rows(spark, tmp_path, name):
     import pyarrow.parquet as pq
 
