@@ -534,6 +534,19 @@ def test_copies_of_one_text_are_dealt_apart(spark):
     assert len({r["key"] for r in sure}) == 50
 
 
+def test_only_the_first_of_equal_texts_is_searched(spark, monkeypatch):
+    short, plain, seen = "only a few words", substring_dedup._anchor_rows, []
+    monkeypatch.setattr(substring_dedup, "_anchor_rows", lambda d: (seen.append(sorted(r["doc_id"] for r in d.collect())), plain(d))[1])
+    rows = [(i, PASSAGE) for i in range(3, 40)] + [(3, PASSAGE), (50, "x " + PASSAGE + " y"), (1, "p0 p1 end"), (60, short), (61, short), (None, PASSAGE)]
+    got = {}
+    for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"], r["kept"]))
+    assert seen == [[1, 3, 3, 50, 60]]
+    assert got[3] == [(60, 0, PASSAGE)] * 2 and got[None] == [(60, 0, PASSAGE)]
+    assert all(got[i] == [(60, 60, "")] for i in range(4, 40)) and got[50] == [(62, 60, "x y")]
+    assert got[60] == got[61] == [(4, 0, short)] and got[1] == [(3, 0, "p0 p1 end")]
+
+
 def test_samples_are_bounded_whatever_is_repeated(spark, monkeypatch):
     draw = random.Random(13)
     texts = [" ".join(draw.choices("abcdefghij", k=12)) for _ in range(60)]
