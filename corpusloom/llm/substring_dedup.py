@@ -329,10 +329,9 @@ def _least_by_window(distinct: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, marks): windows of documents that start in one with a smaller doc_id.
+    """(doc_id, body, starts, stops): ranges of words in windows that start in a document with a smaller doc_id.
 
-    ``docs`` has doc_id, body (a hash of the text) and text; a mark is the first window of
-    an anchor and the bits of its windows from there on.
+    ``docs`` has doc_id, body (a hash of the text) and text; ranges are apart and in order.
     """
     spark = docs.sparkSession
     rows = _anchor_rows(docs)
@@ -364,15 +363,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     least = dealt.groupBy("shard").applyInArrow(search, "one long, other long, least array<long>")
     if apart is not None:
         least = least.unionByName(apart)
-    bits = F.aggregate(
-        F.transform("least", lambda low, i: F.when(low < F.col("doc_id"), F.expr("1L").cast("long") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"), lambda done, b: done + b)
-    marked = (
-        stretches.select("one", "other", "doc_id", "body", "first")
-        .join(least, ["one", "other"]).select("doc_id", "body", F.struct("first", bits.alias("bits")).alias("mark"))
-        .where("mark.bits > 0")
+    # The windows of an anchor overlap all others of it, so those to remove are one range.
+    smaller = F.transform("least", lambda low: low < F.col("doc_id"))
+    start = F.col("first") + F.array_position(smaller, F.lit(True)) - 1
+    stop = F.col("first") + F.size(smaller) - F.array_position(F.reverse(smaller), F.lit(True)) + WINDOW
+    ranges = (
+        stretches.select("one", "other", "doc_id", "body", "first").join(least, ["one", "other"])
+        .where(F.exists("least", lambda low: low < F.col("doc_id")))
+        .select("doc_id", "body", F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop")).alias("range"))
+        .groupBy("doc_id", "body").agg(F.sort_array(F.collect_set("range")).alias("all"))
     )
-    marks = written(marked.groupBy("doc_id", "body").agg(F.sort_array(F.collect_set("mark")).alias("marks")), "marks")
+    # Both ends are in order: what touches the range before it is joined to it.
+    begins = F.filter("all", lambda r, i: F.coalesce(r["start"] > F.get(F.col("all"), i - 1)["stop"], F.lit(True)))
+    ends = F.filter("all", lambda r, i: F.coalesce(F.get(F.col("all"), i + 1)["start"] > r["stop"], F.lit(True)))
+    marks = written(ranges.select(
+        "doc_id", "body", begins["start"].alias("starts"), ends["stop"].alias("stops")), "marks")
     release_shuffles(spark)
     return marks
 
@@ -405,18 +410,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             sizes, gone, kept = [], [], []
-            for text, again, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "again", "marks"))):
+            columns = (batch.column(c).to_pylist() for c in ("text", "again", "starts", "stops"))
+            for text, again, starts, stops in zip(*columns):
                 words = words_of(text)
                 sizes.append(len(words))
                 if again and len(words) >= WINDOW:
                     words = []
-                elif marks:
+                elif starts:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    for mark in marks:
-                        first, bits = mark["first"], mark["bits"]
-                        at = [first + k for k in range(bits.bit_length()) if bits >> k & 1]
-                        np.add.at(edges, at, 1)
-                        np.add.at(edges, [i + WINDOW for i in at], -1)
+                    edges[starts] = 1
+                    edges[stops] = -1
                     stay = np.cumsum(edges[:-1]) == 0
                     words = [w for w, s in zip(words, stay) if s]
                 gone.append(sizes[-1] - len(words))
@@ -424,5 +427,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
-    joined = join_by_size(rows, marks, ["doc_id", "body"], F.coalesce(F.size("marks"), F.lit(0)) * 24, "left")
-    return joined.select("doc_id", "text", "again", "marks").mapInArrow(run, out)
+    joined = join_by_size(rows, marks, ["doc_id", "body"], F.coalesce(F.size("starts"), F.lit(0)) * 8, "left")
+    return joined.select("doc_id", "text", "again", "starts", "stops").mapInArrow(run, out)

@@ -547,6 +547,14 @@ def test_only_the_first_of_equal_texts_is_searched(spark, monkeypatch):
     assert got[60] == got[61] == [(4, 0, short)] and got[1] == [(3, 0, "p0 p1 end")]
 
 
+def test_a_repeated_passage_is_one_range(spark):
+    long = " ".join(f"q{i}" for i in range(400))
+    rows = [(1, f"{PASSAGE} a {long} b"), (2, f"{long} c d {PASSAGE} e"), (3, f"z {PASSAGE} y {PASSAGE} x")]
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, body long, text string")
+    got = {r["doc_id"]: (r["starts"], r["stops"]) for r in substring_dedup.repeated_windows(docs).collect()}
+    assert got == {2: ([0, 402], [400, 462]), 3: ([1, 62], [61, 122])}
+
+
 def test_samples_are_bounded_whatever_is_repeated(spark, monkeypatch):
     draw = random.Random(13)
     texts = [" ".join(draw.choices("abcdefghij", k=12)) for _ in range(60)]
