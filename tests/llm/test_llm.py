@@ -498,6 +498,22 @@ def test_unseen_kinds_of_keys_are_found(spark):
     assert sum(s[2] == "net" for own in spans for s in own) < 0.01 * asked
 
 
+def test_every_labelled_token_takes_part(spark, monkeypatch):
+    draw = random.Random(16)
+    word = lambda: "".join(draw.choices("etaoinshr", k=14))
+    rows = [(i, f"{word()} {word()} " + ("".join(draw.choices("0123456789abcdef", k=32)) if i % 2 else word())) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {r["kind"]: r["count"] for r in secrets.labelled(docs.union(docs)).groupBy("kind").count().collect()}
+    assert counts == {2: 2000, 3: 10_000}
+    monkeypatch.setattr(secrets, "SHARD_TOKENS", 3000)
+    seen, plain = [], secrets._by_chunk
+    monkeypatch.setattr(secrets, "_by_chunk", lambda rows, *a: (seen.append(rows.count()), plain(rows, *a))[1])
+    nets = [secrets.fit(docs.repartition(n)) for n in (1, 5)]
+    assert seen[0] == seen[1] and seen[0] + seen[2] == 12_000 and seen[:3] == seen[3:]
+    assert all(np.array_equal(getattr(nets[0], k), getattr(nets[1], k)) for k in secrets._WEIGHTS)
+    assert nets[0].scale == nets[1].scale and nets[0].threshold == nets[1].threshold
+
+
 def test_a_kind_that_was_not_learned(spark):
     draw = random.Random(15)
     word = lambda: "".join(draw.choices("etaoinshr", k=draw.randint(6, 16)))
