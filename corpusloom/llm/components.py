@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
 
-CHUNK = 200_000
+#: Edges that a task ties together, about; nodes that it holds meanwhile.
+EDGES = 100_000
+CHUNK = 2 * EDGES
 
 
-def _forests(edges: DataFrame) -> DataFrame:
+def _forests(edges: DataFrame, parts: int) -> DataFrame:
     """Each part's edges (a, b) as edges from every node to the smallest it is tied to there.
 
-    A part is worked on in chunks of bounded size; the ties of all chunks together are
-    those of the input.
+    The edges are read in ``parts`` parts at most, as many as their number asks for. A part
+    is worked on in chunks of bounded size; the ties of all chunks together are those of the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +46,15 @@ def _forests(edges: DataFrame) -> DataFrame:
                 yield done()
         yield done()
 
-    return edges.select("a", "b").mapInArrow(run, "a binary, b binary")
+    return edges.select("a", "b").coalesce(parts).mapInArrow(run, "a binary, b binary")
+
+
+def _unsettled(ties: DataFrame) -> bool:
+    """Whether a node is tied to several, or to one that is tied to another."""
+    ends = ties.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        ties.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    many = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return bool(many.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,20 +63,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round ties the neighbours of a node, and the node, to the smallest of them
     (aggregated before it is shuffled), and shrinks what comes out inside tasks. It ends
     when every node is tied to one root that is tied to nothing: a few rounds, each
-    written to the shared folder. Nothing is gathered but one count a round. Self-loops
-    and repeated edges don't matter; no edges give no rows.
+    written to the shared folder. Nothing is gathered but two counts a round. Tasks are as
+    many as ``EDGES`` edges each ask for: where these are no more than one task's, its ties
+    are those of the whole. Self-loops and repeated edges don't matter; no edges give no rows.
     """
-    ties = written(_forests(edges.where("a != b")).distinct(), "ties")
+    parts = max(1, math.ceil(edges.count() / EDGES))
+    ties = _forests(edges.where("a != b"), parts)
+    ties = written(ties.distinct() if parts > 1 else ties, "ties")
     while True:
         # Every tie is (node, smaller node). A node with one smaller neighbour that has none is done.
-        least = ties.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
-        open_ties = ties.join(ties.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
-        several = least.where("n > 1").limit(1).count()
-        if not open_ties and not several:
+        if parts == 1 or not _unsettled(ties):
             return ties.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 ties.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         # The smallest of a node's neighbours takes over the others; then it jumps to its own.
-        low = least.select("a", "low")
+        low = ties.groupBy("a").agg(F.min("b").alias("low"))
         hooked = (
             ties.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(low.select("a", F.col("low").alias("b")))
@@ -74,4 +85,5 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = hooked.join(jump, "b", "left").select("a", F.coalesce("next", "b").alias("b"), F.col("b").alias("was"), "next")
         both = jumped.select("a", "b").unionByName(
             jumped.where("next IS NOT NULL").select(F.col("was").alias("a"), F.col("next").alias("b")))
-        ties = written(_forests(both.where("a != b")).distinct(), "ties")
+        parts = max(1, math.ceil(2 * ties.count() / EDGES))
+        ties = written(_forests(both.where("a != b"), parts).distinct(), "ties")

@@ -97,8 +97,8 @@ def signed(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, _SIGNED)
 
 
-def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) of the classes in ``wanted`` (row_id of one row of each)."""
+def _full_sets(rows: DataFrame, wanted: DataFrame, words: int, at_most: int) -> DataFrame:
+    """(class, shingles) of the classes in ``wanted`` (row_id of one row of each; ``at_most`` so many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, memo = arrow_schema("class binary, shingles array<long>"), word_memo()
@@ -108,7 +108,7 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 [pa.array(map(_class_key, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 schema=schema)
 
-    return semi_by_size(rows, wanted, ["row_id"]).mapInArrow(run, "class binary, shingles array<long>")
+    return semi_by_size(rows, wanted, ["row_id"], at_most=at_most).mapInArrow(run, "class binary, shingles array<long>")
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, share: float) -> DataFrame:
@@ -143,7 +143,7 @@ def _across(
 ) -> tuple[DataFrame, DataFrame]:
     """What buckets with several groups still have to compare.
 
-    (pairs (a, b) of different groups whose signatures agree enough, rows of dense cells).
+    (pairs (a, b) of different groups whose signatures agree enough, which may repeat, rows of dense cells).
     A bucket is cut into parts of bounded rows and shingles; a cell is two of its parts,
     compared by signature in one task. A pair counts in the first band it shares. A cell
     with many such pairs gives its rows (cell, class, root, side) and no pairs: they are
@@ -178,7 +178,7 @@ def _across(
         return pa.table({f.name: c[f.name].take(pa.array(used)) if f.name in c else pa.nulls(len(used), f.type) for f in kinds})
 
     found = written(cells.groupBy("key", "i", "j").applyInArrow(compare, out), "across")
-    pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs, found.where("a IS NULL").drop("a", "b")
 
 
@@ -224,7 +224,7 @@ def _dense_links(dense: DataFrame, rows: DataFrame, classes: DataFrame, words: i
     """
     asked = dense.select("class").distinct()
     ids = classes.join(asked, "class", "left_semi").select("row_id").where("row_id IS NOT NULL").distinct()
-    sets = _full_sets(rows, ids, words).dropDuplicates(["class"]).join(asked, "class", "left_semi")
+    sets = _full_sets(rows, ids, words, dense.count()).dropDuplicates(["class"]).join(asked, "class", "left_semi")
 
     def link(cell: pa.Table) -> pa.Table:
         names = cell.column("class").to_pylist()
@@ -289,16 +289,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     checked = written(_agreeing(stars, signatures, share), "stars")
     link = 100 * F.col("both") >= percent * F.col("either")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, n: int) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         ids = classes.join(asked, "class", "left_semi").select("row_id").where("row_id IS NOT NULL").distinct()
-        sets = written(_full_sets(rows, ids, words).dropDuplicates(["class"]).join(asked, "class", "left_semi"), "sets")
+        sets = written(_full_sets(rows, ids, words, 2 * n).dropDuplicates(["class"]).join(asked, "class", "left_semi"), "sets")
         return written(_verified(pairs, sets).where(link).select("a", "b"), "links")
 
-    links = confirm(checked)
+    links = confirm(checked, checked.count())
     groups = written(components(links), "groups")
     rest, dense = _across(buckets, leaders, groups, classes, percent)
-    more = [confirm(rest)] if rest.limit(1).count() else []
+    n = rest.count()
+    more = [confirm(rest.distinct(), n)] if n else []
     if dense.limit(1).count():
         more.append(_dense_links(dense, rows, classes, words, percent))
     if more:

@@ -584,3 +584,23 @@ def test_samples_are_bounded_whatever_is_repeated(spark, monkeypatch):
     assert seen == [sum(min(n, r["count"]) for r in able) for n in (1, 20, 500)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     assert [r["doc_id"] for r in toxicity._sample(docs, labels, 100)] == list(range(40))
+
+
+def test_few_edges_are_tied_in_one_step_and_many_in_several(spark, monkeypatch):
+    from corpusloom.llm import components as module
+
+    draw, plain, steps = random.Random(21), module.written, []
+    monkeypatch.setattr(module, "written", lambda df, label: (steps.append(label), plain(df, label))[1])
+    edges = [(draw.randrange(500), draw.randrange(500)) for _ in range(400)] + [(i, i + 1) for i in range(600, 640)]
+    names = [(f"{a:05d}".encode(), f"{b:05d}".encode()) for a, b in edges if a != b]
+    df = spark.createDataFrame(names, "a binary, b binary").repartition(8)
+    root = {n: n for pair in names for n in pair}
+    for _ in range(100):
+        for a, b in names:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {bytes(r["node"]): bytes(r["root"]) for r in components(df).collect()} == root
+    assert steps == ["ties"]
+    monkeypatch.setattr(module, "EDGES", 50)
+    monkeypatch.setattr(module, "CHUNK", 100)
+    assert {bytes(r["node"]): bytes(r["root"]) for r in components(df).collect()} == root
+    assert len(steps) > 2
