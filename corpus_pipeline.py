@@ -7,12 +7,15 @@ than doc_id, text and n_chars pass through untouched.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, near_dedup, piece_coding, quality_rules, secrets
 from corpusloom.llm.common import semi_by_size, table, written
+from corpusloom.session import small_batches
 
 PIECE_MODEL = "piece_bpe_32k.model"
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -48,12 +51,23 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_coding.encode_documents(docs, public_tokenizers.path(PIECE_MODEL))
 
 
+def _bounded(stage):
+    """The stage with small Arrow batches, as its rows have whole texts."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
     ("quality rules", quality),
-    ("MinHash near-dedup", near_duplicates),
-    ("benchmark decontamination", leaks),
-    ("secret scans", secret_spans),
-    ("SentencePiece encoding and decoding", encoded),
+    ("MinHash near-dedup", _bounded(near_duplicates)),
+    ("benchmark decontamination", _bounded(leaks)),
+    ("secret scans", _bounded(secret_spans)),
+    ("SentencePiece encoding and decoding", _bounded(encoded)),
 ]
 
 #: The stages of signatures, search, network and subword ids have no SQL.

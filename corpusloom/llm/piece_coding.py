@@ -23,6 +23,8 @@ from corpusloom.llm.common import Memo, arrow_schema, text_batches
 MARK = "▁"
 #: Bytes that a worker may keep of what it has coded, while it reads a partition.
 SEGMENT_BYTES, RUN_BYTES, PAIR_BYTES = 88 << 20, 8 << 20, 24 << 20
+#: The first of them where the executor has other stages' memory as well.
+PIPELINE_SEGMENT_BYTES = 48 << 20
 CACHED_CHARS = 48
 _SEGMENT = re.compile(" +[^ ]*")
 _SCHEMA = "doc_id long, n_tokens long, ids_text string, decoded string"
@@ -75,11 +77,11 @@ class PieceTable:
         self.size = len(self.pieces)
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, segment_bytes: int = SEGMENT_BYTES) -> None:
         """Drop what was kept of texts; the vocabulary stays."""
         self.fits = Memo(self._fits, PAIR_BYTES, 100)  # two numbers
         self.runs = Memo(self._run, RUN_BYTES)
-        self.segment = Memo(self._segment, SEGMENT_BYTES)
+        self.segment = Memo(self._segment, segment_bytes)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair again and again."""
@@ -194,12 +196,15 @@ def piece_table(path: str) -> PieceTable:
     return _TABLES[path]
 
 
-def _coded(docs: DataFrame, model_path: str, batch_bytes: int, out: str, columns) -> DataFrame:
+def _coded(
+    docs: DataFrame, model_path: str, batch_bytes: int, out: str, columns, segment_bytes: int = SEGMENT_BYTES,
+) -> DataFrame:
     """Rows of ``out``: doc_id, n_tokens and ``columns(table, texts, ids as text)``."""
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(model_path)
+        pieces.forget(segment_bytes)
         try:
             for batch in text_batches(batches, batch_bytes):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -241,4 +246,5 @@ def encode_documents(docs: DataFrame, model_path: str, batch_bytes: int = 1 << 2
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers)))
         return [lists, pa.array(same, pa.bool_())]
 
-    return _coded(docs, model_path, batch_bytes, "doc_id long, n_tokens long, ids array<int>, round_trip boolean", columns)
+    out = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
+    return _coded(docs, model_path, batch_bytes, out, columns, PIPELINE_SEGMENT_BYTES)

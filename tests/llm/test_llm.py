@@ -604,3 +604,15 @@ def test_few_edges_are_tied_in_one_step_and_many_in_several(spark, monkeypatch):
     monkeypatch.setattr(module, "CHUNK", 100)
     assert {bytes(r["node"]): bytes(r["root"]) for r in components(df).collect()} == root
     assert len(steps) > 2
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    try:
+        spark.conf.set(name, "10000")
+        dict(corpus_pipeline.STAGES)["SentencePiece encoding and decoding"](spark, docs, SF)
+        assert docs.select("doc_id").mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "doc_id long").count() == 3
+    finally:
+        spark.conf.set(name, before)
