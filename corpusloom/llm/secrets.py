@@ -39,7 +39,7 @@ KINDS = ("assign", "access", "hex", "net")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
-#: Windows of a labelled token that the network learns from, at most; what follows them looks like them.
+#: Windows of a labelled row; a token with more of them is several rows.
 LEARNED_WINDOWS = 3
 #: Forms in which each token that is held back is scored.
 FORMS = 4
@@ -246,6 +246,19 @@ def _finding_parts(text: str, span: tuple[int, int, str]) -> tuple[bytes, bytes,
     return before, inside, after
 
 
+def _stretches(before: bytes, inside: bytes, after: bytes) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """A token as (before, stretch, after) for each ``LEARNED_WINDOWS`` of its windows, all of them."""
+    step, at = LEARNED_WINDOWS * (INSIDE // 2), 0
+    length = step + INSIDE // 2
+    whole = before + inside + after
+    while True:
+        end = min(at + length, len(inside))
+        yield whole[at:at + BEFORE], inside[at:end], whole[BEFORE + end:BEFORE + end + AFTER]
+        if end == len(inside):
+            return
+        at = min(at + step, len(inside) - INSIDE)
+
+
 _LABELLED = "kind int, token binary, rank long"
 
 
@@ -253,18 +266,19 @@ def labelled(docs: DataFrame) -> DataFrame:
     """(kind, token, rank): the distinct labelled tokens of all rows, all of them, with their hash as rank.
 
     ``kind`` is the place in KINDS, the last one that of other candidates; a token has its
-    surroundings in front.
+    surroundings in front. A long token is a row for each stretch of windows, whose surroundings
+    are the token itself as in a scan, so that all its windows take part.
     """
     texts = docs.select(F.col("text").cast("string")).where("text IS NOT NULL")
-    longest, schema = LEARNED_WINDOWS * INSIDE, arrow_schema(_LABELLED)
+    schema = arrow_schema(_LABELLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = {}
 
             def add(kind: int, parts: tuple[bytes, bytes, bytes]) -> None:
-                before, inside, after = parts
-                found[kind, before + after + inside[:longest]] = None
+                for before, inside, after in _stretches(*parts):
+                    found[kind, before + after + inside] = None
 
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)

@@ -606,6 +606,17 @@ def test_few_edges_are_tied_in_one_step_and_many_in_several(spark, monkeypatch):
     assert len(steps) > 2
 
 
+def test_all_windows_of_a_long_token_take_part(spark):
+    draw = random.Random(22)
+    key = "".join(draw.choices("0123456789abcdef", k=517))
+    text = f"see {key} and {'x'.join(draw.choices('GHIJKLMN', k=150))} there"
+    rows = secrets.labelled(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    learned = {w for r in rows for w in secrets._apart([secrets._cut_up(secrets._token_parts(r["token"]))])}
+    base = secrets.base_spans(text)
+    spans = [(s, e) for s, e, _ in base] + secrets.candidates(text, base)
+    assert learned == {w for s, e in spans for w in secrets.windows_of(text, s, e)} and len(learned) > 30
+
+
 def test_stages_hand_small_batches_to_python(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
