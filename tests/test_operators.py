@@ -408,6 +408,63 @@ def test_writers_look_at_wide_prompts_before_a_hundred_rows(spark, tmp_path, nam
     spark.conf.unset("parquet.page.size.row.check.min")
 
 
+def test_a_wide_row_is_copied_for_tasks_at_once_and_not_for_partitions(spark, shuffled_joins):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    docs = spark.range(6400).select(
+        F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id") % 70)).alias("repo"),
+        F.concat(F.lit("d"), F.col("id").cast("string")).alias("path"))
+    diffs_of = docs.select("repo").distinct().select("repo", F.concat(F.lit("diff of "), F.col("repo")).alias("diff"))
+    got = joins.wide_join(docs, diffs_of, ["repo"], ["path"], [F.col("path")], slots=4)
+    placed = got.groupBy("repo", F.spark_partition_id().alias("p")).count().collect()
+    hot = {r["p"]: r["count"] for r in placed if r["repo"] == "hot"}
+    assert len(hot) == 8 and max(hot.values()) < 6400 * 0.15  # two for each slot's share, none in the same task
+    assert not hot.keys() & {r["p"] for r in placed if r["repo"] != "hot"}
+    assert got.where("diff = 'diff of ' || repo").count() == 6400 and len(prompts.attach_diff(docs, diffs_of).columns) == 3
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_wide_join_is_a_left_join(spark, hot):
+    keys = ["a"] * (30 if hot else 3) + ["b", "c", "d", "e", "f", "g", None, None]
+    many = spark.createDataFrame([*enumerate(keys), (0, keys[0])], "row long, k string")  # one row comes twice
+    one = spark.createDataFrame([("a", "x"), ("c", None), ("z", "y"), (None, "n")], "k string, v string")
+    rows = lambda df: sorted(map(str, df.select("row", "k", "v").collect()))
+    got = joins.wide_join(many, one, ["k"], ["row"], [F.col("row").desc()], slots=3)
+    assert rows(got) == rows(many.join(one, ["k"], "left")) and len(rows(got)) == len(keys) + 1
+    assert got.columns == many.join(one, ["k"], "left").columns
+    assert joins.wide_join(many.where("false"), one, ["k"], ["row"], []).count() == 0
+
+
+@pytest.mark.parametrize("name", ["docs_prompts"])
+def test_written_prompts_share_the_diff_of_their_repository(spark, tmp_path, name):
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    from workload import QUERIES
+
+    def text(i: int) -> str:
+        return "\n".join(hashlib.sha256(f"{i} {line}".encode()).hexdigest() for line in range(20))
+
+    ids = [200 * block + i for block in range(5) for i in range(20)]
+    docs = spark.createDataFrame([(i, text(i), "en", "src1") for i in ids], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = {k: spark.conf.get(k, None) for k in (
+        "parquet.writer.version", "parquet.page.size", "parquet.block.size", "parquet.page.size.row.check.min",
+        *(f"parquet.{x}#{c}" for x in ("enable.dictionary", "column.statistics.enabled") for c in ("prompt", "shifted_prompt")))}
+    try:
+        got = QUERIES[name](spark, str(tmp_path))
+        rows = sorted(tuple(r) for r in got.collect())
+        got.write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [r[0] for r in rows] == ids and all(len(r[1]) > 50_000 and len(r[2]) > 50_000 for r in rows)
+    files = [*(tmp_path / "out").glob("*.parquet")]
+    assert sum(f.stat().st_size for f in files) < sum(len(p) + len(s) for _, p, s in rows) / 5
+    assert sorted(tuple(x.values()) for f in files for x in pq.read_table(f).to_pylist()) == rows
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == rows
+
+
 def test_nearest_config_and_tree_with_a_hot_folder(spark, shuffled_joins):
     where = F.when(F.col("id") % 10 < 9, F.concat(F.lit("src/d"), (F.col("id") % 500).cast("string"))).otherwise(F.lit("lib"))
     files = spark.range(5000).select(
